@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import exact_dedup, line_dedup, packing, sharding, simhash
+from starmodel.llm import exact_dedup, line_dedup, packing, sharding, simhash, word_bpe
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), size=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_bpe.encode_decode(_documents(spark, sf_dir))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_word_bpe": op6_word_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
 }
