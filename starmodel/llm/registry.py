@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import exact_dedup, line_dedup, packing, sharding, simhash, word_bpe
+from starmodel.llm import exact_dedup, line_dedup, packing, sharding, simhash, token_file, word_bpe
+from starmodel.llm.common import shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    token_file.write_ids(_documents(spark, sf_dir), path)
+    return token_file.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_common_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
@@ -41,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_file": op2_token_file,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
