@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import exact_dedup, line_dedup, packing, quality, sharding, simhash, token_file, word_bpe
+from starmodel.llm import ann, exact_dedup, line_dedup, packing, quality, sharding, simhash, token_file, word_bpe
 from starmodel.llm.common import shared_dir
 
 
@@ -40,6 +40,10 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_word_bpe": op6_word_bpe,
+    "op7_neighbours": op7_neighbours,
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
