@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import ann, exact_dedup, line_dedup, packing, quality, sharding, simhash, token_file, word_bpe
+from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, quality, sharding, simhash, token_file, word_bpe
 from starmodel.llm.common import shared_dir
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     token_file.write_ids(_documents(spark, sf_dir), path)
@@ -61,6 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_token_file": op2_token_file,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
