@@ -2,5 +2,566 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starmodel.functions import clean
+from starmodel.functions.rowhash import row_hash
+from starmodel.operators import calendar, fact, incremental, lookup, quality, runlog, scd
+from starmodel.plans import marts, shapes, warehouse
+from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS
+from starmodel.sources.schema import STAGING, required
+from starmodel.sources.shared import shared_dir
+from starmodel.sources.store import SnapshotStore
+from starmodel.sources.tables import read_parquet
+from starmodel.streaming import scd_stream
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, directory) -> DataFrame under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return read_parquet(spark, d, name)
+
+
+def _span(spark: SparkSession, d: str) -> tuple[dt.date, dt.date]:
+    first, last = _table(spark, d, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    return first, last
+
+
+# Sources, calendar, functions
+
+
+@query("SELECT id AS ProductID, name AS Name, number AS ProductNumber, color AS Color, CAST(price AS DOUBLE) AS ListPrice, sub AS ProductSubcategoryID FROM (" + shapes._PRODUCT_V1 + ")")
+def s1_source_scan(spark, d):
+    return shapes.product_source(spark, d).select("ProductID", "Name", "ProductNumber", "Color", F.col("ListPrice").cast("double").alias("ListPrice"), "ProductSubcategoryID")
+
+
+_CALENDAR = """
+    SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS DateKey, d AS FullDate, isodow(d) AS DayNumberOfWeek, dayname(d) AS DayName, dayname(d)[:3] AS DayShortName, day(d) AS DayNumberOfMonth, dayofyear(d) AS DayNumberOfYear,
+        weekofyear(d) AS WeekNumberOfYear, month(d) AS MonthNumber, monthname(d) AS MonthName, monthname(d)[:3] AS MonthShortName, strftime(d, '%Y-%m') AS YearMonth, year(d) * 100 + month(d) AS YearMonthNumber,
+        quarter(d) AS QuarterNumber, 'Q' || quarter(d) AS QuarterName, year(d) || '-Q' || quarter(d) AS YearQuarter, year(d) * 10 + quarter(d) AS YearQuarterNumber,
+        CASE WHEN month(d) <= 6 THEN 1 ELSE 2 END AS SemesterNumber, CASE WHEN month(d) <= 6 THEN 'S1' ELSE 'S2' END AS SemesterName, year(d) AS CalendarYear, isodow(d) IN (6, 7) AS IsWeekend, isodow(d) < 6 AS IsWeekday
+    FROM (SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS DATE) AS d FROM orders)"""
+
+
+@query(_CALENDAR)
+def c9_calendar(spark, d):
+    return calendar.date_dim(spark, *_span(spark, d))
+
+
+@query(_CALENDAR)
+def j7_append_missing_dates(spark, d):
+    """Every other day is there already; the others are added."""
+    whole = calendar.date_dim(spark, *_span(spark, d))
+    return calendar.append_missing_dates(whole.where(F.col("DateKey") % 2 == 0), whole)
+
+
+@query("""
+    SELECT o_orderkey, nullif(trim(' ' || o_orderpriority || ' '), '') AS trimmed, concat_ws(' ', nullif(o_orderstatus, 'O'), o_orderpriority) AS joined, concat(nullif(o_orderstatus, 'O'), '-', o_orderpriority) AS concatenated,
+        CAST(CAST(o_totalprice AS DECIMAL(19,4)) AS VARCHAR) AS money_text, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS flag_text, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso_text, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS date_key,
+        year(TIMESTAMP '2001-12-31') - year(o_orderdate) AS years, left(o_orderpriority, 4) AS prefix, o_orderstatus IS DISTINCT FROM 'F' AS differs, CASE WHEN o_totalprice <> 0 THEN (o_totalprice - 1000) / o_totalprice * 100 END AS margin
+    FROM orders""")
+def f_scalar_functions(spark, d):
+    o = _table(spark, d, "orders")
+    c = F.col
+    not_o = F.nullif(c("o_orderstatus"), F.lit("O"))
+    money = o.select(c("o_totalprice").cast("decimal(19,4)").alias("m")).schema["m"].dataType
+    flag = (c("o_orderstatus") == "F").alias("x")
+    return o.select(
+        "o_orderkey", clean.blank_to_null(F.concat(F.lit(" "), "o_orderpriority", F.lit(" "))).alias("trimmed"), F.concat_ws(" ", not_o, c("o_orderpriority")).alias("joined"), clean.join_text(not_o, F.lit("-"), c("o_orderpriority")).alias("concatenated"),
+        clean.as_text(c("o_totalprice").cast("decimal(19,4)"), money).alias("money_text"), clean.as_text(flag, o.select(flag).schema["x"].dataType).alias("flag_text"), clean.as_text(c("o_orderdate"), o.schema["o_orderdate"].dataType).alias("iso_text"),
+        clean.date_key(c("o_orderdate")).alias("date_key"), clean.years_apart(c("o_orderdate"), F.lit("2001-12-31").cast("timestamp_ntz")).alias("years"), clean.first_chars(c("o_orderpriority"), 4).alias("prefix"),
+        clean.differs(c("o_orderstatus"), F.lit("F")).alias("differs"), clean.margin_pct(c("o_totalprice"), F.lit(1000.0)).alias("margin"),
+    )
+
+
+@query("SELECT p_partkey, sha256(concat('p_name=', p_name, '|p_size=', CAST(p_size AS VARCHAR), '|p_brand=', coalesce(nullif(p_brand, 'Brand#2'), '<NULL>'))) AS named, sha256(concat('|p_name=', p_name)) AS lead FROM part")
+def c4_row_hash(spark, d):
+    p = _table(spark, d, "part").withColumn("p_brand", F.nullif("p_brand", F.lit("Brand#2")))
+    return p.select("p_partkey", row_hash(p, ["p_name", "p_size", "p_brand"]).alias("named"), row_hash(p, ["p_name"], lead=True).alias("lead"))
+
+
+# Staging
+
+
+@query(shapes.product_sql(1))
+def c5_stage_product(spark, d):
+    return shapes.staged_product(spark, d).drop("ExtractedAt")
+
+
+@query(shapes.CUSTOMER_SQL)
+def c6_stage_customer(spark, d):
+    return shapes.staged_customer(spark, d).drop("ExtractedAt")
+
+
+@query(shapes.TERRITORY_SQL)
+def c7_stage_territory(spark, d):
+    return shapes.staged_territory(spark, d)[0].drop("ExtractedAt")
+
+
+@query(shapes.TERRITORY_REJECTS_SQL)
+def j12_territory_rejects(spark, d):
+    return shapes.staged_territory(spark, d)[1].select("TerritoryID", F.array_join("reject_reasons", "; ").alias("reasons"))
+
+
+@query(shapes.salesperson_sql(1))
+def c8_stage_salesperson(spark, d):
+    return shapes.staged_salesperson(spark, d)[0].drop("ExtractedAt")
+
+
+@query("SELECT s_suppkey AS BusinessEntityID, CASE WHEN s_suppkey % 13 = 12 THEN 'no such person' ELSE 'no such employee' END AS reason FROM supplier WHERE s_suppkey % 13 = 12 OR s_suppkey % 17 = 16")
+def j12_salesperson_rejects(spark, d):
+    return shapes.staged_salesperson(spark, d)[1].select("BusinessEntityID", F.col("reject_reasons")[0].alias("reason"))
+
+
+# Dimensions
+
+_VERSION = "CAST(StandardCost AS DOUBLE) AS StandardCost, CAST(ListPrice AS DOUBLE) AS ListPrice, SubcategoryName, CategoryName, SourceModifiedDate, RowHash, Start, Finish, Cur"
+
+
+def _versions(dim: DataFrame) -> DataFrame:
+    return dim.select(
+        F.col("ProductKey").alias("k"), "ProductID", "ProductName", "ProductNumber", "Color", "Size", F.col("StandardCost").cast("double").alias("StandardCost"), F.col("ListPrice").cast("double").alias("ListPrice"),
+        "SubcategoryName", "CategoryName", "SourceModifiedDate", "RowHash", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"),
+    )
+
+
+@query(f"{PRODUCT_DIMS} SELECT k, ProductID, ProductName, ProductNumber, Color, Size, {_VERSION} FROM dim3")
+def c1_product_dim(spark, d):
+    return _versions(warehouse.product_dim(spark, d)[1])
+
+
+@query(f"{PRODUCT_DIMS} SELECT 'v2' AS load, a AS action, count(*) AS n FROM act2 GROUP BY a UNION ALL SELECT 'v3', a, count(*) FROM act3 GROUP BY a")
+def a2_load_actions(spark, d):
+    _, dim2, two = warehouse.product_dim(spark, d, 2)
+    _, three = scd.apply_scd(dim2, shapes.staged_product(spark, d, 3), scd.PRODUCT, shapes.LOADS[2])
+    both = two.withColumn("load", F.lit("v2")).unionByName(three.withColumn("load", F.lit("v3")))
+    return both.where("n > 0").select("load", "action", "n")
+
+
+@query(f"{PRODUCT_DIMS} SELECT count(*) FILTER (a <> 'keep') AS rows_read, count(*) FILTER (a IN ('new', 't2')) AS rows_inserted, count(*) FILTER (a IN ('t1', 't2')) AS rows_updated FROM act3")
+def a2_load_totals(spark, d):
+    return scd.totals(warehouse.product_dim(spark, d)[2])
+
+
+@query(f"{PRODUCT_DIMS} SELECT k, ProductID, ProductName, ProductNumber, Color, Size, {_VERSION} FROM dim2")
+def c13_rerun_changes_nothing(spark, d):
+    """The second snapshot is loaded twice."""
+    dim = warehouse.product_dim(spark, d, 2)[1]
+    return _versions(scd.apply_scd(dim, shapes.staged_product(spark, d, 2), scd.PRODUCT, dt.datetime(1998, 1, 1))[0])
+
+
+@query(f"SELECT row_number() OVER (ORDER BY CustomerID) AS CustomerKey, CustomerID, CustomerType, CustomerName, SourceModifiedDate, RowHash FROM ({shapes.CUSTOMER_SQL})")
+def c2_customer_dim(spark, d):
+    return warehouse.customer_dim(spark, d).select("CustomerKey", "CustomerID", "CustomerType", "CustomerName", "SourceModifiedDate", "RowHash")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY TerritoryID) AS TerritoryKey, TerritoryID, TerritoryName, CountryRegionCode, CountryRegionName, TerritoryGroup FROM ({shapes.TERRITORY_SQL})")
+def c1_territory_dim(spark, d):
+    return warehouse.territory_dim(spark, d).select("TerritoryKey", "TerritoryID", "TerritoryName", "CountryRegionCode", "CountryRegionName", "TerritoryGroup")
+
+
+@query(f"{SALESPERSON_DIMS} SELECT k, BusinessEntityID, SalesPersonName, FirstName, MiddleName, JobTitle, HireDate, CAST(SalesQuota AS DOUBLE) AS SalesQuota, RowHash, Start, Finish, Cur FROM dim2")
+def c3_salesperson_dim(spark, d):
+    dim = warehouse.salesperson_dim(spark, d)
+    return dim.select(
+        F.col("SalesPersonKey").alias("k"), "BusinessEntityID", "SalesPersonName", "FirstName", "MiddleName", "JobTitle", "HireDate", F.col("SalesQuota").cast("double").alias("SalesQuota"), "RowHash",
+        F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"),
+    )
+
+
+@query(f"{PRODUCT_DIMS} SELECT ProductID, k AS ProductKey, ProductName, CAST(ListPrice AS DOUBLE) AS ListPrice FROM dim3 WHERE Cur")
+def c17_current_members(spark, d):
+    return scd.current_members(warehouse.product_dim(spark, d)[1], scd.PRODUCT).select("ProductID", "ProductKey", "ProductName", F.col("ListPrice").cast("double").alias("ListPrice"))
+
+
+@query(f"{PRODUCT_DIMS} SELECT count(*) AS members, count(*) FILTER (k = -1) AS unknown, min(k) AS least FROM (SELECT k FROM dim3 UNION ALL SELECT -1)")
+def c21_unknown_member(spark, d):
+    dim = scd.with_unknown_member(warehouse.product_dim(spark, d)[1], scd.PRODUCT)
+    return dim.agg(F.count("*").alias("members"), F.sum((F.col("ProductKey") == -1).cast("long")).alias("unknown"), F.min("ProductKey").alias("least"))
+
+
+@query("SELECT p_partkey, p_name, 100 + row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS key FROM part")
+def w2_surrogate_keys(spark, d):
+    return scd.assign_keys(_table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "key", 100)
+
+
+@query("SELECT c_mktsegment AS name, row_number() OVER (ORDER BY c_mktsegment) AS key FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def c22_small_dimension(spark, d):
+    """A dimension with no more than a name, as for ways of shipping."""
+    spec = scd.DimensionSpec("segment", "name", "key")
+    staged = _table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.lit("1995-01-01").cast("timestamp_ntz").alias("SourceModifiedDate")).distinct()
+    staged = staged.withColumn("RowHash", F.sha2("name", 256))
+    return scd.apply_scd(scd.empty_dimension(staged, spec), staged, spec, shapes.LOADS[0])[0].select("name", "key")
+
+
+# Lookups and the fact
+
+
+@query(f"{FACT} SELECT SalesOrderID, SalesOrderDetailID, ProductID, ProductKey, count(*) AS n FROM fact GROUP BY ALL")
+def j10_point_in_time(spark, d):
+    detail, header = shapes.order_sources(spark, d)
+    lines = detail.join(header.select("SalesOrderID", "OrderDate"), "SalesOrderID")
+    found = lookup.lookup_key(lines, warehouse.product_dim(spark, d)[1], scd.PRODUCT, "ProductID", "OrderDate")
+    return found.groupBy("SalesOrderID", "SalesOrderDetailID", "ProductID", "ProductKey").agg(F.count("*").alias("n"))
+
+
+@query(f"""{PRODUCT_DIMS} SELECT k AS ProductKey, count(*) AS n FROM ({shapes.LINES_SQL}) l
+    JOIN (SELECT *, CASE WHEN row_number() OVER (PARTITION BY ProductID ORDER BY Start) = 1 THEN TIMESTAMP '0001-01-01' ELSE Start END AS b FROM dim3) v ON v.ProductID = l.ProductID AND OrderDate >= b AND OrderDate < Finish GROUP BY k""")
+def j10_before_first_version(spark, d):
+    detail, header = shapes.order_sources(spark, d)
+    lines = detail.join(header.select("SalesOrderID", "OrderDate"), "SalesOrderID")
+    found = lookup.lookup_key(lines, warehouse.product_dim(spark, d)[1], scd.PRODUCT, "ProductID", "OrderDate", before_first="first_version")
+    return found.groupBy("ProductKey").agg(F.count("*").alias("n"))
+
+
+_FACT_COLUMNS = "SalesOrderID, SalesOrderDetailID, ProductKey, CustomerKey, OrderDateKey, DueDateKey, ShipDateKey, OrderQty, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit"))
+
+
+@query(f"{FACT} SELECT {_FACT_COLUMNS} FROM fact")
+def c14_fact(spark, d):
+    out = warehouse.sales_fact(spark, d)
+    money = ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit")
+    return out.select("SalesOrderID", "SalesOrderDetailID", "ProductKey", "CustomerKey", "OrderDateKey", "DueDateKey", "ShipDateKey", "OrderQty", *[F.col(c).cast("double").alias(c) for c in money])
+
+
+@query("""SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS OrderDateKey, CAST(strftime(o_orderdate + INTERVAL 12 DAY, '%Y%m%d') AS INT) AS DueDateKey,
+    CASE WHEN o_orderstatus <> 'O' THEN CAST(strftime(o_orderdate + INTERVAL 7 DAY, '%Y%m%d') AS INT) ELSE -1 END AS ShipDateKey FROM orders""")
+def j13_role_dates(spark, d):
+    header = shapes.order_sources(spark, d)[1]
+    return header.select(F.col("SalesOrderID").alias("o_orderkey"), *[lookup.role_date_key(c).alias(f"{c}Key") for c in ("OrderDate", "DueDate", "ShipDate")])
+
+
+# Marts
+
+_SUMS = "CAST(sum(GrossAmount) AS DOUBLE) AS GrossAmount, CAST(sum(DiscountAmount) AS DOUBLE) AS DiscountAmount, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount"
+
+
+@query(f"""{FACT} SELECT year(OrderDate) AS CalendarYear, coalesce(v.CategoryName, 'Unknown') AS CategoryName, count(DISTINCT SalesOrderID) AS Orders, count(*) AS Lines, sum(OrderQty) AS Quantity, {_SUMS}, avg(CAST(NetAmount AS DOUBLE)) AS AverageNet
+    FROM fact LEFT JOIN dim3 v ON v.k = ProductKey GROUP BY ALL""")
+def c18_sales_summary(spark, d):
+    """Net sales by year and category; lines of the unknown product as Unknown."""
+    dim = scd.with_unknown_member(warehouse.product_dim(spark, d)[1], scd.PRODUCT)
+    lines = marts.with_dates(warehouse.sales_fact(spark, d, dim), calendar.date_dim(spark, *_span(spark, d)))
+    return marts.sales_summary(lookup.as_was(lines, dim, scd.PRODUCT, ("CategoryName",)), ["CalendarYear", "CategoryName"])
+
+
+@query(f"""{FACT} SELECT *, CASE WHEN NetAmount <> 0 THEN (NetAmount - TotalCost) / NetAmount * 100 END AS MarginPct FROM (SELECT ProductID, sum(OrderQty) AS Quantity, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount, CAST(sum(TotalCost) AS DOUBLE) AS TotalCost,
+    CAST(sum(GrossProfit) AS DOUBLE) AS GrossProfit FROM (SELECT v.ProductID, OrderQty, NetAmount, TotalCost, GrossProfit FROM fact JOIN dim3 v ON v.k = ProductKey) GROUP BY ProductID)""")
+def c19_product_performance(spark, d):
+    dim = warehouse.product_dim(spark, d)[1]
+    lines = warehouse.sales_fact(spark, d, dim).where("ProductKey >= 0").join(dim.select("ProductKey", "ProductID"), "ProductKey")
+    return marts.product_performance(lines, ["ProductID"])
+
+
+@query(f"{FACT} SELECT OrderDateKey, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact WHERE OrderDateKey >= 19970101 AND OrderDateKey < 19980101 GROUP BY OrderDateKey")
+def c20_sales_by_date_range(spark, d):
+    return marts.sales_by_date_range(warehouse.sales_fact(spark, d), 19970101, 19980101)
+
+
+@query(f"""{FACT} SELECT year(OrderDate) AS CalendarYear, quarter(OrderDate) AS QuarterNumber, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount, grouping(year(OrderDate)) + grouping(quarter(OrderDate)) AS Level
+    FROM fact GROUP BY ROLLUP (year(OrderDate), quarter(OrderDate))""")
+def a9_date_hierarchy(spark, d):
+    lines = marts.with_dates(warehouse.sales_fact(spark, d), calendar.date_dim(spark, *_span(spark, d)), columns=("CalendarYear", "QuarterNumber"))
+    return marts.hierarchy(lines, ["CalendarYear", "QuarterNumber"])
+
+
+@query(f"{FACT} SELECT CustomerKey, CAST(net AS DOUBLE) AS NetAmount, rank() OVER (ORDER BY net DESC) AS Rank, dense_rank() OVER (ORDER BY net DESC) AS DenseRank FROM (SELECT CustomerKey, sum(NetAmount) AS net FROM fact WHERE CustomerKey >= 0 GROUP BY 1) QUALIFY Rank <= 100")
+def w5_ranked_customers(spark, d):
+    return marts.ranked_customers(warehouse.sales_fact(spark, d), top=100)
+
+
+@query("SELECT l_returnflag, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY l_returnflag HAVING sum(CAST(l_quantity AS BIGINT)) > 10")
+def a4_filtered_sums(spark, d):
+    """A filter on bare columns, a grouped sum, and a filter on the sum."""
+    li = _table(spark, d, "lineitem")
+    part = li.where((F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
+    return part.groupBy("l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity")).where("quantity > 10")
+
+
+@query("""SELECT o_custkey, orders FROM (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) WHERE orders > (SELECT count(*) * 1.0 / count(DISTINCT o_custkey) FROM orders)""")
+def a6_two_levels(spark, d):
+    """Customers with more orders than the average."""
+    n = _table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return n.crossJoin(F.broadcast(n.agg(F.avg("orders").alias("mean")))).where("orders > mean").drop("mean")  # one row is crossed in
+
+
+@query("""SELECT CAST(sum(t) AS DOUBLE) AS SubTotal, CAST(sum(CAST(t * CAST('0.08' AS DECIMAL(3,2)) AS DECIMAL(19,4))) AS DOUBLE) AS TaxAmt, CAST(sum(CAST(t * CAST('0.025' AS DECIMAL(4,3)) AS DECIMAL(19,4))) AS DOUBLE) AS Freight
+    FROM (SELECT CAST(o_totalprice AS DECIMAL(19,4)) AS t FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))""")
+def a8_header_measures(spark, d):
+    detail, header = shapes.order_sources(spark, d)
+    out = fact.header_totals(detail.join(header, "SalesOrderID"), ("SubTotal", "TaxAmt", "Freight"))
+    return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
+
+
+@query("""SELECT has_person, has_store, count(*) AS n FROM (SELECT c_custkey % 11 <> 0 AS has_person, c_custkey % 3 = 0 AS has_store FROM customer) GROUP BY ALL""")
+def a10_customer_configurations(spark, d):
+    c = shapes.customer_sources(spark, d)[0]
+    return marts.profile(c, {"has_person": F.col("PersonID").isNotNull(), "has_store": F.col("StoreID").isNotNull()})
+
+
+@query(f"""WITH p AS ({shapes._PRODUCT_V1}) SELECT 'ProductID' AS column, count(*) AS rows, count(DISTINCT id) AS distinct_values, count(*) - count(id) AS nulls FROM p UNION ALL SELECT 'Color', count(*), count(DISTINCT color), count(*) - count(color) FROM p
+    UNION ALL SELECT 'SellEndDate', count(*), count(DISTINCT sell_end), count(*) - count(sell_end) FROM p""")
+def a10_product_profile(spark, d):
+    return marts.profile_columns(shapes.product_source(spark, d), ["ProductID", "Color", "SellEndDate"])
+
+
+_AS = "CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact JOIN dim3 v ON v.k = ProductKey"
+
+
+@query(f"{FACT} SELECT CAST(v.ListPrice AS DOUBLE) AS ListPrice, {_AS} GROUP BY v.ListPrice")
+def c23_as_was(spark, d):
+    dim = warehouse.product_dim(spark, d)[1]
+    lines = lookup.as_was(warehouse.sales_fact(spark, d, dim).where("ProductKey >= 0"), dim, scd.PRODUCT, ("ListPrice",))
+    return lines.groupBy("ListPrice").agg(F.sum("NetAmount").cast("double").alias("NetAmount")).withColumn("ListPrice", F.col("ListPrice").cast("double"))
+
+
+@query(f"{FACT} SELECT CAST(c.ListPrice AS DOUBLE) AS ListPrice, {_AS} JOIN dim3 c ON c.ProductID = v.ProductID AND c.Cur GROUP BY c.ListPrice")
+def c23_as_is(spark, d):
+    dim = warehouse.product_dim(spark, d)[1]
+    lines = lookup.as_is(warehouse.sales_fact(spark, d, dim).where("ProductKey >= 0"), dim, scd.PRODUCT, ("ListPrice",))
+    return lines.groupBy("ListPrice").agg(F.sum("NetAmount").cast("double").alias("NetAmount")).withColumn("ListPrice", F.col("ListPrice").cast("double"))
+
+
+# Quality
+
+
+@query("SELECT 'required' AS check, CAST(id AS VARCHAR) AS key, 'SellEndDate' AS detail FROM (" + shapes._PRODUCT_V1 + ") WHERE sell_end IS NULL UNION ALL SELECT 'required', CAST(id AS VARCHAR), 'Color' FROM (" + shapes._PRODUCT_V1 + ") WHERE color IS NULL")
+def q1_required(spark, d):
+    return quality.check_required(shapes.staged_product(spark, d), ["ProductID"], ["SellEndDate", "Color", *required(STAGING["product"])])
+
+
+@query("SELECT 'unique' AS check, CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def q2_unique_grain(spark, d):
+    return quality.check_unique(_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT 'non_negative' AS check, CAST(s_suppkey AS VARCHAR) AS key, 's_acctbal' AS detail FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'non_negative', CAST(c_custkey AS VARCHAR), 'c_acctbal' FROM customer WHERE c_acctbal < 0")
+def q3_non_negative(spark, d):
+    return quality.all_of([quality.check_non_negative(_table(spark, d, "supplier"), ["s_suppkey"], ["s_acctbal"]), quality.check_non_negative(_table(spark, d, "customer"), ["c_custkey"], ["c_acctbal"])])
+
+
+@query("SELECT 'accepted' AS check, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS detail FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def q4_accepted_values(spark, d):
+    return quality.check_accepted(_table(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", ["F", "O"])
+
+
+@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+def q5_calendar(spark, d):
+    whole = calendar.date_dim(spark, *_span(spark, d))
+    return quality.all_of([quality.check_calendar(whole), quality.check_calendar_complete(whole)])
+
+
+@query("SELECT 'calendar_complete' AS check, strftime(d, '%Y%m%d') AS key, CAST(step AS VARCHAR) AS detail FROM (SELECT d, lead(d) OVER (ORDER BY d) - d AS step FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)) WHERE step <> 1")
+def q18_days_without_orders(spark, d):
+    days = _table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("FullDate")).distinct()
+    return quality.check_calendar_complete(days.withColumn("DateKey", clean.date_key(F.col("FullDate"))))
+
+
+@query("SELECT 'order' AS check, CAST(o_orderkey AS VARCHAR) AS key, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate GROUP BY o_orderkey")
+def q6_order_of_dates(spark, d):
+    both = _table(spark, d, "orders").join(_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return quality.check_order(both, ["o_orderkey"], "o_orderdate", "l_shipdate", strict=False).groupBy("check", "key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+def q7_q10_dimension(spark, d):
+    """A dimension after three loads: open ends, one current version, no gap or overlap."""
+    dim = warehouse.product_dim(spark, d)[1]
+    return quality.all_of([quality.check_current_open(dim, scd.PRODUCT), quality.check_one_current(dim, scd.PRODUCT), quality.check_intervals(dim, scd.PRODUCT), quality.check_order(dim, ["ProductKey"], scd.START, scd.END)])
+
+
+@query(f"""{PRODUCT_DIMS}, broken AS (SELECT k, ProductID, CASE WHEN ProductID % 20 = 0 THEN Start + INTERVAL 1 DAY WHEN ProductID % 20 = 2 THEN Start - INTERVAL 1 DAY ELSE Start END AS Start, Finish FROM dim3),
+    n AS (SELECT *, lead(Start) OVER (PARTITION BY ProductID ORDER BY Start, k) AS nxt FROM broken)
+    SELECT 'intervals' AS check, CAST(k AS VARCHAR) AS key, CASE WHEN Finish > nxt THEN 'overlap' ELSE 'gap' END AS detail FROM n WHERE Finish <> nxt""")
+def q10_broken_history(spark, d):
+    """Versions of some products are moved by a day, which makes gaps and overlaps."""
+    dim = warehouse.product_dim(spark, d)[1]
+    start, m = F.col(scd.START), F.col("ProductID") % 20
+    day = F.expr("INTERVAL 1 DAY")
+    moved = dim.withColumn(scd.START, F.when(m == 0, start + day).when(m == 2, start - day).otherwise(start))
+    return quality.check_intervals(moved, scd.PRODUCT)
+
+
+@query("SELECT 'references' AS check, CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) AS detail FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')")
+def q11_references(spark, d):
+    parents = _table(spark, d, "customer").where("c_mktsegment <> 'HOUSEHOLD'")
+    return quality.check_references(_table(spark, d, "orders"), ["o_orderkey"], "o_custkey", parents, "c_custkey")
+
+
+@query("SELECT 'range' AS check, CAST(p_partkey AS VARCHAR) AS key, CAST(p_size AS VARCHAR) AS detail FROM part WHERE p_size NOT BETWEEN 5 AND 40")
+def q12_ranges(spark, d):
+    return quality.check_range(_table(spark, d, "part"), ["p_partkey"], "p_size", 5, 40)
+
+
+@query(f"{FACT} SELECT 'ProductKey' AS column, count(*) FILTER (ProductKey = -1) AS unknown, count(*) AS rows, count(*) FILTER (ProductKey = -1) / count(*) AS rate FROM fact UNION ALL SELECT 'ShipDateKey', count(*) FILTER (ShipDateKey = -1), count(*), count(*) FILTER (ShipDateKey = -1) / count(*) FROM fact")
+def q13_unknown_rate(spark, d):
+    return quality.unknown_rate(warehouse.sales_fact(spark, d), ["ProductKey", "ShipDateKey"])
+
+
+@query("SELECT '' AS c, 0 AS n WHERE false")
+def q17_counts_match(spark, d):
+    """The counters of the last load against the snapshots before and after it."""
+    before, after, counts = warehouse.product_dim(spark, d)
+    t = scd.totals(counts).first()
+    return quality.check_counts_match(before, after, scd.PRODUCT, t["rows_inserted"], t["rows_updated"]).select(F.col("key").alias("c"), F.lit(0).alias("n"))
+
+
+@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+def q19_customer_kind(spark, d):
+    return quality.check_customer_kind(shapes.staged_customer(spark, d))
+
+
+@query(f"SELECT 'one_group' AS check, CountryRegionCode AS key, CAST(n AS VARCHAR) AS detail FROM (SELECT CASE WHEN TerritoryID % 2 = 0 THEN 'even' ELSE 'odd' END AS CountryRegionCode, count(DISTINCT TerritoryGroup) AS n FROM ({shapes.TERRITORY_SQL}) GROUP BY 1) WHERE n > 1")
+def q20_one_group(spark, d):
+    staged = shapes.staged_territory(spark, d)[0].withColumn("CountryRegionCode", F.when(F.col("TerritoryID") % 2 == 0, "even").otherwise("odd"))
+    return quality.check_one_group(staged)
+
+
+@query(f"""{PRODUCT_DIMS} SELECT ProductID, count(*) - coalesce((SELECT count(*) FROM dim1 o WHERE o.ProductID = n.ProductID), 0) AS added, coalesce(bool_or(ProductID % 10 = 1), false) AS overwritten FROM dim2 n GROUP BY ProductID""")
+def q21_version_changes(spark, d):
+    """What the second load has done to each key."""
+    before, after, _ = warehouse.product_dim(spark, d, 2)
+    return quality.version_changes(before, after, scd.PRODUCT)
+
+
+@query("""SELECT o_custkey, a AS in_source, b AS in_target FROM (SELECT o_custkey, count(*) AS a, count(*) FILTER (o_orderstatus <> 'P') AS b FROM orders GROUP BY o_custkey) WHERE a <> b""")
+def u2_reconcile(spark, d):
+    o = _table(spark, d, "orders")
+    return quality.reconcile(o, o.where("o_orderstatus <> 'P'"), ["o_custkey"])
+
+
+@query("SELECT s_suppkey, concat_ws(';', CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_nationkey % 2 = 1 THEN 'odd nation' END) AS reasons FROM supplier WHERE s_acctbal < 0 OR s_nationkey % 2 = 1")
+def s10_rejects(spark, d):
+    _, bad = quality.split_rejects(_table(spark, d, "supplier"), {"negative": F.col("s_acctbal") < 0, "odd nation": F.col("s_nationkey") % 2 == 1})
+    return bad.select("s_suppkey", F.array_join("reject_reasons", ";").alias("reasons"))
+
+
+# Runs, increments, streams
+
+
+@query(f"""{PRODUCT_DIMS} SELECT 2 AS ExecutionID, 'Succeeded' AS Status, count(*) FILTER (a <> 'keep') AS RowsRead, count(*) FILTER (a IN ('new', 't2')) AS RowsInserted, count(*) FILTER (a IN ('t1', 't2')) AS RowsUpdated FROM act2
+    UNION ALL SELECT 3, 'Succeeded', count(*) FILTER (a <> 'keep'), count(*) FILTER (a IN ('new', 't2')), count(*) FILTER (a IN ('t1', 't2')) FROM act3""")
+def s9_run_log(spark, d):
+    """Each load adds a row when it starts and when it has ended; the log's state
+    is the last of each."""
+    log = None
+    dim = scd.empty_dimension(shapes.staged_product(spark, d), scd.PRODUCT)
+    for v, t in enumerate(shapes.LOADS, 1):
+        started = runlog.run_started(spark, v, "product", t)
+        dim, counts = scd.apply_scd(dim, shapes.staged_product(spark, d, v), scd.PRODUCT, t)
+        sums = scd.totals(counts).first()
+        ended = runlog.run_finished(started, t + dt.timedelta(minutes=1), sums["rows_read"], sums["rows_inserted"], sums["rows_updated"])
+        both = started.unionByName(ended)
+        log = both if log is None else log.unionByName(both)
+    bad = quality.check_counters(log).count()
+    return runlog.run_state(log).where((F.col("ExecutionID") > 1) & F.lit(bad == 0)).select("ExecutionID", "Status", "RowsRead", "RowsInserted", "RowsUpdated")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-01'")
+def i1_extract_since(spark, d):
+    return incremental.extract_since(_table(spark, d, "orders"), "o_orderdate", dt.datetime(1999, 6, 1)).select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_orderdate > (SELECT min(o_orderdate) FROM orders) ORDER BY 2")
+def i2_watermark(spark, d):
+    """Two loads: the first takes the first day and sets the watermark, the
+    second takes what is later."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/watermark-{uuid.uuid4().hex}")
+    o = _table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    first = o.agg(F.min("o_orderdate").alias("m")).first()["m"]
+    incremental.load_since(store, "orders", o.where(F.col("o_orderdate") <= first), "o_orderdate", lambda rows: store.write("orders", rows))
+    incremental.load_since(store, "orders", o, "o_orderdate", lambda rows: store.write("orders", rows))
+    return store.read("orders")
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def i4_latest_change(spark, d):
+    return incremental.latest_change(_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "ts", "event_type")
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events as changes of a user's last event type; an error deletes the user."""
+    e = _table(spark, d, "events")
+    return e.select(
+        "user_id", F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("SourceModifiedDate"), F.sha2("event_type", 256).alias("RowHash"), "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op")
+    )
+
+
+_USER = scd.DimensionSpec("user", "user_id", "user_key", type2=("kind",))
+_SPLIT = "(SELECT median(event_id) FROM events)"
+
+
+@query(f"""WITH last1 AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events WHERE event_id <= {_SPLIT} GROUP BY user_id),
+    dim1 AS (SELECT user_id, kind, row_number() OVER (ORDER BY user_id) AS k FROM last1 WHERE kind <> 'error'),
+    last2 AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events WHERE event_id > {_SPLIT} GROUP BY user_id),
+    fresh AS (SELECT s.user_id, s.kind, (SELECT max(k) FROM dim1) + row_number() OVER (ORDER BY s.user_id) AS k FROM last2 s LEFT JOIN dim1 d USING (user_id) WHERE s.kind <> 'error' AND (d.kind IS NULL OR d.kind <> s.kind))
+    SELECT d.k AS user_key, d.user_id, d.kind, s.kind IS NULL OR s.kind = d.kind AS current FROM dim1 d LEFT JOIN last2 s USING (user_id)
+    UNION ALL SELECT k, user_id, kind, true FROM fresh""")
+def i4_apply_changes(spark, d):
+    """Changes in two batches: the last of each key counts, a delete ends a version."""
+    changes = _changes(spark, d)
+    middle = changes.agg(F.median("event_id").alias("m")).first()["m"]
+    dim = scd.empty_dimension(changes, _USER)
+    for t, part in ((dt.datetime(2024, 1, 1), F.col("event_id") <= middle), (dt.datetime(2024, 2, 1), F.col("event_id") > middle)):
+        dim, _ = incremental.apply_changes(dim, changes.where(part), _USER, t, ["SourceModifiedDate", "event_id"])
+    return dim.select("user_key", "user_id", "kind", F.col(scd.CURRENT).alias("current"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), k AS (SELECT * FROM m WHERE event_type IS DISTINCT FROM p)
+    SELECT user_id, event_type, ts AS Start, coalesce(lead(ts) OVER w, TIMESTAMP '9999-12-31 23:59:59.999999') AS Finish, lead(ts) OVER w IS NULL AS Cur FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def w6_history_from_changes(spark, d):
+    e = _table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = incremental.history_from_changes(e, ["user_id"], "ts", ["event_type"], ["event_id"])
+    return out.select("user_id", "event_type", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"))
+
+
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = _table(spark, d, table).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/[{table[0]}]{table[1:]}.parquet")
+
+
+@query()
+def i5_stream_scd(spark, d):
+    """The users' last event types as a dimension, fed by a stream."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = SnapshotStore(spark, f"{base}/tables")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return batch.select("user_id", F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("SourceModifiedDate"), F.sha2("event_type", 256).alias("RowHash"), "event_id")
+
+    run = scd_stream.stream_scd(_stream(spark, d, "events"), store, _USER, ["SourceModifiedDate", "event_id"], lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n), f"{base}/checkpoint", prepare)
+    run.awaitTermination()
+    return store.read("user").select("user_key", "user_id", "kind", F.col(scd.CURRENT).alias("current"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def i5_windowed_stream(spark, d):
+    """Events by type and hour, counted in a stream that is read to its end."""
+    base = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    counts = scd_stream.windowed_counts(_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"])
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
+
+    run = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{base}/counts")
+    return last.groupBy("window_start", "event_type").agg(F.max("n").alias("n")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
