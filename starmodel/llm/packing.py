@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from starmodel.llm.common import materialize, numbered
 from starmodel.llm.tokens import byte_encoder, default_path
 
+#: Texts that are encoded together.
+ROWS = 1024
+
 
 def group_lengths(counts: Counter, smallest: int, groups: int) -> list[list[tuple[int, int]]]:
     """The lengths of at least `smallest`, largest first, in `groups` groups of
@@ -174,8 +177,11 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str
         encoder = byte_encoder(path or default_path("byte_bpe_50k.json"))
         for pdf in batches:
             out: list[tuple] = []
-            for doc, row, text in zip(pdf["doc_id"], pdf["_row"], pdf["text"]):
-                ids = encoder.encode(text or "") + end
+            texts = pdf["text"].tolist()
+            # some texts at a time, so that few ids are held at once
+            coded = (ids for at in range(0, len(texts), ROWS) for ids in encoder.encode_all(texts[at : at + ROWS]))
+            for doc, row, ids in zip(pdf["doc_id"], pdf["_row"], coded):
+                ids += end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for i, at in enumerate([0, *range(first, n, capacity)] if n > first else [0]):

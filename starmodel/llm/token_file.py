@@ -17,8 +17,8 @@ from starmodel.llm.tokens import byte_encoder, default_path
 
 #: Ids after which a group is closed; one document more may be in it.
 GROUP = 6_000_000
-#: Rows that go back to Spark at once.
-ROWS = 512
+#: Rows that are encoded, or go back to Spark, at once.
+ROWS = 1024
 #: The index of groups is broadcast up to this many rows (16 MB), joined beyond.
 SMALL = 500_000
 
@@ -50,8 +50,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids.append(encoder.encode(text) + end)
+                for doc, coded in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist())):
+                    ids.append(coded + end)
                     docs.append(NULL_ID if doc is None else doc)
                     held += len(ids[-1]) // 4
                     if held >= group:

@@ -6,72 +6,156 @@ import os
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Places in a text where a byte-level BPE vocabulary always starts a new piece:
 #: before a single space, and around a single line feed, between non-spaces.
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-#: Texts without these split the same way at each space and line feed.
-_ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Fixed value: the split pattern of byte-level BPE files.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of texts whose chunks are looked up, and encoded where they are new, together.
+TOGETHER = 4_000_000
 
 
-class _Ids(dict):
-    """ids (little-endian 32 bits) of a chunk after `lead`; two generations of
-    at most `most` chunks each are remembered."""
+def _odd(text: str) -> bool:
+    """Whether spaces and line feeds aren't all single and between other characters."""
+    return (
+        text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or _OTHER_SPACE.search(text) is not None
+    )
 
-    def __init__(self, encode, lead: str, most: int) -> None:
-        self.encode, self.lead, self.most, self.old = encode, lead, most, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():  # a letter run and a mark are pieces of their own
-                found = self[chunk[:-1]] + self.encode(chunk[-1])
-            else:
-                found = self.encode(self.lead + chunk)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the
+    others counted on from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
 class ByteEncoder:
     """What tokenizers gives for a text with add_special_tokens=False, without
-    truncation and padding, for a byte-level BPE file with its default split."""
+    truncation and padding, for a byte-level BPE file with its default split.
+
+    A text is cut into chunks at places where pieces always end: each word with
+    the space or line feed before it. New chunks of many texts are encoded in one
+    call of the file's model, which gets their pieces (in byte letters, as the
+    file's split would make them) one after the other, and are remembered in two
+    generations of `most`."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.marks: dict[str, bytes] = {}
-        self.first, self.after = _Ids(self._encode, "", most // 5), _Ids(self._encode, " ", most)
-        self.line_feed = self._encode("\n")
-
-    def _encode(self, text: str) -> bytes:
-        if len(text) == 1:
-            if text not in self.marks:
-                self.marks[text] = self._plain(text)
-            return self.marks[text]
-        return self._plain(text)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.pieces = regex.compile(PIECES).findall
+        letters = byte_letters()
+        self.letters = {b: ord(c) for b, c in enumerate(letters)}
+        self.space, self.line = letters[32], letters[10]
+        strings = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(strings.values()) + 1, bool)  # ids that only the first piece of a chunk has
+        for string, i in strings.items():
+            self.begins[i] = string.startswith((self.space, self.line))
+        self.most = most
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+        self.feed = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _spell(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def _split(self, key: str) -> str:
+        """The pieces of a chunk in byte letters, a space between them."""
+        if key[0] == "\n":
+            return f"{self.line} {' '.join([self._spell(p) for p in self.pieces(key[1:])])}"
+        word = key[:-1] if key[-1] in ",." else key
+        if word.isalpha():  # one piece, and a mark that is one
+            head = self.space + (word if word.isascii() else self._spell(word))
+            return head if word is key else f"{head} {key[-1]}"
+        return " ".join([self._spell(p) for p in self.pieces(" " + key)])
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encodes chunks: a word alone (it follows a space), or a line feed and a word."""
+        for at in range(0, len(keys), 20_000):
+            part = keys[at : at + 20_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(map(self._split, part))], add_special_tokens=False)[0].ids, "<u4")
+            starts = 4 * np.flatnonzero(self.begins[ids])
+            if len(starts) != len(part):
+                raise ValueError("a chunk isn't one run of pieces")
+            whole = ids.tobytes()
+            self.known.update(zip(part, [whole[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(whole)])]))
+
+    def _chunks(self, text: str) -> bytes:
+        """A text with runs of white space or other spaces."""
+        out = []
+        for chunk in _SAFE.split(text):
+            found = self.odd.get(chunk)
+            if found is None:
+                if len(self.odd) >= self.most // 4:
+                    self.odd.clear()
+                found = self.odd[chunk] = self._plain(chunk)
+            out.append(found)
+        return b"".join(out)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        some, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if _odd(text):
+                out[i] = self._chunks(text)
+                continue
+            some.append(i)
+            size += len(text)
+            if size >= TOGETHER:
+                self._encode_some(texts, some, out)
+                some, size = [], 0
+        if some:
+            self._encode_some(texts, some, out)
+        return out
+
+    def _encode_some(self, texts: list[str], some: list[int], out: list[bytes]) -> None:
+        """Each chunk that these texts have is looked up once; its ids are then
+        copied to wherever it is."""
+        lists = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in some], pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        keys, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.known.get, keys))
+        new = [k for k, v in zip(keys, found) if v is None]
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.old, self.known = self.known, {k: v for k, v in zip(keys, found) if v is not None}
+            old = self.old
+            again = {k: v for k in new if (v := old.get(k)) is not None}
+            self.known.update(again)
+            self._learn([k for k in new if k not in again] if again else new)
+            found = list(map(self.known.__getitem__, keys))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ids, n = np.frombuffer(b"".join(found), "<u4"), sizes[at]
+        ends = np.cumsum(n)
+        ids = ids[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)]
+        begin = 0
+        for i, end in zip(some, ends[lists.offsets.to_numpy()[1:] - 1].tolist()):
+            out[i] = ids[begin + 1 : end].tobytes()  # without the line feed that was set before it
+            begin = end
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return b"".join([self.after[c[1:]] if c[0] == " " and len(c) > 1 and c[1] != " " else self.first[c] for c in _SAFE.split(text)])
-        lines = []
-        first, after = self.first, self.after.__getitem__
-        for line in text.split("\n"):
-            head, _, rest = line.partition(" ")
-            lines.append(first[head] + b"".join(map(after, rest.split(" "))) if rest else first[head])
-        return self.line_feed.join(lines)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmodel.llm.tokens import default_path
+from starmodel.llm.tokens import byte_letters, default_path
 
 #: Rows that go back to Spark at once.
 ROWS = 256
@@ -22,14 +22,6 @@ ROWS = 256
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, the
-    others counted on from 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    free = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
-
-
 class WordBPE:
     """A tokenizers file of the kind: NFC, white space to spaces, lower case;
     split by pattern with the rest removed; byte letters; BPE with an end-of-word
@@ -51,7 +43,7 @@ class WordBPE:
         self.added = {s: i.to_bytes(4, "little") for s, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.most = most
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
