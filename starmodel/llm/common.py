@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starmodel.sources.shared import discard, materialize, shared_dir  # noqa: F401
+
 #: The white space and the letters that the contracts name.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,30 +29,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where
-    it is unset, as in tests, a new temporary one that the session keeps."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("starmodel.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("starmodel.shared.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read from there:
-    later steps start from the files, whichever executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path, True)
+def unpacked(docs: DataFrame, row: str = "_doc", but: Sequence[str] = ()) -> list[Column]:
+    """The columns of `docs` out of its struct, without those named in `but`."""
+    return [F.col(row).getField(c).alias(c) for c in docs.columns if c not in but]
 
 
 def numbered(df: DataFrame, order: Sequence[str], weight: str | None = None, start: str = "start", within: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starmodel.llm.common import WHITE, ascii_lower, materialize
+from starmodel.llm.common import WHITE, ascii_lower, materialize, unpacked, whole_row
 
 
 def _lines(text: Column) -> Column:
@@ -34,7 +34,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null text: one empty line, and `_kept` is "". Rows with a null or repeated
     id are documents of their own: positions are joined by id and text, and
     rows with the same id and text drop the same positions. An empty table
-    gives an empty result.
+    gives an empty result. Columns of `docs` with a result's name give way to it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     mark = lambda: F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
@@ -46,9 +46,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common = distinct.groupBy("_key").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select("_key")
     at = hashed.select("_id", "_mark", F.posexplode("_keys").alias("_pos", "_key")).where(F.col("_key").isNotNull())
     hit = at.join(common, "_key", "left_semi").groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_drop"))
-    left = docs.withColumn("_mark0", mark())
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mark0") == F.col("_mark"))
-    joined = left.join(hit, same, "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
-    lines = _lines(F.col(text_col))
-    kept = F.when(F.size("_drop") == 0, text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n"))
-    return joined.select(*[F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"), kept.alias("_kept"))
+    left = docs.select(whole_row(docs).alias("_doc"), F.col(id_col).alias("_id0"), mark().alias("_mark0"), text.alias("_text"))
+    joined = left.join(hit, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_mark0") == F.col("_mark")), "left")
+    joined = joined.withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
+    lines = _lines(F.col("_text"))
+    kept = F.when(F.size("_drop") == 0, F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n"))
+    out = joined.select("_doc", F.struct(F.size(lines).cast("long").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"), kept.alias("_kept")).alias("_out"))
+    return out.select(*unpacked(docs, but=("_n_lines", "_n_dropped", "_kept")), "_out.*")

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmodel.llm.common import unpacked, whole_row
+
 STATISTICS = (
     "chars", "words", "lines", "upper_share", "symbol_share", "bar_share", "exclaim_share", "digit_share", "stop_share",
     "word_chars", "line_words", "distinct_word_share", "distinct_line_share",
@@ -19,16 +21,17 @@ STATISTICS = (
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `_<statistic>` doubles of the whole text (null counts as empty) and
-    `_barrier`, which keeps Spark from computing a statistic once for each rule
-    that uses it."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select("*", F.length(t).cast("double").alias("_chars"), F.filter(F.split(t, "[ \\n]"), lambda w: w != "").alias("_ws"), F.split(t, "\n").alias("_ls"), F.monotonically_increasing_id().alias("_barrier"))
+    """Each row as the struct `_doc`, with `_<statistic>` doubles of its whole
+    text (null counts as empty) and `_barrier`, which keeps Spark from computing
+    a statistic once for each rule that uses it."""
+    t = F.col("_t")
+    base = docs.select(whole_row(docs).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    base = base.select("*", F.length(t).cast("double").alias("_chars"), F.filter(F.split(t, "[ \\n]"), lambda w: w != "").alias("_ws"), F.split(t, "\n").alias("_ls"), F.monotonically_increasing_id().alias("_barrier"))
     one = lambda c: F.greatest(c, F.lit(1.0))
     share = lambda n: n.cast("double") / one(F.col("_chars"))
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     out = base.select(
-        *[F.col(c) for c in docs.columns], "_chars", F.size("_ws").cast("double").alias("_words"), F.size("_ls").cast("double").alias("_lines"),
+        "_doc", "_chars", F.size("_ws").cast("double").alias("_words"), F.size("_ls").cast("double").alias("_lines"),
         share(F.regexp_count(t, F.lit("\\p{Lu}"))).alias("_upper_share"), share(F.regexp_count(t, F.lit("[#$%&*@^~<>{}=_+\\\\/\\[\\]]"))).alias("_symbol_share"),
         share(count("|")).alias("_bar_share"), share(count("!")).alias("_exclaim_share"), share(F.regexp_count(t, F.lit("[0-9]"))).alias("_digit_share"), share(count(".") + count(",")).alias("_stop_share"),
         F.size(F.array_distinct("_ws")).cast("double").alias("_dw"), F.size(F.array_distinct("_ls")).cast("double").alias("_dl"), F.monotonically_increasing_id().alias("_barrier"),
@@ -173,17 +176,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     given = given.where(~held_out(F.col("_label_id"))).groupBy("_label_id").agg(F.max("_label").alias("_label"))
     given = given.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(given), F.col("_id") == F.col("_label_id"))
-    seen = with_statistics(rows, "_text").select("_id", "_label", *[f"_{s}" for s in STATISTICS]).dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    seen = with_statistics(rows, "_text").select("_doc._id", "_doc._label", *[f"_{s}" for s in STATISTICS]).dropDuplicates(["_id"]).toPandas().sort_values("_id")
     return fit_rules(seen[[f"_{s}" for s in STATISTICS]].to_numpy(float), (seen["_label"].to_numpy() > 0).astype(float))
 
 
 def scored(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """`docs` with `_score`; one pass without a shuffle. Empty and null texts
     have statistics of zero and are scored like any other."""
-    return with_statistics(docs, text_col).select(*[F.col(c) for c in docs.columns], model.column().alias("_score"), "_barrier").drop("_barrier")
+    out = with_statistics(docs, text_col).select("_doc", model.column().alias("_own"))
+    return out.select(*unpacked(docs, but=["_score"]), F.col("_own").alias("_score"))
 
 
 def good(docs: DataFrame, model: RuleModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, as they are, whose score is at least `least`."""
     out = with_statistics(docs, text_col).where(model.column() >= least)
-    return out.select(*[F.col(c) for c in docs.columns])
+    return out.select(*unpacked(docs))

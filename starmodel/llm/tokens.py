@@ -20,6 +20,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 TOGETHER = 4_000_000
 
 
+#: Whether all of a text is below U+0250.
+LATIN = re.compile("[\\x00-\\u024f]*").fullmatch
+
+
 def _odd(text: str) -> bool:
     """Whether spaces and line feeds aren't all single and between other characters."""
     return (
@@ -57,6 +61,7 @@ class ByteEncoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = CharDelimiterSplit(" ")
         self.pieces = regex.compile(PIECES).findall
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         letters = byte_letters()
         self.letters = {b: ord(c) for b, c in enumerate(letters)}
         self.space, self.line = letters[32], letters[10]
@@ -77,7 +82,10 @@ class ByteEncoder:
         return piece.encode().decode("latin-1").translate(self.letters)
 
     def _split(self, key: str) -> str:
-        """The pieces of a chunk in byte letters, a space between them."""
+        """The pieces of a chunk in byte letters, a space between them. Beyond
+        Latin the file's own split decides what a letter is, as Unicode versions differ."""
+        if not LATIN(key):
+            return " ".join([p for p, _ in self.split(key if key[0] == "\n" else " " + key)])
         if key[0] == "\n":
             return f"{self.line} {' '.join([self._spell(p) for p in self.pieces(key[1:])])}"
         word = key[:-1] if key[-1] in ",." else key

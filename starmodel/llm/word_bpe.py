@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmodel.llm.tokens import byte_letters, default_path
+from starmodel.llm.tokens import LATIN, byte_letters, default_path
 
 #: Rows that go back to Spark at once.
 ROWS = 256
@@ -29,6 +29,7 @@ class WordBPE:
 
     def __init__(self, path: str, most: int = 200_000) -> None:
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -44,15 +45,23 @@ class WordBPE:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.letters = byte_letters()
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.most = most
         self.known: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
 
+    def spelled(self, chunk: str) -> list[str]:
+        """The pieces of a chunk in byte letters. Beyond Latin the file's own
+        split decides what a letter is, as Unicode versions differ."""
+        if LATIN(chunk):
+            return ["".join([self.letters[b] for b in p.encode()]) for p in self.pieces(chunk)]
+        return [p for p, _ in self.split(chunk)]
+
     def merge(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece: ranks wait in a queue over a doubly linked list
+        """The ids of one piece in byte letters: ranks wait in a queue over a doubly linked list
         of symbols; an entry whose pair has changed since is stale and skipped."""
-        symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
+        symbols = list(piece)
         symbols[-1] += self.suffix
         ids = [i for i in map(self.vocab.get, symbols) if i is not None]
         n = len(ids)
@@ -94,7 +103,7 @@ class WordBPE:
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         found = self.old.get(chunk)
         if found is None:
-            ids = [i for piece in self.pieces(chunk) for i in self._piece(piece)]
+            ids = [i for piece in self.spelled(chunk) for i in self._piece(piece)]
             found = (b"".join([i.to_bytes(4, "little") for i in ids]), self.decode(ids))
         if len(self.chunks) >= self.most:
             self.old, self.chunks = self.chunks, {}
