@@ -248,6 +248,26 @@ def j13_role_dates(spark, d):
     return header.select(F.col("SalesOrderID").alias("o_orderkey"), *[lookup.role_date_key(c).alias(f"{c}Key") for c in ("OrderDate", "DueDate", "ShipDate")])
 
 
+@query(f"{FACT} SELECT strftime(OrderDate, '%Y-%m') AS OrderMonth, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact WHERE OrderDate >= TIMESTAMP '1997-03-01' AND OrderDate < TIMESTAMP '1997-05-01' GROUP BY 1")
+def s11_publish(spark, d):
+    """The fact is published in folders by order month; two of them are read."""
+    path = f"{shared_dir(spark)}/fact-{uuid.uuid4().hex}"
+    fact.publish(warehouse.sales_fact(spark, d), path)
+    part = spark.read.parquet(path).where(F.col("OrderMonth").between("1997-03", "1997-04"))
+    return part.groupBy("OrderMonth").agg(F.count("*").alias("Lines"), F.sum("NetAmount").cast("double").alias("NetAmount"))
+
+
+@query(f"{PRODUCT_DIMS} SELECT v, n, current FROM (SELECT 1 AS v, count(*) AS n, count(*) FILTER (Cur) AS current FROM dim1 UNION ALL SELECT 2, count(*), count(*) FILTER (Cur) FROM dim2)")
+def s4_snapshots(spark, d):
+    """Two loads are written as versions of a table, laid out by what is current."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
+    first = warehouse.product_dim(spark, d, 1)[1]
+    store.write("product", first, [scd.CURRENT])
+    store.write("product", scd.apply_scd(store.read("product").select(*scd.PRODUCT.columns), shapes.staged_product(spark, d, 2), scd.PRODUCT, shapes.LOADS[1])[0], [scd.CURRENT])
+    both = [store.read("product", v).agg(F.lit(v).alias("v"), F.count("*").alias("n"), F.sum(F.col(scd.CURRENT).cast("long")).alias("current")) for v in store.versions("product")]
+    return quality.all_of(both)
+
+
 # Marts
 
 _SUMS = "CAST(sum(GrossAmount) AS DOUBLE) AS GrossAmount, CAST(sum(DiscountAmount) AS DOUBLE) AS DiscountAmount, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount"

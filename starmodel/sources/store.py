@@ -6,7 +6,10 @@ half of one. Old versions stay until they are dropped."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 class SnapshotStore:
@@ -27,7 +30,8 @@ class SnapshotStore:
         return sorted(int(n[1:-3]) for n in names if n.startswith("v") and n.endswith(".ok"))
 
     def write(self, table: str, df: DataFrame, partition_by: list[str] | None = None, note: str = "") -> int:
-        """Writes the next version and switches to it. `note` is kept in the marker."""
+        """Writes the next version and switches to it. `note` is kept in the
+        marker, and so is the schema, as folders alone don't tell a column's type."""
         found = self.versions(table)
         version = (found[-1] if found else 0) + 1
         path = f"{self.root}/{table}/v{version}"
@@ -35,7 +39,7 @@ class SnapshotStore:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         fs, marker = self._fs(f"{path}.ok")
         out = fs.create(marker, True)
-        out.write(bytearray(note.encode()))
+        out.write(bytearray(json.dumps({"note": note, "schema": df.schema.jsonValue()}).encode()))
         out.close()
         return version
 
@@ -52,18 +56,21 @@ class SnapshotStore:
         found = self.versions(table)
         if not found:
             return None
-        return self.spark.read.parquet(f"{self.root}/{table}/v{version or found[-1]}")
+        version = version or found[-1]
+        schema = T.StructType.fromJson(self._marker(table, version)["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{version}").select(*schema.names)
 
-    def note(self, table: str) -> str:
-        """The note of the current version."""
-        found = self.versions(table)
-        if not found:
-            return ""
-        fs, p = self._fs(f"{self.root}/{table}/v{found[-1]}.ok")
+    def _marker(self, table: str, version: int) -> dict:
+        fs, p = self._fs(f"{self.root}/{table}/v{version}.ok")
         stream = fs.open(p)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return text
+        return json.loads(text)
+
+    def note(self, table: str) -> str:
+        """The note of the current version."""
+        found = self.versions(table)
+        return self._marker(table, found[-1])["note"] if found else ""
 
     def drop_before(self, table: str, keep: int = 2) -> None:
         """Deletes all but the last `keep` versions."""
