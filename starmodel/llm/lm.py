@@ -15,11 +15,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmodel.llm.common import discard, materialize, words
@@ -29,7 +30,8 @@ TAILS = 256
 WIDE = 64  # outcomes of a class
 DIM = 16
 CONTEXT = 5
-BATCH = 8192  # positions of a step of training
+CHUNK = 4096  # positions that are scored over all classes at once
+BATCH = 16384  # positions of a step of training
 NOISE_CLASSES, NOISE_WORDS = 16, 8
 DICTIONARY = 200_000  # counts that every task holds; those of other words are joined
 ROUNDS = 2
@@ -86,37 +88,32 @@ class Vocabulary:
     def outcomes(self) -> int:
         return self.heads + TAILS
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The outcome and the place (-1 if not known) of each token, and the
-        words that aren't known."""
+        words that aren't known, with repeats."""
         w = words(text)
-        place = np.fromiter(map(self.known.get, w, _MISSING), np.int64, len(w)) if w else np.empty(0, np.int64)
-        rest: Counter = Counter()
+        place = np.fromiter(map(self.known.get, w, repeat(-1)), np.int64, len(w)) if w else np.empty(0, np.int64)
         ids = self.outcome[place]
-        for i in np.flatnonzero(place < 0).tolist():
-            rest[w[i]] += 1
-            ids[i] = self.heads + tail_group(w[i])
+        new = np.flatnonzero(place < 0)
+        rest = [w[i] for i in new.tolist()]
+        ids[new] = [self.heads + tail_group(x) for x in rest]
         return np.append(ids, 0), np.append(place, 0), rest
 
 
-class _Always:
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return -1
-
-
-_MISSING = _Always()
-
-
 def vocabulary(counts: DataFrame, heads: int = WORDS, dictionary: int = DICTIONARY) -> Vocabulary:
-    """Collects the most frequent words (at most `dictionary`) and sums over the rest."""
+    """Collects the most frequent words (fewer than `dictionary`, all that reach a
+    count) and sums over the rest."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(dictionary - 1).collect()
+    named = counts.where(F.length("word") > 0)
+    # from how many words have each count: the least count that few enough words reach
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("c"))
+    reached = named.groupBy("c").agg(F.count("*").alias("words")).select("c", F.sum("words").over(order).alias("words"))
+    least = reached.where(F.col("words") < dictionary).agg(F.min("c")).first()[0]
+    found = named.where(F.col("c") >= least).select("word", "c").toArrow().to_pydict() if least is not None else {"word": [], "c": []}
+    top = sorted(zip([-x for x in found["c"]], found["word"]))
     end = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    names = [END, *(bytes(r["word"]) for r in top)]
-    c = np.array([end, *(r["c"] for r in top)], np.int64)
+    names = [END, *(w for _, w in top)]
+    c = np.array([end, *(-x for x, _ in top)], np.int64)
     heads = min(heads, len(names))
     tails = np.zeros((TAILS, 2), np.int64)
     for r in counts.where(F.length("word") > 0).groupBy("tail").agg(F.sum("c").alias("s"), F.count("*").alias("w")).collect():
@@ -175,8 +172,13 @@ class LogBilinear:
     def contexts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = self.r[ids]
         h = np.zeros_like(e)
-        for j in range(CONTEXT):
-            h[j + 1 :] += self.place[j] * e[: -j - 1]
+        part = np.empty((min(len(e), CHUNK), e.shape[1]), e.dtype)
+        for at in range(0, len(e), CHUNK):  # in parts that stay in the cache
+            for j in range(CONTEXT):
+                a, b = max(at, j + 1), min(at + CHUNK, len(e))
+                if a < b:
+                    np.multiply(e[a - j - 1 : b - j - 1], self.place[j], out=part[: b - a])
+                    h[a:b] += part[: b - a]
         return h, e
 
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -185,8 +187,8 @@ class LogBilinear:
         h = self.contexts(ids)[0][at]
         target = ids[at]
         k, number = target % self.classes, target // self.classes
-        out = _log_softmax(h @ self.qc.T + self.bc, k)
-        order = np.argsort(k.astype(np.uint8 if self.classes <= 256 else np.int32), kind="stable")
+        out = np.concatenate([_log_softmax(h[i : i + CHUNK] @ self.qc.T + self.bc, k[i : i + CHUNK]) for i in range(0, len(h), CHUNK)])
+        order = np.argsort(k.astype(np.uint8 if self.classes <= 256 else np.int32), kind="stable")  # bytes are sorted by counting
         ends = np.cumsum(np.bincount(k, minlength=self.classes))
         for c, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
             if a < b:
@@ -196,10 +198,15 @@ class LogBilinear:
 
 
 def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """log(softmax(s)) at `pick`; scores that can't overflow need no shift."""
     chosen = s[np.arange(len(s)), pick].astype(np.float64)
-    top = s.max(axis=1, keepdims=True)
-    np.exp(s - top, out=s)
-    return chosen - top[:, 0] - np.log(s.sum(axis=1, dtype=np.float64))
+    high = float(s.max())
+    shift = s.max(axis=1, keepdims=True) if high > 60 or high < -60 else None
+    if shift is not None:
+        s -= shift
+        chosen -= shift[:, 0]
+    np.exp(s, out=s)
+    return chosen - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -211,7 +218,7 @@ class Trainer:
     told from noise that is drawn by frequency and shared by a step's positions.
     Gradients are scaled by their past squares."""
 
-    def __init__(self, model: LogBilinear, seed: int, rate: float = 0.08) -> None:
+    def __init__(self, model: LogBilinear, seed: int, rate: float = 0.1) -> None:
         self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
         self.past = {p: np.full(getattr(model, p).shape, 1e-2, np.float32) for p in model.PARTS}
 
@@ -238,7 +245,7 @@ class Trainer:
 
         noise = rng.choice(m.classes, NOISE_CLASSES, p=m.class_share / m.class_share.sum())
         dh += contrast(h, m.qc, m.bc, m.class_share, k, noise, grads["qc"], grads["bc"])
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.uint8 if m.classes <= 256 else np.int32), kind="stable")
         ends = np.cumsum(np.bincount(k, minlength=m.classes))
         draws = rng.random((m.classes, NOISE_WORDS))
         cumulative = np.cumsum(m.word_share, axis=1)
@@ -342,9 +349,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heads
                 tails = ids[ids >= voc.heads] - voc.heads
                 base = plus[place[known]].sum() - len(ids) * np.log10(n + v + 1.0)
                 own = plus[place[place >= voc.heads]].sum() - tail_log[tails].sum()
-                held.append((row, doc, out, len(ids), int((voc.counts[place[known]] > 0).sum()), base, own, list(rest), list(rest.values()), ids))
+                held.append((row, doc, out, len(ids), int((voc.counts[place[known]] > 0).sum()), base, own, list(times := Counter(rest)), list(times.values()), ids))
                 size += len(ids)
-                if size > 40_000:
+                if size > 80_000:
                     yield scored(lm, held)
                     held, size = [], 0
             if held:
