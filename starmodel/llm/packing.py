@@ -100,40 +100,24 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 48, smallest: floa
         runs.append((capacity, 0, sequence, 0, 0))
     grouped = group_lengths(counts, least, groups)
     sizes, demand = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
-    stock = [[list(x) for x in g] for g in grouped]
-    merged: dict[int, int] = {}
-    for i, size in enumerate(sizes):  # groups that end up at the same size are one
-        merged.setdefault(size, i)
+    stock = [[list(x) for x in g] for g in grouped]  # of each group, what is left: [length, number], largest first
     for pattern, times in configurations(sizes, demand, capacity):
         slots = [i for i, k in sorted(pattern.items()) for _ in range(k)]
         while times:
-            step, lengths, drawn = times, [], Counter()
-            for i in slots:  # as many sequences as take the same lengths in every slot
-                drawn[i] += 1
-            at = {i: 0 for i in pattern}
-            for i, k in pattern.items():
-                step = min(step, max(1, stock[i][0][1] // k))
-            if step == 1:
-                parts = {i: [(x[0], x[1]) for x in stock[i]] for i in pattern}
-                for i in slots:
-                    while parts[i][at[i]][1] == 0:
-                        at[i] += 1
-                    length, n = parts[i][at[i]]
-                    parts[i][at[i]] = (length, n - 1)
-                    lengths.append(length)
-            else:
-                lengths = [stock[i][0][0] for i in slots]
+            # as many sequences as can have the same lengths in every slot, or one with what is next
+            step = max(1, min(times, *[stock[i][0][1] // k for i, k in pattern.items()]))
             offset = 0
-            for i, length in zip(slots, lengths):
+            for i in slots:
+                if not stock[i][0][1]:
+                    stock[i].pop(0)
+                length = stock[i][0][0]
+                stock[i][0][1] -= step
                 runs.append((length, rank[length], step, sequence, offset))
                 rank[length] += step
                 offset += length
-                for x in stock[i]:
-                    if x[0] == length:
-                        x[1] -= step
-                        break
             for i in pattern:
-                stock[i] = [x for x in stock[i] if x[1]]
+                if not stock[i][0][1]:
+                    stock[i].pop(0)
             if offset < capacity:
                 rooms.setdefault(capacity - offset, []).append((sequence, step))
             sequence += step
