@@ -96,12 +96,19 @@ def classify(dim: DataFrame, staged: DataFrame, spec: DimensionSpec) -> DataFram
     return joined.select(action.alias("action"), "d", "s")
 
 
-def assign_keys(df: DataFrame, order_by: Sequence[str], column: str, start: int) -> DataFrame:
+#: Rows that are numbered by one sorted task at most, where their number is known.
+FEW = 100_000
+
+
+def assign_keys(df: DataFrame, order_by: Sequence[str], column: str, start: int, rows: int | None = None) -> DataFrame:
     """Adds dense keys from `start` on in the order of `order_by` (unique).
+    If there are few rows (`rows`, if known), one task sorts and numbers them.
 
-    Rows are dealt by range and numbered in their parts; the parts' sizes (one
+    Otherwise rows are dealt by range and numbered in their parts; the parts' sizes (one
     row a task) give each its offset. So no task holds all rows, and as the
     numbered rows are written out, no key changes when a task runs again."""
+    if rows is not None and rows <= FEW:
+        return df.repartition(1).sortWithinPartitions(*order_by).withColumn(column, F.lit(start).cast("long") + F.monotonically_increasing_id())
     dealt = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", local), "keys")
@@ -138,10 +145,10 @@ def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: d
 
     members = old.select(*[kept(c).alias(c) for c in spec.columns])
     fresh = seen.where(F.col("action").isin("new", "t2")).select("s.*", at.alias(START), stamp(OPEN_END).alias(END), F.lit(True).alias(CURRENT), at.alias("CreatedAt"))
-    fresh = assign_keys(fresh, [spec.business_key], spec.surrogate_key, top + 1).select(*spec.columns)
+    found = {r["action"]: r["n"] for r in seen.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    fresh = assign_keys(fresh, [spec.business_key], spec.surrogate_key, top + 1, found.get("new", 0) + found.get("t2", 0)).select(*spec.columns)
     history = dim.where(~F.col(CURRENT) | (F.col(spec.surrogate_key) == UNKNOWN_KEY)).select(*spec.columns)
-    every = dim.sparkSession.createDataFrame([(a,) for a in ACTIONS], "action string")
-    counts = every.join(seen.groupBy("action").agg(F.count("*").alias("n")), "action", "left").select("action", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = dim.sparkSession.createDataFrame([(a, found.get(a, 0)) for a in ACTIONS], "action string, n long")
     return history.unionByName(members).unionByName(fresh), counts
 
 
