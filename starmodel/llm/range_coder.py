@@ -25,7 +25,7 @@ FLAG_BITS, HIGH_BITS, LOW_BITS = 12, 11, 11
 FLAG, HIGH, LOW = 1 << FLAG_BITS, 1 << HIGH_BITS, 1 << LOW_BITS
 ORDER1, ORDER2 = 1024, 2048  # contexts of a block
 CLASSES = 5  # low bytes are counted apart for the first high bytes
-GAIN = 24
+GAIN = 1
 #: What a mixing context (sureness of order 2, of order 1, alike) has seen at the
 #: start of a block: order 2 right, order 1 right, neither.
 _PRIOR = np.array([[2 * c2 + (c1 if alike else 0) + 1, 1 if alike else 2 * c1 + 1, 12 - 2 * max(c1, c2), 0] for c2 in range(4) for c1 in range(4) for alike in range(2)], np.int32)
@@ -44,27 +44,36 @@ class _Counts:
     """Order-0 counts of up to 256 symbols a row, as cumulative shares of `total`."""
 
     def __init__(self, rows: int, total: int, lookup: bool) -> None:
-        self.total, self.counts = total, np.zeros((rows, 256), np.uint16)
-        self.cum = np.empty((rows, 257), np.uint16)
-        self.find = np.empty((rows, total), np.uint8) if lookup else None
+        self.total, self.counts = total, np.zeros(rows * 256, np.uint16)
+        self.cum = np.empty(rows * 257, np.uint16)
+        self.find = np.empty(rows * total, np.uint8) if lookup else None
         self.rebuild()
 
     def rebuild(self) -> None:
         symbols = np.arange(256, dtype=np.uint8)
-        for at in range(0, len(self.counts), 512):  # in parts that stay in the cache
-            rows = self.counts[at : at + 512]
-            sums = np.cumsum(rows, axis=1, dtype=np.int64)
+        counts, cums = self.counts.reshape(-1, 256), self.cum.reshape(-1, 257)
+        for at in range(0, len(counts), 512):  # in parts that stay in the cache
+            sums = np.cumsum(counts[at : at + 512], axis=1, dtype=np.int32)
             whole = np.maximum(sums[:, -1:], 1)
-            cum = self.cum[at : at + 512]
+            cum = cums[at : at + 512]
             cum[:, 0] = 0
-            np.floor_divide(sums * (self.total - 512), whole, out=sums)
-            cum[:, 1:] = sums + np.arange(2, 514, 2)
+            cum[:, 1:] = sums * (self.total - 512) // whole + np.arange(2, 514, 2, dtype=np.int32)
             cum[:, 256] = self.total  # a row without counts gives the rest to the last symbol
             if self.find is not None:
-                self.find[at : at + 512] = np.repeat(np.tile(symbols, len(rows)), np.diff(cum, axis=1).ravel()).reshape(len(rows), -1)
+                self.find.reshape(-1, self.total)[at : at + 512] = np.repeat(np.tile(symbols, len(cum)), np.diff(cum, axis=1).ravel()).reshape(len(cum), -1)
+
+    def shares(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols' shares begin, and how large they are."""
+        at = rows * 257 + symbols
+        start = self.cum.take(at)
+        return start, self.cum.take(at + 1) - start
+
+    def symbol(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return self.find.take(rows * self.total + values).astype(np.int64)
 
     def add(self, rows: np.ndarray, symbols: np.ndarray) -> None:
-        self.counts[rows, symbols] += GAIN
+        at = rows * 256 + symbols
+        self.counts[at] = self.counts.take(at) + np.uint16(GAIN)
 
 
 class _Model:
@@ -87,7 +96,7 @@ class _Model:
         b = self.last[:k]
         self.at1 = self.base1[:k] + (b * 0x9E5 & ORDER1 - 1)
         self.at2 = self.base2[:k] + (self.before[:k] * 0x3D7 + b * 0x9E5 + (b >> 7) & ORDER2 - 1)
-        e1, e2 = self.guess1[self.at1], self.guess2[self.at2]
+        e1, e2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
         self.e1, self.e2 = e1, e2
         self.p1, self.p2 = e1 >> 2, e2 >> 2
         self.c1, self.c2 = e1 & 3, e2 & 3
@@ -97,7 +106,8 @@ class _Model:
         fresh = ids * 4 + 1
         for p, c, e, at, guess in ((self.p1, self.c1, self.e1, self.at1, self.guess1), (self.p2, self.c2, self.e2, self.at2, self.guess2)):
             guess[at] = np.where(p == ids, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        self.mixed[self.row + choice] += 1
+        at = self.row + choice
+        self.mixed[at] = self.mixed.take(at) + 1
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 
@@ -160,18 +170,15 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
         now = grid[t, :k].astype(np.int32)
         choice = np.where(now == model.p2, 0, 2 - (now == model.p1))
         at = model.row + choice
-        start = shares[at]
-        code(slice(0, k), start, shares[at + 1] - start, FLAG_BITS)
+        start = shares.take(at)
+        code(slice(0, k), start, shares.take(at + 1) - start, FLAG_BITS)
         left = np.flatnonzero(choice == 2)
         if len(left):
             high = now[left]
             high, lower = high >> 8, high & 0xFF
-            cum = model.high.cum
-            start = cum[left, high]
-            code(left, start, cum[left, high + 1] - start, HIGH_BITS)
-            rows, cum = left * CLASSES + np.minimum(high, CLASSES - 1), model.low.cum
-            start = cum[rows, lower]
-            code(left, start, cum[rows, lower + 1] - start, LOW_BITS)
+            rows = left * CLASSES + np.minimum(high, CLASSES - 1)
+            code(left, *model.high.shares(left, high), HIGH_BITS)
+            code(left, *model.low.shares(rows, lower), LOW_BITS)
             model.high.add(left, high)
             model.low.add(rows, lower)
         model.learn(k, now, choice)
@@ -215,23 +222,20 @@ def decode_blocks(blocks: list[bytes], n_ids: int, block: int) -> np.ndarray:
         model.step(t)
         model.predict(k)
         r, v = place(slice(0, k), FLAG_BITS)
-        choice = (v >= shares[model.row + 1]).astype(np.int64) + (v >= shares[model.row + 2])
+        choice = (v >= shares.take(model.row + 1)).astype(np.int64) + (v >= shares.take(model.row + 2))
         at = model.row + choice
-        start = shares[at]
-        narrow(slice(0, k), r, start, shares[at + 1] - start)
+        start = shares.take(at)
+        narrow(slice(0, k), r, start, shares.take(at + 1) - start)
         now = np.where(choice == 0, model.p2, model.p1)
         left = np.flatnonzero(choice == 2)
         if len(left):
             r, v = place(left, HIGH_BITS)
-            high, cum = model.high.find[left, v], model.high.cum
-            wide = high.astype(np.int64)
-            start = cum[left, wide]
-            narrow(left, r, start, cum[left, wide + 1] - start)
-            rows, cum = left * CLASSES + np.minimum(wide, CLASSES - 1), model.low.cum
+            wide = model.high.symbol(left, v)
+            narrow(left, r, *model.high.shares(left, wide))
+            rows = left * CLASSES + np.minimum(wide, CLASSES - 1)
             r, v = place(left, LOW_BITS)
-            lower = model.low.find[rows, v].astype(np.int64)
-            start = cum[rows, lower]
-            narrow(left, r, start, cum[rows, lower + 1] - start)
+            lower = model.low.symbol(rows, v)
+            narrow(left, r, *model.low.shares(rows, lower))
             model.high.add(left, wide)
             model.low.add(rows, lower)
             now[left] = wide << 8 | lower
