@@ -43,13 +43,15 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "line-keys",
     )
     distinct = hashed.select(F.explode(F.array_distinct(F.array_compact("_keys"))).alias("_key"))
-    common = distinct.groupBy("_key").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select("_key")
+    # written, so that the join has a plain table on this side and splits a key that many rows have
+    common = materialize(distinct.groupBy("_key").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select("_key"), "common-lines")
     at = hashed.select("_id", "_mark", F.posexplode("_keys").alias("_pos", "_key")).where(F.col("_key").isNotNull())
     hit = at.join(common, "_key", "left_semi").groupBy("_id", "_mark").agg(F.collect_set("_pos").alias("_drop"))
-    left = docs.select(whole_row(docs).alias("_doc"), F.col(id_col).alias("_id0"), mark().alias("_mark0"), text.alias("_text"))
+    left = docs.select(whole_row(docs).alias("_doc"), F.col(id_col).alias("_id0"), mark().alias("_mark0"))
     joined = left.join(hit, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_mark0") == F.col("_mark")), "left")
     joined = joined.withColumn("_drop", F.coalesce("_drop", F.array().cast("array<int>")))
-    lines = _lines(F.col("_text"))
-    kept = F.when(F.size("_drop") == 0, F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n"))
+    body = F.coalesce(F.col("_doc").getField(text_col), F.lit(""))  # the text goes through the shuffle once
+    lines = _lines(body)
+    kept = F.when(F.size("_drop") == 0, body).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n"))
     out = joined.select("_doc", F.struct(F.size(lines).cast("long").alias("_n_lines"), F.size("_drop").cast("long").alias("_n_dropped"), kept.alias("_kept")).alias("_out"))
     return out.select(*unpacked(docs, but=("_n_lines", "_n_dropped", "_kept")), "_out.*")
