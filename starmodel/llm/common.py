@@ -39,6 +39,17 @@ def unpacked(docs: DataFrame, row: str = "_doc", but: Sequence[str] = ()) -> lis
     return [F.col(row).getField(c).alias(c) for c in docs.columns if c not in but]
 
 
+def hash_sample(df: DataFrame, column: str, most: int) -> DataFrame:
+    """At most `most` rows: those whose `column` has the smallest hashes. Rows
+    that cannot be among them are left out before the few others are sorted."""
+    n = df.count()
+    if n <= most:
+        return df
+    h = F.xxhash64(column).bitwiseAND(F.lit((1 << 63) - 1))
+    likely = df.where(h <= F.lit(int(((1 << 63) - 1) * min(1.0, 1.2 * most / n + 1e-4))))
+    return likely.orderBy(h, column).limit(most)
+
+
 def numbered(df: DataFrame, order: Sequence[str], weight: str | None = None, start: str = "start", within: str | None = None) -> DataFrame:
     """Adds `start`: the sum of `weight` (1 each if None) over the rows before
     this one in the order of `order` (unique together), from 0 in each value of

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starmodel.llm.common import unpacked, whole_row
+from starmodel.llm.common import hash_sample, unpacked, whole_row
 
 STATISTICS = (
     "chars", "words", "lines", "upper_share", "symbol_share", "bar_share", "exclaim_share", "digit_share", "stop_share",
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     largest counts."""
     given = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label")).where("_label IS NOT NULL AND _label_id IS NOT NULL")
     given = given.where(~held_out(F.col("_label_id"))).groupBy("_label_id").agg(F.max("_label").alias("_label"))
-    given = given.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
+    given = hash_sample(given, "_label_id", most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(given), F.col("_id") == F.col("_label_id"))
     seen = with_statistics(rows, "_text").select("_doc._id", "_doc._label", *[f"_{s}" for s in STATISTICS]).dropDuplicates(["_id"]).toPandas().sort_values("_id")
     return fit_rules(seen[[f"_{s}" for s in STATISTICS]].to_numpy(float), (seen["_label"].to_numpy() > 0).astype(float))
