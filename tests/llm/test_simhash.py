@@ -107,3 +107,16 @@ def test_links_between_classes(spark):
     texts = [BASE, BASE + " end", "  " + BASE, "something else entirely that shares no shingle with it"]
     grouped, found = near_classes(table(spark, texts))
     assert len({r.root for r in grouped.collect()}) == 2 and found.count() == 1
+
+
+def test_line_repeated_in_one_copy(spark):
+    """Repeats inside a text change its fingerprint with repeats, not its set of shingles."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(30):
+        base = " ".join(f"w{x}" for x in rng.integers(0, 90_000, 200))
+        line = "\n" + " ".join(f"r{x}" for x in rng.integers(0, 90_000, 10))
+        texts += [base + line, base + line * 20]
+    root = brute_near(rows(texts))
+    assert root == [i - i % 2 for i in range(60)]
+    assert sorted(r.doc_id for r in first_of_each(table(spark, texts)).collect()) == list(range(0, 60, 2))
