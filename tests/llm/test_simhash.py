@@ -1,6 +1,7 @@
 import numpy as np
 import xxhash
 
+from starmodel.llm import near_dedup
 from starmodel.llm.near_dedup import first_of_each, near_classes
 from starmodel.llm.simhash import BKTree, links, near_groups
 
@@ -120,3 +121,31 @@ def test_line_repeated_in_one_copy(spark):
     root = brute_near(rows(texts))
     assert root == [i - i % 2 for i in range(60)]
     assert sorted(r.doc_id for r in first_of_each(table(spark, texts)).collect()) == list(range(0, 60, 2))
+
+
+def hot_texts(pairs):
+    """Texts at about 0.75 to each other, each with one partner at about 0.82."""
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{x}" for x in rng.integers(0, 90_000, 600)], []
+
+    def edited(words, times):
+        words = list(words)
+        for at in rng.choice(len(words), times, replace=False).tolist():
+            words[at] = f"x{rng.integers(0, 1 << 40)}"
+        return words
+
+    for _ in range(pairs):
+        both = edited(base, 3)
+        texts += [" ".join(edited(both, 6)) for _ in range(2)]
+    return [texts[i] for i in rng.permutation(len(texts))]
+
+
+def check_hot(spark, texts):
+    root = brute_near(rows(texts))
+    assert len(set(root)) >= len(texts) // 3
+    assert sorted(r.doc_id for r in first_of_each(table(spark, texts)).collect()) == sorted(set(root))
+
+
+def test_partners_in_other_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARD", 40)
+    check_hot(spark, hot_texts(100))
