@@ -149,3 +149,8 @@ def check_hot(spark, texts):
 def test_partners_in_other_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHARD", 40)
     check_hot(spark, hot_texts(100))
+
+
+def test_partners_behind_many_nearer(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FEW", 6)
+    check_hot(spark, hot_texts(100))
