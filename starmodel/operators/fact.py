@@ -26,7 +26,8 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
     """Order lines with the keys of the versions that were valid at the order
     date, the keys of the order, due and ship dates, and measures. `dims` names
     further dimensions: column of the key in the fact -> (dimension,
-    specification, column of the business key). Order and line ids stay."""
+    specification, column of the business key). Order and line ids stay. Lines
+    without a header are left out here; `line_rejects` returns them."""
     lines = detail.join(header, "SalesOrderID")
     lines = lookup_key(lines, product_dim, product, "ProductID", "OrderDate", before_first=before_first, attributes=("StandardCost",))
     keys = [product.surrogate_key]
@@ -41,6 +42,13 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
     return out.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit")
 
 
+def line_rejects(detail: DataFrame, header: DataFrame) -> DataFrame:
+    """The order lines that `load_fact` leaves out: those without a header, with
+    `reject_reasons` as in staging."""
+    reason = F.when(F.col("SalesOrderID").isNull(), F.lit("SalesOrderID is missing")).otherwise(F.lit("no such order"))
+    return detail.join(header.select("SalesOrderID"), "SalesOrderID", "left_anti").select(*detail.columns, F.array(reason).alias("reject_reasons"))
+
+
 def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "SalesOrderID") -> DataFrame:
     """Sums of measures of the order that are repeated on its lines, each order once."""
     return lines.groupBy(key).agg(*[F.max(m).alias(m) for m in measures]).agg(*[F.sum(m).alias(m) for m in measures])
