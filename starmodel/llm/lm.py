@@ -4,7 +4,7 @@ noise-contrastive estimation, over counts of the whole corpus.
 The outcomes of the model are the most frequent words, the end of a text, and
 tail groups, which hold all other words by their last bytes. A position's
 context is the elementwise weighted sum of the vectors of the outcomes before
-it; its product with the vectors of 64 classes, and of the 64 outcomes of a
+it; its product with the vectors of the classes, and of the outcomes of a
 class, normalised, gives the probability of an outcome. A word of a tail group
 then has its share of the group's count. Each probability is normalised, over
 all words seen in training and one slot for unseen ones a group."""
@@ -12,7 +12,6 @@ all words seen in training and one slot for unseen ones a group."""
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -20,22 +19,29 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starmodel.llm.common import discard, materialize, words
+from starmodel.llm.common import LOWER_TABLE, WHITE, discard, materialize
 
 WORDS = 3840  # outcomes that are words, the end of a text among them
 TAILS = 256
 WIDE = 64  # outcomes of a class
 DIM = 16
 CONTEXT = 5
-CHUNK = 4096  # positions that are scored over all classes at once
-BATCH = 16384  # positions of a step of training
+CHUNK = 1024  # positions that are scored over all classes at once
+BATCH, WARM_BATCH = 16384, 1024  # positions of a step of training, and of the first task's
 NOISE_CLASSES, NOISE_WORDS = 16, 8
-DICTIONARY = 200_000  # counts that every task holds; those of other words are joined
-ROUNDS = 2
+DICTIONARY = 400_000  # counts that every task holds; those of other words are joined
+WARM = 1_500_000  # tokens, about, that one task trains on first, to give all others their start
+SOME = 6_000_000  # bytes of text that are gone through together
+PARTIAL = 1_500_000  # words of which a task sums up counts before it passes them on
+RATE, WARM_RATE = 0.1, 0.2
+NEVER = -1e4  # the bias of an outcome that isn't there
 END = b""
+#: A-Z lower-cased, all white space as spaces.
+_CLEAN = LOWER_TABLE.translate(bytes(32 if chr(b) in WHITE else b for b in range(256)))
 
 
 def tail_group(word: bytes) -> int:
@@ -47,28 +53,51 @@ def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def count_words(docs: DataFrame, text_col: str = "text", most: int = 400_000) -> DataFrame:
+def _portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.DictionaryArray]]:
+    """The batches in portions of at most about SOME bytes of their column
+    `text`: the portion, where its texts' words begin, and the words as indices
+    into the different ones of the portion."""
+    for batch in batches:
+        column = batch.column(text)
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SOME, side="right")) - 1)
+            low, high = int(offsets[at]), int(offsets[end])
+            clean = (column.buffers()[2].slice(low, high - low).to_pybytes() if high > low else b"").translate(_CLEAN)
+            texts = pa.Array.from_buffers(pa.binary(), end - at, [None, pa.py_buffer((offsets[at : end + 1] - low).tobytes()), pa.py_buffer(clean)])
+            lists = pc.split_pattern(texts, b" ")
+            found = lists.flatten()
+            there = pc.not_equal(pc.binary_length(found), 0)
+            begins = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            yield batch.slice(at, end - at), begins, found.filter(there).dictionary_encode()
+            at = end
+
+
+def count_words(docs: DataFrame, text_col: str = "text", most: int = PARTIAL) -> DataFrame:
     """`word` (binary; the end of a text is empty), `tail`, `c` over all rows of
-    `docs`. Each task sums up what it has seen, at most `most` words at a time."""
+    `docs`. Each task sums up what it has seen, at about `most` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([tail_group(k) for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "tail", "c"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
-                held[END] += 1
-                if len(held) > most:
-                    yield out()
-                    held.clear()
-        yield out()
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+        for portion, _, coded in _portions(batches, 0):
+            ends = pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([len(portion)], pa.int64())})
+            held += [pa.table({"word": coded.dictionary, "c": np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))}), ends]
+            if sum(map(len, held)) > 2 * most:
+                held = [summed()]
+                if len(held[0]) > most:
+                    yield from held[0].combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from summed().combine_chunks().to_batches()
 
     given = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return given.mapInArrow(run, "word binary, tail int, c long").groupBy("word", "tail").agg(F.sum("c").alias("c"))
+    tail = F.crc32(F.substring("word", -3, 3)) % TAILS
+    return given.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).select("word", tail.cast("int").alias("tail"), "c")
 
 
 @dataclass
@@ -88,17 +117,6 @@ class Vocabulary:
     def outcomes(self) -> int:
         return self.heads + TAILS
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The outcome and the place (-1 if not known) of each token, and the
-        words that aren't known, with repeats."""
-        w = words(text)
-        place = np.fromiter(map(self.known.get, w, repeat(-1)), np.int64, len(w)) if w else np.empty(0, np.int64)
-        ids = self.outcome[place]
-        new = np.flatnonzero(place < 0)
-        rest = [w[i] for i in new.tolist()]
-        ids[new] = [self.heads + tail_group(x) for x in rest]
-        return np.append(ids, 0), np.append(place, 0), rest
-
 
 def vocabulary(counts: DataFrame, heads: int = WORDS, dictionary: int = DICTIONARY) -> Vocabulary:
     """Collects the most frequent words (fewer than `dictionary`, all that reach a
@@ -145,7 +163,7 @@ class LogBilinear:
         self.q = (rng.standard_normal((self.classes, WIDE, DIM)) * 0.1).astype(f)
         self.qc = (rng.standard_normal((self.classes, DIM)) * 0.1).astype(f)
         with np.errstate(divide="ignore"):
-            self.b = np.where(self.word_share > 0, np.log(self.word_share), -1e4).astype(f)
+            self.b = np.where(self.word_share > 0, np.log(self.word_share), NEVER).astype(f)
         self.bc = np.log(self.class_share).astype(f)
         self.place = np.ones((CONTEXT, DIM), f) / 2
 
@@ -170,7 +188,7 @@ class LogBilinear:
         return ids, np.flatnonzero(ids != self.start)
 
     def contexts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        e = self.r[ids]
+        e = self.r.take(ids, axis=0)
         h = np.zeros_like(e)
         part = np.empty((min(len(e), CHUNK), e.shape[1]), e.dtype)
         for at in range(0, len(e), CHUNK):  # in parts that stay in the cache
@@ -184,33 +202,59 @@ class LogBilinear:
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
         """The natural logarithm of each text's probability."""
         ids, at = self.stream(texts)
-        h = self.contexts(ids)[0][at]
-        target = ids[at]
+        h, target = self.contexts(ids)[0].take(at, axis=0), ids.take(at)
         k, number = target % self.classes, target // self.classes
-        out = np.concatenate([_log_softmax(h[i : i + CHUNK] @ self.qc.T + self.bc, k[i : i + CHUNK]) for i in range(0, len(h), CHUNK)])
-        order = np.argsort(k.astype(np.uint8 if self.classes <= 256 else np.int32), kind="stable")  # bytes are sorted by counting
-        ends = np.cumsum(np.bincount(k, minlength=self.classes))
-        for c, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
-            if a < b:
-                rows = order[a:b]
-                out[rows] += _log_softmax(h[rows] @ self.q[c].T + self.b[c], number[rows])
+        longest = np.sqrt((h * h).sum(axis=1).max())
+        high = lambda q, b: longest * np.sqrt((q * q).sum(axis=-1).max()) + np.abs(b[b > NEVER / 2]).max()
+        out = np.empty(len(h))
+        shift = high(self.qc, self.bc) > 60
+        for i in range(0, len(h), CHUNK):
+            out[i : i + CHUNK] = _log_softmax(h[i : i + CHUNK], self.qc, self.bc, k[i : i + CHUNK], shift)
+        order, ends = _by_class(k, self.classes)
+        h, number, more = h.take(order, axis=0), number.take(order), np.empty(len(h))
+        shift = high(self.q, self.b) > 60
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            for i in range(a, b, CHUNK):
+                e = min(b, i + CHUNK)
+                more[i:e] = _log_softmax(h[i:e], self.q[c], self.b[c], number[i:e], shift)
+        out[order] += more
         return np.add.reduceat(out, np.append(0, np.cumsum([len(t) for t in texts])[:-1]))
 
 
-def _log_softmax(s: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """log(softmax(s)) at `pick`; scores that can't overflow need no shift."""
+def _by_class(k: np.ndarray, classes: int) -> tuple[np.ndarray, list[int]]:
+    """The positions in the order of their class, and where each class begins and ends in it."""
+    order = np.argsort(k.astype(np.uint8 if classes <= 256 else np.int32), kind="stable")  # bytes are sorted by counting
+    return order, np.append(0, np.cumsum(np.bincount(k, minlength=classes))).tolist()
+
+
+def _log_softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, pick: np.ndarray, shift: bool) -> np.ndarray:
+    """log(softmax(h q + b)) at `pick`; scores that can't overflow need no shift."""
+    s = h @ q.T
+    s += b
+    if shift:
+        s -= s.max(axis=1, keepdims=True)
     chosen = s[np.arange(len(s)), pick].astype(np.float64)
-    high = float(s.max())
-    shift = s.max(axis=1, keepdims=True) if high > 60 or high < -60 else None
-    if shift is not None:
-        s -= shift
-        chosen -= shift[:, 0]
     np.exp(s, out=s)
     return chosen - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of `values` (one row each) by `rows` (below n, itself below 65,536)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    found = rows.take(order)
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[found[first]] = np.add.reduceat(values.take(order, axis=0), first)
+    return out
 
 
 class Trainer:
@@ -218,167 +262,243 @@ class Trainer:
     told from noise that is drawn by frequency and shared by a step's positions.
     Gradients are scaled by their past squares."""
 
-    def __init__(self, model: LogBilinear, seed: int, rate: float = 0.1) -> None:
+    def __init__(self, model: LogBilinear, seed: int, rate: float = RATE, past: np.ndarray | None = None) -> None:
         self.m, self.rng, self.rate = model, np.random.default_rng(seed), rate
-        self.past = {p: np.full(getattr(model, p).shape, 1e-2, np.float32) for p in model.PARTS}
+        self.past = np.full(len(model.flat()), 1e-2, np.float32) if past is None else past.astype(np.float32)
+        self.log_class = np.log(NOISE_CLASSES * model.class_share).astype(np.float32)
+        self.log_word = np.log(NOISE_WORDS * np.maximum(model.word_share, 1e-30)).astype(np.float32)
+        self.cumulative = np.cumsum(model.word_share, axis=1)
 
     def step(self, texts: list[np.ndarray]) -> None:
-        m, rng = self.m, self.rng
+        m, rng, classes = self.m, self.rng, self.m.classes
         ids, at = m.stream(texts)
         h_all, e = m.contexts(ids)
-        h, target = h_all[at], ids[at]
-        k, number = target % m.classes, target // m.classes
-        grads = {p: np.zeros_like(getattr(m, p)) for p in m.PARTS}
-        dh = np.zeros_like(h)
-
-        def contrast(h, q, b, share, pick, noise, dq, db) -> np.ndarray:
-            shift = np.log(len(noise) * share + 1e-30).astype(np.float32)
-            good = 1 - _sigmoid(np.einsum("nd,nd->n", h, q[pick]) + b[pick] - shift[pick])
-            bad = -_sigmoid(h @ q[noise].T + b[noise] - shift[noise])
-            hot = np.zeros((len(h), len(q)), np.float32)
-            hot[np.arange(len(h)), pick] = good
-            dq += hot.T @ h
-            db += hot.sum(axis=0)
-            np.add.at(dq, noise, bad.T @ h)
-            np.add.at(db, noise, bad.sum(axis=0))
-            return good[:, None] * q[pick] + bad @ q[noise]
-
-        noise = rng.choice(m.classes, NOISE_CLASSES, p=m.class_share / m.class_share.sum())
-        dh += contrast(h, m.qc, m.bc, m.class_share, k, noise, grads["qc"], grads["bc"])
-        order = np.argsort(k.astype(np.uint8 if m.classes <= 256 else np.int32), kind="stable")
-        ends = np.cumsum(np.bincount(k, minlength=m.classes))
-        draws = rng.random((m.classes, NOISE_WORDS))
-        cumulative = np.cumsum(m.word_share, axis=1)
-        for c, (a, b) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
-            if a < b:
-                rows = order[a:b]
-                noise = np.minimum(np.searchsorted(cumulative[c], draws[c] * cumulative[c, -1]), WIDE - 1)
-                dh[rows] += contrast(h[rows], m.q[c], m.b[c], m.word_share[c], number[rows], noise, grads["q"][c], grads["b"][c])
+        h, target = h_all.take(at, axis=0), ids.take(at)
+        order, ends = _by_class(target % classes, classes)
+        h, target = h.take(order, axis=0), target.take(order)  # by class from here
+        k, cell = target % classes, target % classes * WIDE + target // classes
+        q, b = m.q.reshape(-1, DIM), m.b.reshape(-1)
+        # classes: the observed one, then the noise
+        noise = rng.choice(classes, NOISE_CLASSES, p=m.class_share / m.class_share.sum())
+        mine = m.qc.take(k, axis=0)
+        good = 1 - _sigmoid(np.einsum("nd,nd->n", h, mine) + (m.bc - self.log_class).take(k))
+        bad = h @ m.qc[noise].T
+        bad += (m.bc - self.log_class)[noise]
+        bad = _sigmoid(bad)
+        mine *= good[:, None]
+        dh = mine
+        dh -= bad @ m.qc[noise]
+        starts = np.flatnonzero(np.diff(ends))
+        gqc, gbc = np.zeros_like(m.qc), np.zeros_like(m.bc)
+        gqc[starts] = np.add.reduceat(h * good[:, None], np.array(ends)[starts])
+        gbc[starts] = np.add.reduceat(good, np.array(ends)[starts])
+        np.subtract.at(gqc, noise, bad.T @ h)
+        np.subtract.at(gbc, noise, bad.sum(axis=0))
+        # outcomes in their class
+        mine = q.take(cell, axis=0)
+        good = 1 - _sigmoid(np.einsum("nd,nd->n", h, mine) + b.take(cell) - self.log_word.reshape(-1).take(cell))
+        draws = rng.random((classes, NOISE_WORDS)) * self.cumulative[:, -1:]
+        noise = (self.cumulative[:, None, :] < draws[:, :, None]).sum(axis=2).clip(max=WIDE - 1) + np.arange(classes)[:, None] * WIDE
+        qn, bn = q[noise], b[noise] - self.log_word.reshape(-1)[noise]
+        bad = np.empty((len(h), NOISE_WORDS), np.float32)
+        there = [(c, i, j) for c, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if i < j]
+        for c, i, j in there:
+            np.matmul(h[i:j], qn[c].T, out=bad[i:j])
+        bad += bn.take(k, axis=0)
+        _sigmoid(bad)
+        mine *= good[:, None]
+        dh += mine
+        gn = np.zeros_like(qn)
+        for c, i, j in there:
+            dh[i:j] -= bad[i:j] @ qn[c]
+            gn[c] = bad[i:j].T @ h[i:j]
+        gb = np.zeros((classes, NOISE_WORDS), np.float32)
+        gb[[c for c, _, _ in there]] = np.add.reduceat(bad, [i for _, i, _ in there])
+        gq, gbias = _sums(cell, h * good[:, None], len(q)), np.bincount(cell, good, len(q)).astype(np.float32)
+        np.subtract.at(gq, noise.reshape(-1), gn.reshape(-1, DIM))
+        np.subtract.at(gbias, noise.reshape(-1), gb.reshape(-1))
+        # back through the contexts
         wide = np.zeros_like(h_all)
-        wide[at] = dh
-        de = np.zeros_like(e)
-        for j in range(CONTEXT):
-            de[: -j - 1] += m.place[j] * wide[j + 1 :]
-            grads["place"][j] = np.einsum("nd,nd->d", wide[j + 1 :], e[: -j - 1])
-        for d in range(DIM):
-            grads["r"][:, d] = np.bincount(ids, de[:, d], len(m.r))
-        for p, g in grads.items():
-            self.past[p] += (g / len(at)) ** 2 * 1e4
+        wide[at[order]] = dh
+        de, gp = np.zeros_like(e), np.zeros_like(m.place)
+        part, ones = np.empty((CHUNK, DIM), np.float32), np.ones(CHUNK, np.float32)
+        for i in range(0, len(e), CHUNK):
+            for j in range(CONTEXT):
+                end = min(i + CHUNK, len(e) - j - 1)
+                if i < end:
+                    later = wide[i + j + 1 : end + j + 1]
+                    np.multiply(later, m.place[j], out=part[: end - i])
+                    de[i:end] += part[: end - i]
+                    np.multiply(later, e[i:end], out=part[: end - i])
+                    gp[j] += ones[: end - i] @ part[: end - i]
+        g = np.concatenate([x.reshape(-1) for x in (_sums(ids, de, len(m.r)), gq, gqc, gbias, gbc, gp)])
+        g *= 1e2 / len(at)
+        self.past += g * g
+        g *= self.rate / np.sqrt(self.past)
+        i = 0
+        for p in m.PARTS:
             value = getattr(m, p)
-            value += self.rate * (g / len(at) * 1e2) / np.sqrt(self.past[p])
-
-
-def train(docs: DataFrame, vocab, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> LogBilinear:
-    """Trains on all rows of `docs`. In each round the tasks start from the same
-    model, train on their part of the round's rows (all rows are in one of the
-    rounds), and what they end with is averaged, weighted by tokens, in two
-    levels; only the averaged model (a size that is fixed) reaches the driver."""
-    spark = docs.sparkSession
-    model = LogBilinear(weights)
-    for turn in range(rounds):
-        start = spark.sparkContext.broadcast(model)
-        part = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rounds)) == turn).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            mine = LogBilinear(weights)
-            mine.load(start.value.flat())
-            trainer, held, size, seen = Trainer(mine, 100 + turn), [], 0, 0
-            for batch in batches:
-                for text in batch.column(0):
-                    ids = vocab.value.encode(text.as_py())[0]
-                    for at in range(0, len(ids), BATCH):  # a long text is more than one step
-                        held.append(ids[at : at + BATCH])
-                        size += len(held[-1])
-                        if size >= BATCH:
-                            trainer.step(held)
-                            held, seen, size = [], seen + size, 0
-            if held:
+            value += g[i : i + value.size].reshape(value.shape)
+            i += value.size
+
+
+def _train(model: LogBilinear, past: np.ndarray | None, batch: int, rate: float, seed: int, texts: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Trains `model` in steps of `batch` positions; gives the past squares and the positions."""
+    trainer, held, size, seen = Trainer(model, seed, rate, past), [], 0, 0
+    for ids in texts:
+        for at in range(0, len(ids), batch):  # a long text is more than one step
+            held.append(ids[at : at + batch])
+            size += len(held[-1])
+            if size >= batch:
                 trainer.step(held)
-                seen += size
-            if seen:
-                blob = (mine.flat().astype(np.float64) * seen).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([blob], pa.binary())], ["part", "seen", "sums"])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(b, "<f4").astype(np.float64) for b in pdf["sums"])
-            return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "seen": [pdf["seen"].sum()], "sums": [total.astype("<f4").tobytes()]})
-
-        schema = "part long, seen double, sums binary"
-        sums = materialize(part.mapInArrow(run, schema), "lm-parts")
-        groups = max(1, int(sums.count() ** 0.5))
-        sums_of = sums.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInPandas(add, schema).groupBy(F.lit(0).alias("g")).applyInPandas(add, schema).collect()
-        discard(sums)
-        if sums_of:
-            model = LogBilinear(weights)
-            model.load(np.frombuffer(sums_of[0]["sums"], "<f4").astype(np.float64) / sums_of[0]["seen"])
+                held, seen, size = [], seen + size, 0
+    if held:
+        trainer.step(held)
+    return trainer.past, seen + size
+
+
+def train(texts: DataFrame, weights: np.ndarray, n: int) -> LogBilinear:
+    """Trains on all rows of `texts` (`row`, `ids`: outcomes as 16-bit integers;
+    `n` in all). One task trains on a sample of about WARM outcomes, chosen by
+    hash; all tasks then start from its model, train on their own rows, and what
+    they end with is averaged, weighted by outcomes, in two levels. Only models
+    (their size is fixed) are brought together, and reach the driver. The last
+    level is one task for the square root of the number of tasks."""
+    spark = texts.sparkSession
+    model, past = LogBilinear(weights), None
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for ids in batch.column(0):
+                yield np.frombuffer(ids.as_buffer(), "<u2").astype(np.int64)
+
+    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = LogBilinear(weights)
+        squares, seen = _train(mine, None, WARM_BATCH, WARM_RATE, 7, arrays(batches))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in (mine.flat(), squares)], ["model", "past"])
+
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, WARM / max(1, n))))
+    found = some.select("ids", F.xxhash64("row").alias("h")).repartition(1).sortWithinPartitions("h").select("ids").mapInArrow(warm, "model binary, past binary").collect()
+    if found:
+        model.load(np.frombuffer(found[0]["model"], "<f4"))
+        past = np.frombuffer(found[0]["past"], "<f4")
+    start = spark.sparkContext.broadcast((model.flat(), past))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, mine = TaskContext.get().partitionId(), LogBilinear(weights)
+        mine.load(start.value[0])
+        _, seen = _train(mine, start.value[1], BATCH, RATE, 100 + part, arrays(batches))
+        if seen:
+            blob = (mine.flat().astype(np.float64) * seen).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([blob], pa.binary())], ["part", "seen", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, "<f4").astype(np.float64) for b in pdf["sums"])
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "seen": [pdf["seen"].sum()], "sums": [total.astype("<f4").tobytes()]})
+
+    schema = "part long, seen double, sums binary"
+    sums = materialize(texts.select("ids").mapInArrow(run, schema), "lm-parts")
+    groups = max(1, int(sums.count() ** 0.5))
+    whole = sums.groupBy(F.pmod("part", F.lit(groups)).alias("g")).applyInPandas(add, schema).groupBy(F.lit(0).alias("g")).applyInPandas(add, schema).collect()
+    discard(sums)
+    if whole:
+        model.load(np.frombuffer(whole[0]["sums"], "<f4").astype(np.float64) / whole[0]["seen"])
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heads: int = WORDS, dictionary: int = DICTIONARY, rounds: int = ROUNDS) -> DataFrame:
+def encoded(docs: DataFrame, vocab, text_col: str = "text") -> DataFrame:
+    """`docs` with its text as `ids` (the outcome of each token, as 16-bit
+    integers), `n_tokens`, `known` (tokens of the dictionary that were counted),
+    `base` (what they add to the logarithm to base 10 under add-one counts, less
+    the total's part), `own` (what the shares of words in their tail groups add,
+    but for words that aren't in the dictionary), and `rest`, these words."""
+    columns = [c for c in docs.columns if c != text_col]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [*columns, "ids", "n_tokens", "known", "base", "own", "rest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = vocab.value
+        plus, tail_log = np.log10(voc.counts + 1.0), np.log10(voc.tail_total.astype(float))
+        total = np.log10(voc.n + voc.v + 1.0)
+        for portion, begins, coded in _portions(batches, len(columns)):
+            different = coded.dictionary.to_pylist()
+            place = np.fromiter(map(voc.known.get, different, repeat(-1)), np.int64, len(different))
+            outcome = voc.outcome[place]
+            new = np.flatnonzero(place < 0)
+            outcome[new] = [voc.heads + tail_group(different[i]) for i in new.tolist()]
+            base = np.where(place < 0, 0.0, plus[place])
+            # a word of a tail group, and one that the dictionary lacks, whose count is joined later
+            own = np.where(outcome < voc.heads, 0.0, base - tail_log[np.maximum(outcome - voc.heads, 0)])
+            words = coded.indices.to_numpy()
+            inside = lambda x: np.diff(np.append(0.0, np.cumsum(x[words]))[begins])
+            known = inside((place >= 0) & (voc.counts[place] > 0)).astype(np.int64) + int(voc.counts[0] > 0)
+            n = np.diff(begins) + 1
+            ids = np.zeros(len(words) + len(portion), "<u2")
+            ids[np.arange(len(words)) + np.repeat(np.arange(len(portion)), n - 1)] = outcome[words]
+            rest = place[words] < 0
+            offsets = np.append(0, np.cumsum(rest))[begins].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *portion.columns[: len(columns)],
+                    pa.Array.from_buffers(pa.binary(), len(portion), [None, pa.py_buffer((2 * np.append(0, np.cumsum(n))).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    pa.array(n), pa.array(known), pa.array(inside(base) + plus[0] - n * total), pa.array(inside(own)),
+                    pa.ListArray.from_arrays(pa.array(offsets), coded.dictionary.take(pa.array(words[rest]))),
+                ],
+                names,
+            )
+
+    given = docs.select(*columns, text_col)
+    return given.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ids binary, n_tokens long, known long, base double, own double, rest array<binary>"]))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heads: int = WORDS, dictionary: int = DICTIONARY) -> DataFrame:
     """Each row of `docs` as `doc_id`, `held_out`, `n_tokens`, `n_known`,
     `train_tokens`, `base_score`, `score`: logarithms to base 10 of the
     probability of its whole text (null: empty) under add-one counts and under
-    the model, learned from the rows that aren't held out.
+    the model, learned from the rows that aren't held out. Other columns of
+    `docs`, whatever their names, have no part in it.
 
     All training tokens are counted in Spark. The most frequent words (a number
     that is fixed) are in every task; other words of a text are exploded and
-    joined to the counts, so no task holds them all. Without training rows every
-    word is unseen. Rows with the same id are scored one by one.
+    joined to the counts, so no task holds them all. Texts are split once into
+    outcomes, which training and scoring then read. Without training rows every
+    word is unseen; an empty table gives no rows. Rows with the same id are
+    scored one by one.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), is_held_out(F.col(id_col)).alias("held_out"))
-    training = given.where(~F.col("held_out"))
-    counts = materialize(count_words(training), "lm-counts")
+    counts = materialize(count_words(given.where(~F.col("held_out"))), "lm-counts")
     vocab = vocabulary(counts, heads, dictionary)
-    shared = spark.sparkContext.broadcast(vocab)
-    model = spark.sparkContext.broadcast(train(training, shared, vocab.weights, rounds=rounds))
     n, v = vocab.n, vocab.v
+    texts = given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    texts = materialize(encoded(texts, spark.sparkContext.broadcast(vocab)), "lm-texts")
+    model = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")).select("row", "ids"), vocab.weights, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, lm = shared.value, model.value
-        plus = np.log10(voc.counts + 1.0)
-        tail_log = np.log10(voc.tail_total.astype(float))
         for batch in batches:
-            held: list[tuple] = []
-            size = 0
-            for row, doc, out, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), batch.column(2)):
-                ids, place, rest = voc.encode(text.as_py())
-                known = place >= 0
-                tails = ids[ids >= voc.heads] - voc.heads
-                base = plus[place[known]].sum() - len(ids) * np.log10(n + v + 1.0)
-                own = plus[place[place >= voc.heads]].sum() - tail_log[tails].sum()
-                held.append((row, doc, out, len(ids), int((voc.counts[place[known]] > 0).sum()), base, own, list(times := Counter(rest)), list(times.values()), ids))
-                size += len(ids)
-                if size > 80_000:
-                    yield scored(lm, held)
+            held, size, logs = [], 0, [np.empty(0)]
+            for x in batch.column(0):
+                ids = np.frombuffer(x.as_buffer(), "<u2").astype(np.int64)
+                if size and size + len(ids) > 80_000:
+                    logs.append(model.value.log_probabilities(held))
                     held, size = [], 0
+                if len(ids) > 80_000:  # in parts, each after the words before it
+                    logs.append(np.array([sum(_parts(model.value, ids))]))
+                else:
+                    held.append(ids)
+                    size += len(ids)
             if held:
-                yield scored(lm, held)
-
-    def scored(lm: LogBilinear, held: list[tuple]) -> pa.RecordBatch:
-        # a very long text in parts, each after the words before it
-        logs = [sum(_parts(lm, h[9])) if len(h[9]) > 100_000 else None for h in held]
-        short = [h[9] for h, x in zip(held, logs) if x is None]
-        found = iter(lm.log_probabilities(short).tolist() if short else [])
-        logs = [next(found) if x is None else x for x in logs]
-        columns = list(zip(*held))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.float64()),
-                pa.array([x / np.log(10) + own for x, own in zip(logs, columns[6])], pa.float64()), pa.array(columns[7], pa.list_(pa.binary())), pa.array(columns[8], pa.list_(pa.int64())),
-            ],
-            ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rest", "times"],
-        )
-
-    first = materialize(
-        given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rest array<binary>, times array<long>"),
-        "lm-first",
-    )
-    rest = first.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
-    found = rest.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("times").alias("also"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more"))
-    out = first.drop("rest", "times").join(found, "row", "left")
+                logs.append(model.value.log_probabilities(held))
+            columns = [*batch.columns[1:-1], pa.array(np.concatenate(logs) / np.log(10) + batch.column(batch.num_columns - 1).to_numpy())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model"])
+
+    scored = texts.select("ids", "row", "doc_id", "held_out", "n_tokens", "known", "base", "own").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
+    rest = texts.select("row", F.explode("rest").alias("word"))
+    found = rest.join(counts.select("word", "c"), "word").groupBy("row").agg(F.count("*").alias("also"), F.sum(F.log10(F.col("c") + 1.0)).alias("more"))
+    out = scored.join(found, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -12,7 +12,7 @@ from .helpers import BASE, rows, table
 
 def test_lm_counts_brute_force(spark):
     for heads, dictionary in ((3840, 200_000), (8, 20)):
-        got = lm.score(table(spark), heads=heads, dictionary=dictionary, rounds=1).collect()
+        got = lm.score(table(spark), heads=heads, dictionary=dictionary).collect()
         given = rows()
         out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         c = Counter(w for g in given if not out(g[0]) for w in [*words(g[1]), b""])
@@ -56,8 +56,36 @@ def test_lm_long_text_in_parts():
     assert abs(sum(lm._parts(model, ids, 77)) - model.log_probabilities([ids])[0]) < 1e-2
 
 
+def test_lm_tail_groups_are_shared_out(spark):
+    """The words of a tail group, each with its count and one, and an unseen one make up its total."""
+    counts = lm.count_words(table(spark))
+    vocab = lm.vocabulary(counts, heads=8)
+    seen = {r.word: (r.tail, r.c) for r in counts.collect() if r.word}
+    assert all(tail == lm.tail_group(w) for w, (tail, _) in seen.items())
+    want = np.ones(lm.TAILS, int)
+    for w, (tail, c) in seen.items():
+        want[tail] += (c + 1) * (vocab.known[w] >= 8)
+    assert (vocab.tail_total == want).all()
+    assert vocab.weights.sum() == vocab.n == sum(c for _, c in seen.values()) + len(rows())
+
+
+def test_lm_long_text_keeps_its_place(spark):
+    """Texts that are scored in parts stay in the order of the rows."""
+    given = ["one two", "the quick fox " * 30_000, "one two", "three"]
+    got = {r.doc_id: (r.n_tokens, r.score) for r in lm.score(table(spark, given, 1)).collect()}
+    assert [got[i][0] for i in range(4)] == [3, 90_001, 3, 2]
+    assert abs(got[0][1] - got[2][1]) < 1e-4 and got[1][1] < -90_001 < got[0][1]
+
+
+def test_lm_beats_counts_on_held_out_texts(spark):
+    """The contexts are worth a margin on texts that the model hasn't seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm.score(docs).where("held_out").agg({"n_tokens": "sum", "base_score": "sum", "score": "sum"}).first()
+    assert (r["sum(score)"] - r["sum(base_score)"]) / r["sum(n_tokens)"] > 0.15
+
+
 def test_lm_empty_table(spark):
-    assert lm.score(table(spark, []), rounds=1).count() == 0
+    assert lm.score(table(spark, [])).count() == 0
 
 
 def _labelled(spark, n=400):
