@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 from starmodel.llm import line_dedup
@@ -47,3 +48,13 @@ def test_empty_table(spark):
 def test_native_plan(spark):
     plan = line_dedup.drop_common_lines(table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_many_lines_in_one_text(spark):
+    """Work on a text is in proportion to its lines."""
+    long = [f"own {i}" if i % 2 else f"common {i}" for i in range(200_000)]
+    common = "\n".join(long[::2])
+    start = time.time()
+    got = {r.doc_id: (r._n_lines, r._n_dropped, r._kept) for r in line_dedup.drop_common_lines(table(spark, ["\n".join(long), common]), min_docs=2).collect()}
+    assert got == {0: (200_000, 100_000, "\n".join(long[1::2])), 1: (100_000, 100_000, "")}
+    assert time.time() - start < 60
