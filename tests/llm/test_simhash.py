@@ -152,5 +152,33 @@ def test_partners_in_other_blocks(spark, monkeypatch):
 
 
 def test_partners_behind_many_nearer(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FEW", 6)
+    monkeypatch.setattr(near_dedup, "NEAREST", 1)
     check_hot(spark, hot_texts(100))
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """One text with many copies of a few edits: one group, found by few pairs a copy."""
+    monkeypatch.setattr(near_dedup, "SHARD", 150)
+    rng = np.random.default_rng(9)
+    base, texts = [f"w{x}" for x in rng.integers(0, 90_000, 300)], []
+    for i in range(1200):
+        copy = list(base)
+        for at in rng.choice(300, int(rng.integers(0, 5)), replace=False).tolist():
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    others = [" ".join(f"o{x}" for x in rng.integers(0, 90_000, 100)) for _ in range(50)]
+    grouped, found = near_classes(table(spark, texts + others))
+    assert sorted(r["count"] for r in grouped.groupBy("root").count().collect()) == [1] * 50 + [1200]
+    assert found.count() < 12 * (near_dedup.NEAREST + 1) * 1200
+
+
+def test_short_texts_with_distant_fingerprints(spark):
+    """Of few shingles one more moves many bits; all pairs of a shard are decided on shingles."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 90_000, 9)]
+        texts += [" ".join(base), " ".join([*base, f"z{rng.integers(0, 90_000)}"])]
+    root = brute_near(rows(texts))
+    kept = {r.doc_id for r in first_of_each(table(spark, texts)).collect()}
+    assert set(root) <= kept and len(kept - set(root)) <= 1
