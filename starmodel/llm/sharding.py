@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starmodel.llm.common import materialize, numbered
 
-#: A group of at least capacity / FINE bytes is placed one by one; there are
-#: fewer than FINE times the shards of them, whatever the size of the input.
-FINE = 4096
-
 
 @dataclass
 class _Node:
@@ -109,51 +108,64 @@ def _split(t: _Node) -> _Node:
     return t
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None) -> tuple[list[int], list[int]]:
-    """The bin of each size and the room left in each bin. `sizes` come largest
-    first. With `bins` None a size that fits nowhere opens a bin (one that is
-    larger than the capacity has a bin for itself); else there are that many
-    bins, and it enters the roomiest, which may then hold more than its share."""
-    tree, rooms, placed = BinTree(), [], []
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, bins: int | None = None) -> tuple[list[tuple[int, int]], list[int]]:
+    """Best-fit-decreasing of `runs` (size, number), largest first: the bins of
+    the items in their order as (number, bin), and the room left in each bin. The
+    tightest bin that an item fits into stays the tightest for the next of the
+    same size, so it takes as many as it has room for in one step. With `bins`
+    None a size that fits nowhere opens a bin (one that is larger than the
+    capacity has a bin for itself); else there are that many bins, and it enters
+    the roomiest, which may then hold more than its share."""
+    tree, rooms = BinTree(), []
+    placed: list[tuple[int, int]] = []
     for _ in range(bins or 0):
         tree.add(capacity, len(rooms))
         rooms.append(capacity)
-    for size in sizes:
-        found = tree.take(size)
-        if found is None and bins is not None:
-            found = tree.take_roomiest()
-        if found is None:
-            rooms.append(capacity)
-            found = (capacity, len(rooms) - 1)
-        rooms[found[1]] = found[0] - size
-        placed.append(found[1])
-        tree.add(found[0] - size, found[1])
+    for size, n in runs:
+        while n:
+            found = tree.take(size)
+            if found is None and bins is not None:
+                found = tree.take_roomiest()
+            if found is None:
+                rooms.append(capacity)
+                found = (capacity, len(rooms) - 1)
+            room, at = found
+            take = max(1, min(n, room // size))
+            rooms[at] = room - take * size
+            tree.add(rooms[at], at)
+            if placed and placed[-1][1] == at:
+                placed[-1] = (placed[-1][0] + take, at)
+            else:
+                placed.append((take, at))
+            n -= take
     return placed, rooms
 
 
-def even_capacity(total: int, largest: list[int], shards: int) -> int:
+def even_capacity(total: int, runs: list[tuple[int, int]], shards: int) -> int:
     """The even share of a shard, beside groups that are larger than a share."""
     rest, left = total, shards
-    for size in largest:
-        if left <= 1 or size * left <= rest:
+    for size, n in runs:
+        while n and left > 1 and size * left > rest:
+            rest, left, n = rest - size, left - 1, n - 1
+        if n:
             break
-        rest, left = rest - size, left - 1
     return max(1, -(-rest // left))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """Each row of `docs` as `doc_id`, `size` (UTF-8 bytes + 1), `text_crc32`,
     `shard`, `slot`. Rows with equal texts (null and empty alike) form a group
-    and share a shard; slots number a shard's rows from 0 by id.
-
-    Best-fit-decreasing over groups: those of at least a 1/4096 share, fewer
-    than 4096 a shard, are placed one by one on the driver through a balanced
-    tree of bins by room. The smaller ones, in falling size, fill the tightest
-    bin, then the next, as best fit would: their running sum of bytes, taken in
-    Spark, says which, so a shard is off its share by less than a 1/4096. A group
-    that is larger than a share is alone where it is. With `capacity`, shards of
-    that many bytes are opened as needed (`shards` is ignored) and small groups
-    may not straddle an end: each bin then keeps that last 1/4096 free.
+    and share a shard; slots number a shard's rows from 0 by id. Other columns of
+    `docs`, whatever their names, have no part in it; an empty table gives no rows.
+
+    Best-fit-decreasing over all groups through a balanced tree of bins by room.
+    Groups of the same size are alike, so the driver needs only how many there
+    are of each size (as the sizes differ, there are at most the square root of
+    twice the bytes of them; in texts some ten thousand), and gives back which
+    bin each stretch of the groups in falling size enters. Groups are numbered in
+    that order in Spark, by range. A group that is larger than a share is alone
+    where it is. With `capacity`, shards of that many bytes are opened as needed
+    (`shards` is ignored).
 
     A group with a third of the rows is one row of the table of groups; only the
     join of rows to their groups is skewed, which adaptive execution splits.
@@ -163,34 +175,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_text"), F.monotonically_increasing_id().alias("_row")), "shard-rows"
     )
     groups = materialize(rows.groupBy("_text").agg(F.sum("size").alias("_bytes")), "shard-groups")
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    share = capacity or max(1, -(-total // shards))
-    fine = max(1, share // FINE)
-    large = groups.where(F.col("_bytes") >= fine).orderBy(F.desc("_bytes"), "_text").collect()  # at most shards * FINE rows
-    sizes = [r["_bytes"] for r in large]
-    if capacity is None:
-        placed, rooms = best_fit_decreasing(sizes, even_capacity(total, sizes, shards), shards)
-    else:
-        placed, rooms = best_fit_decreasing(sizes, capacity)
-    spark = docs.sparkSession
-    put = spark.createDataFrame([(bytes(r["_text"]), b) for r, b in zip(large, placed)], "_text binary, shard int")
-    small_bytes = total - sum(sizes)
-    order = sorted((room - (fine if capacity else 0), b) for b, room in enumerate(rooms) if room > (fine if capacity else 0))
-    bounds, at = [], 0
-    for room, b in order:
-        bounds.append((at, b))
-        at += room
-    while capacity and at < small_bytes:
-        bounds.append((at, len(rooms)))
-        at += capacity - fine
-        rooms.append(capacity)
-    if not bounds:
-        bounds = [(0, 0)]
-    small = numbered(groups.where(F.col("_bytes") < fine).withColumn("_less", -F.col("_bytes")), ["_less", "_text"], "_bytes", "_at")
-    starts = F.array(*[F.lit(a).cast("long") for a, _ in bounds])
-    bins = F.array(*[F.lit(b).cast("int") for _, b in bounds])
-    nth = F.size(F.filter(starts, lambda a: a <= F.col("_at")))
-    put = put.unionByName(small.select("_text", F.element_at(bins, nth).alias("shard")))
-    out = materialize(rows.join(put, "_text").drop("_text"), "sharded")
+    found = groups.groupBy("_bytes").agg(F.count("*").alias("n")).toArrow().to_pydict()
+    runs = sorted(zip(found["_bytes"], found["n"]), reverse=True)
+    share = capacity or even_capacity(sum(size * n for size, n in runs), runs, shards)
+    placed, _ = best_fit_decreasing(runs, share, None if capacity else shards)
+    ends, bins = np.cumsum([n for n, _ in placed]), np.array([b for _, b in placed], np.int32)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_text": pdf["_text"], "shard": bins[np.searchsorted(ends, pdf["_at"].to_numpy(), side="right")]})
+
+    at = numbered(groups.withColumn("_less", -F.col("_bytes")), ["_less", "_text"], None, "_at")
+    out = materialize(rows.join(at.select("_text", "_at").mapInPandas(put, "_text binary, shard int"), "_text").drop("_text"), "sharded")
     out = numbered(out, ["doc_id", "_row"], None, "slot", "shard")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")

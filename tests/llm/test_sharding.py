@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +51,9 @@ def test_empty_table(spark):
 def test_tree_is_best_fit(sizes):
     """The tree gives what a search over all bins gives."""
     sizes = sorted(sizes, reverse=True)
-    placed, rooms = best_fit_decreasing(sizes, 100)
+    taken, rooms = best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), 100)
+    placed = [b for n, b in taken for _ in range(n)]
+    assert len(placed) == len(sizes)
     plain = []
     for s, b in zip(sizes, placed):
         fits = [(r, i) for i, r in enumerate(plain) if r >= s]
