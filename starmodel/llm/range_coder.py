@@ -1,12 +1,15 @@
 """An adaptive context-mixing range coder for token ids, many blocks abreast.
 
 Each block starts from an empty model and is coded by itself; the blocks of a
-group advance together, one id a step, so that a step is a few array operations
-over all of them. An id is predicted from the two ids before it (order 2) and
-from the one before it (order 1); both predictions and what they have been worth
-so far are mixed into the chances of "the first is right", "the second is right"
-and "neither", and in the last case the id follows under its block's order-0
-counts. A carry-less range coder of 64 bits turns the choices into 16-bit units.
+group advance together, so that a step is a few array operations over all of
+them. An id is guessed to be the one that last followed the two ids before it
+(order 2), or else the one before it (order 1), and has a share by how often it
+came of late (order 0). What guesses of that kind have been worth in the block so
+far mixes them into one division of the coder's range: the id is new, the guess
+is right, and, over the rest, the order-0 shares. New ids follow as they are.
+
+The model learns segment by segment. So all that the encoder needs of it is
+worked out for a segment at once, and a decoder's step only looks up.
 """
 
 from __future__ import annotations
@@ -17,235 +20,330 @@ import zlib
 import numpy as np
 
 MAGIC = b"IDRC"
-VERSION = 1
+VERSION = 2
 HEAD = struct.Struct("<4sHIQII")  # magic, version, documents, ids, ids a block, bytes of the document table
-UNIT, TOP, LEAST = np.uint64(16), np.uint64(48), np.uint64(1 << 40)
-TOP_BIT, ONE = np.uint64(1 << 48), np.uint64(1)
-FLAG_BITS, HIGH_BITS, LOW_BITS = 12, 11, 11
-FLAG, HIGH, LOW = 1 << FLAG_BITS, 1 << HIGH_BITS, 1 << LOW_BITS
-ORDER1, ORDER2 = 1024, 2048  # contexts of a block
-CLASSES = 5  # low bytes are counted apart for the first high bytes
-GAIN = 1
-#: What a mixing context (sureness of order 2, of order 1, alike) has seen at the
-#: start of a block: order 2 right, order 1 right, neither.
-_PRIOR = np.array([[2 * c2 + (c1 if alike else 0) + 1, 1 if alike else 2 * c1 + 1, 12 - 2 * max(c1, c2), 0] for c2 in range(4) for c1 in range(4) for alike in range(2)], np.int32)
+SHARE_BITS = 16
+SHARES = 1 << SHARE_BITS  # into which a range is divided
+STATE, LEAST = (1 << 48) - 1, 1 << 32  # 48 bits; a range below LEAST takes in one unit of 16 bits
+SEGMENT = 256  # steps between which the model learns
+WINDOW = 1024  # the latest ids whose frequencies are the order-0 shares
+ORDER1, ORDER2 = 512, 1024  # contexts of a block
+NONE = 0xFFFF  # no guess yet, which is a guess at that id
+ROWS = 12  # mixing contexts of a block: which guesses there are, whether they are alike, whether the last one was right
+TOGETHER = 64  # blocks whose segments are prepared at once, so that they stay in the cache
+#: What a mixing context has seen at the start of a block: a new id, the guess, another id.
+_PRIOR = np.array([2, 2, 12], np.int64)
 
 
 def block_size(n: int) -> int:
-    """Ids a block: a group has about a thousand blocks, of 1024 to 8192 ids."""
-    return min(8192, max(1024, n >> 10))
+    """Ids a block: a group has about four thousand blocks, of 1024 to 4096 ids."""
+    return max(1, n) if n < 1024 else min(4096, max(1024, n >> 12))
 
 
-def _rebuild_at(step: int, every: int) -> bool:
-    return step % every == 0 or (step < every and step >= 16 and step & (step - 1) == 0)
-
-
-class _Counts:
-    """Order-0 counts of up to 256 symbols a row, as cumulative shares of `total`."""
-
-    def __init__(self, rows: int, total: int, lookup: bool) -> None:
-        self.total, self.counts = total, np.zeros(rows * 256, np.uint16)
-        self.cum = np.empty(rows * 257, np.uint16)
-        self.find = np.empty(rows * total, np.uint8) if lookup else None
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        symbols = np.arange(256, dtype=np.uint8)
-        counts, cums = self.counts.reshape(-1, 256), self.cum.reshape(-1, 257)
-        for at in range(0, len(counts), 512):  # in parts that stay in the cache
-            sums = np.cumsum(counts[at : at + 512], axis=1, dtype=np.int32)
-            whole = np.maximum(sums[:, -1:], 1)
-            cum = cums[at : at + 512]
-            cum[:, 0] = 0
-            cum[:, 1:] = sums * (self.total - 512) // whole + np.arange(2, 514, 2, dtype=np.int32)
-            cum[:, 256] = self.total  # a row without counts gives the rest to the last symbol
-            if self.find is not None:
-                self.find.reshape(-1, self.total)[at : at + 512] = np.repeat(np.tile(symbols, len(cum)), np.diff(cum, axis=1).ravel()).reshape(len(cum), -1)
-
-    def shares(self, rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the symbols' shares begin, and how large they are."""
-        at = rows * 257 + symbols
-        start = self.cum.take(at)
-        return start, self.cum.take(at + 1) - start
-
-    def symbol(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return self.find.take(rows * self.total + values).astype(np.int64)
-
-    def add(self, rows: np.ndarray, symbols: np.ndarray) -> None:
-        at = rows * 256 + symbols
-        self.counts[at] = self.counts.take(at) + np.uint16(GAIN)
+def _segments(block: int) -> list[tuple[int, int]]:
+    """The steps of each segment: 16, and as many as there were, up to SEGMENT."""
+    ends = [0]
+    while ends[-1] < block:
+        ends.append(min(block, ends[-1] + min(SEGMENT, max(16, ends[-1]))))
+    return list(zip(ends[:-1], ends[1:]))
 
 
 class _Model:
-    """The state of all blocks of a group. A guess is `id * 4 + sureness`; the
-    sureness of both guesses and whether they are alike pick one of 32 mixing
-    contexts, whose own counts give the three choices their shares."""
-
-    def __init__(self, lanes: int, lookup: bool) -> None:
-        lane = np.arange(lanes)
-        self.base1, self.base2, self.base_mix = lane * ORDER1, lane * ORDER2, lane * 32
-        self.guess1, self.guess2 = np.zeros(lanes * ORDER1, np.int32), np.zeros(lanes * ORDER2, np.int32)
-        self.mixed = np.tile(_PRIOR, (lanes, 1)).reshape(-1)
-        self.shares = np.empty((lanes * 32, 4), np.int32)
-        self.high, self.low = _Counts(lanes, HIGH, lookup), _Counts(lanes * CLASSES, LOW, lookup)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, k: int) -> None:
-        """Sets the guesses of the first k lanes, their mixing contexts, and the
-        shares of 4096 up to which the second, then the first guess is right."""
-        b = self.last[:k]
-        self.at1 = self.base1[:k] + (b * 0x9E5 & ORDER1 - 1)
-        self.at2 = self.base2[:k] + (self.before[:k] * 0x3D7 + b * 0x9E5 + (b >> 7) & ORDER2 - 1)
-        e1, e2 = self.guess1.take(self.at1), self.guess2.take(self.at2)
-        self.e1, self.e2 = e1, e2
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        self.row = (self.base_mix[:k] + (self.c2 << 3 | self.c1 << 1 | (self.p1 == self.p2))) * 4
-
-    def learn(self, k: int, ids: np.ndarray, choice: np.ndarray) -> None:
-        fresh = ids * 4 + 1
-        for p, c, e, at, guess in ((self.p1, self.c1, self.e1, self.at1, self.guess1), (self.p2, self.c2, self.e2, self.at2, self.guess2)):
-            guess[at] = np.where(p == ids, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        at = self.row + choice
-        self.mixed[at] = self.mixed.take(at) + 1
-        self.before[:k] = self.last[:k]
-        self.last[:k] = ids
-
-    def step(self, t: int) -> None:
-        if _rebuild_at(t, 128):
-            counts = self.mixed.reshape(-1, 4)
-            sums = np.cumsum(counts[:, :3], axis=1, dtype=np.int32)
-            self.shares[:, 0] = 0
-            self.shares[:, 1:] = sums * (FLAG - 3) // sums[:, 2:] + np.arange(1, 4, dtype=np.int32)
-            if t:
-                self.high.rebuild()
-        if t and _rebuild_at(t, 512):
-            self.low.rebuild()
-
-
-def _lanes(n: int, block: int) -> list[int]:
-    """The ids of each block."""
-    return [min(block, n - at) for at in range(0, n, block)]
-
-
-def _settle(low: np.ndarray, span: np.ndarray, k: int):
-    """Shifts out what is settled of the first k lanes, one unit a round; gives
-    the lanes of each round and what their `low` was."""
-    a, s = low[:k], span[:k]
-    live = np.flatnonzero(((a ^ (a + s)) < TOP_BIT) | (s < LEAST))
-    while len(live):
-        a, s = low[live], span[live]
-        s = np.where((a ^ (a + s)) < TOP_BIT, s, (~a + ONE) & (LEAST - ONE))
-        yield live, a
-        a, s = a << UNIT, s << UNIT
-        low[live], span[live] = a, s
-        live = live[((a ^ (a + s)) < TOP_BIT) | (s < LEAST)]
+    """The state of all blocks of a group; steps are rows, blocks are columns."""
+
+    def __init__(self, lanes: int) -> None:
+        self.lanes, lane = lanes, np.arange(lanes)
+        self.base1, self.base2, self.base_mix = lane * ORDER1, lane * ORDER2, lane * ROWS
+        self.guess1, self.guess2 = np.full(lanes * ORDER1, NONE, np.uint16), np.full(lanes * ORDER2, NONE, np.uint16)
+        self.counts = np.tile(_PRIOR, lanes * ROWS)
+        self.width = 0
+
+    def begin(self, grid: np.ndarray, t: int) -> bool:
+        """Takes the order-0 shares of the ids before step t, if they are due, which
+        is returned, and each mixing context's division of a range: up to `fresh`
+        the id is new, up to `right` the guess is, and each place of the order-0
+        window has a `unit` of the rest."""
+        n = min(WINDOW, 1 << (t.bit_length() - 1))
+        due = n != self.width or t % WINDOW == 0
+        if due:
+            self.width = n
+            symbols = np.sort(np.ascontiguousarray(grid[t - n : t].T), axis=1, kind="stable").reshape(-1)
+            first = np.empty(len(symbols), bool)
+            np.not_equal(symbols[1:], symbols[:-1], out=first[1:])
+            first[::n] = True
+            self.runs = np.flatnonzero(first)
+            self.lengths = np.diff(self.runs, append=len(symbols))
+            self.symbols = symbols
+            self.base0 = np.arange(self.lanes) * n
+        new, guess, rest = (self.counts[i::3] for i in range(3))
+        most = SHARES // n
+        self.unit = np.clip(most * rest // (new + guess + rest), 1, most - 1)
+        self.right = SHARES - self.unit * n
+        self.fresh = 1 + (self.right - 2) * new // (new + guess)
+        return due
+
+    def contexts(self, grid: np.ndarray, t: int, end: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the guesses of the rows t to end of the blocks a to b are."""
+        before = grid[t - 2 : end - 1, a:b].astype(np.int64)
+        at2 = before[:-1] * 0x3D7
+        at2 += before[1:]
+        at2 &= ORDER2 - 1
+        at2 += self.base2[a:b]
+        at1 = before[1:] & ORDER1 - 1
+        at1 += self.base1[a:b]
+        return at1, at2
+
+    def learn(self, a: int, b: int, at1: np.ndarray, at2: np.ndarray, mixed: np.ndarray, ids: np.ndarray) -> None:
+        """From a segment's ids of the blocks a to b in the order of their steps, and
+        `mixed`, the mixing contexts (from the block a on) times 3 plus which part of
+        the range was right."""
+        self.guess1[at1] = ids  # the last of several stays
+        self.guess2[at2] = ids
+        n = ROWS * 3
+        self.counts[a * n : b * n] += np.bincount(mixed.reshape(-1), minlength=(b - a) * n)
+
+
+def _order0(model: _Model, ids: np.ndarray, out: np.ndarray) -> None:
+    """Sets the run of the order-0 window that each id (rows are steps, columns
+    blocks) is in, -1 if it is in none."""
+    width = model.width
+    first_run = np.append(np.searchsorted(model.runs, model.base0), len(model.runs))
+    place = np.full(min(TOGETHER, model.lanes) << 16, -1, np.int32)
+    for a in range(0, model.lanes, TOGETHER):
+        b = min(model.lanes, a + TOGETHER)
+        begin, end = first_run[a], first_run[b]
+        runs = model.runs[begin:end]
+        where = ((runs // width - a) << 16) + model.symbols[runs]
+        place[where] = np.arange(begin, end, dtype=np.int32)
+        out[: len(ids), a:b] = place.take(ids[:, a:b] + (np.arange(b - a) << 16))
+        place[where] = -1
+
+
+def _prepare(model: _Model, grid: np.ndarray, hit: np.ndarray, t: int, end: int, runs: np.ndarray, start: np.ndarray, share: np.ndarray, fresh: np.ndarray) -> None:
+    """Fills where each id's part of the range begins and how large it is, and
+    which ids are new, for the rows t to end of the grid; then learns. `hit` tells
+    whether the guess before was right, and is set for the last one here."""
+    n = end - t
+    for a in range(0, model.lanes, TOGETHER):
+        b = min(model.lanes, a + TOGETHER)
+        ids = np.ascontiguousarray(grid[t:end, a:b])
+        at1, at2 = model.contexts(grid, t, end, a, b)
+        g1, g2 = model.guess1.take(at1), model.guess2.take(at2)
+        none = g2 == NONE
+        kind = (g1 == g2).view(np.uint8) * np.uint8(3)
+        kind -= none.view(np.uint8)
+        kind += (g1 != NONE).view(np.uint8)
+        g2[none] = g1[none]
+        right = ids == g2
+        kind[0] += hit[a:b].view(np.uint8) * np.uint8(6)
+        kind[1:] += right[:-1].view(np.uint8) * np.uint8(6)
+        hit[a:b] = right[-1]
+        row = (model.base_mix[a:b] + 1) + kind
+        run = runs[:n, a:b].astype(np.int64)
+        other = np.flatnonzero(np.logical_or(run < 0, right))
+        unit, begun = model.unit.take(row), model.right.take(row)
+        s = model.runs.take(run)
+        s -= model.base0[a:b]
+        s *= unit
+        s += begun
+        unit *= model.lengths.take(run)
+        x, o = model.fresh.take(row.reshape(-1)[other]), right.reshape(-1)[other]
+        s.reshape(-1)[other] = np.where(o, x, 0)
+        unit.reshape(-1)[other] = np.where(o, begun.reshape(-1)[other] - x, x)
+        row -= a * ROWS
+        row *= 3
+        row += 2
+        row.reshape(-1)[other] -= 2 - o
+        new = np.zeros(ids.shape, bool)
+        new.reshape(-1)[other] = ~o
+        start[:n, a:b], share[:n, a:b], fresh[t:end, a:b] = s, unit, new
+        model.learn(a, b, at1, at2, row, ids)
+
+
+class _Writer:
+    """The ranges of all blocks, and the units of 16 bits that are settled."""
+
+    def __init__(self, lanes: int, block: int) -> None:
+        self.low, self.span = np.zeros(lanes, np.int64), np.full(lanes, STATE)
+        self.wide = block + 8  # a step settles at most one unit
+        self.out = np.zeros(lanes * self.wide, np.int32)
+        self.begin = np.arange(lanes) * self.wide
+        self.at = self.begin.copy()
+        self.r, self.s = np.empty(lanes, np.int64), np.empty(lanes, np.int64)
+
+    def code(self, start: np.ndarray, share: np.ndarray) -> None:
+        low, span, r, s = self.low, self.span, self.r, self.s
+        np.right_shift(span, SHARE_BITS, out=r)
+        np.multiply(r, start, out=s)
+        low += s
+        np.multiply(r, share, out=span)
+        self.settle(np.flatnonzero(low > STATE), np.flatnonzero(span < LEAST))
+
+    def settle(self, over: np.ndarray, small: np.ndarray) -> None:
+        low, span, at = self.low, self.span, self.at
+        if len(over):  # into the unit before; carried on when all is written
+            low[over] -= STATE + 1
+            self.out[at.take(over) - 1] += 1
+        if len(small):
+            value, to = low.take(small), at.take(small)
+            self.out[to] = value >> 32
+            at[small] = to + 1
+            low[small] = (value & LEAST - 1) << 16
+            span[small] = span.take(small) << 16
+
+    def blocks(self) -> list[bytes]:
+        for shift in (32, 16, 0):
+            self.out[self.at] = self.low >> shift & 0xFFFF
+            self.at += 1
+        while len(more := np.flatnonzero(self.out > 0xFFFF)):
+            self.out[more] -= 1 << 16
+            np.add.at(self.out, more - 1, 1)
+        units = self.out.astype("<u2")
+        return [units[a:b].tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist())]
 
 
 def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
-    """The coded bytes of each block of `ids` (below 65,536)."""
+    """Each block of `ids` (below 65,536), the last filled up with zeros: the
+    number of coded units (16 bits), these units, and the new ids."""
     if not len(ids):
         return []
-    if ids.max() > 0xFFFF:
-        raise ValueError("ids must be below 65,536")
-    sizes = _lanes(len(ids), block)
-    n = len(sizes)
-    grid = np.zeros((n, max(sizes)), np.uint16)
-    grid.reshape(-1)[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    model = _Model(n, lookup=False)
-    shares = model.shares.reshape(-1)
-    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out, used = np.empty((n, 3 * max(sizes) + 8), np.uint16), np.zeros(n, np.int64)
-
-    def code(at: np.ndarray | slice, start: np.ndarray, share: np.ndarray, bits: int) -> None:
-        r = span[at] >> np.uint64(bits)
-        low[at] += r * start.astype(np.uint64)
-        span[at] = r * share.astype(np.uint64)
-
-    for t in range(len(grid)):
-        k = n if t < sizes[-1] else n - 1
-        model.step(t)
-        model.predict(k)
-        now = grid[t, :k].astype(np.int32)
-        choice = np.where(now == model.p2, 0, 2 - (now == model.p1))
-        at = model.row + choice
-        start = shares.take(at)
-        code(slice(0, k), start, shares.take(at + 1) - start, FLAG_BITS)
-        left = np.flatnonzero(choice == 2)
-        if len(left):
-            high = now[left]
-            high, lower = high >> 8, high & 0xFF
-            rows = left * CLASSES + np.minimum(high, CLASSES - 1)
-            code(left, *model.high.shares(left, high), HIGH_BITS)
-            code(left, *model.low.shares(rows, lower), LOW_BITS)
-            model.high.add(left, high)
-            model.low.add(rows, lower)
-        model.learn(k, now, choice)
-        for live, a in _settle(low, span, k):
-            to = used[live]
-            out[live, to] = a >> TOP
-            used[live] = to + 1
-    for shift in (48, 32, 16, 0):
-        out[np.arange(n), used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
-        used += 1
-    return [out[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
+    if ids.max() > 0xFFFF or block > 16384:
+        raise ValueError("ids must be below 65,536 and blocks of at most 16,384")
+    lanes = -(-len(ids) // block)
+    whole = np.zeros(lanes * block, np.uint16)
+    whole[: len(ids)] = ids
+    grid = np.zeros((block + 2, lanes), np.uint16)  # two rows before the first step
+    grid[2:] = whole.reshape(lanes, block).T
+    model, writer = _Model(lanes), _Writer(lanes, block)
+    hit, fresh = np.zeros(lanes, bool), np.ones(grid.shape, bool)
+    start, share = np.empty((SEGMENT, lanes), np.int64), np.empty((SEGMENT, lanes), np.int64)
+    segments, runs, since = _segments(block)[1:], np.empty((WINDOW, lanes), np.int32), 0
+    for t, end in segments:
+        if model.begin(grid[2:], t):
+            since, last = t, min(block, t + WINDOW if t >= WINDOW else 2 * t)  # until the next window
+            _order0(model, grid[t + 2 : last + 2], runs)
+        _prepare(model, grid, hit, t + 2, end + 2, runs[t - since :], start, share, fresh)
+        for i in range(end - t):
+            writer.code(start[i], share[i])
+    fresh = np.ascontiguousarray(fresh[2:].T)
+    raw, ends = whole[fresh.reshape(-1)].astype("<u2"), np.cumsum(fresh.sum(axis=1))
+    coded = writer.blocks()
+    return [struct.pack("<H", len(c) // 2) + c + raw[e - n : e].tobytes() for c, e, n in zip(coded, ends.tolist(), fresh.sum(axis=1).tolist())]
+
+
+class _Reader:
+    """The ranges of all blocks, and where in them the coded value is."""
+
+    def __init__(self, blocks: list[bytes]) -> None:
+        units = np.frombuffer(b"".join(blocks) + b"\0" * 8, "<u2")
+        sizes = np.array([len(b) // 2 for b in blocks])
+        begin = np.cumsum(sizes) - sizes + 1
+        self.raw = begin + units[begin - 1]  # where the next new id is
+        self.value = units[begin].astype(np.int64) << 32 | units[begin + 1].astype(np.int64) << 16 | units[begin + 2]
+        self.span, self.at, self.units = np.full(len(blocks), STATE), begin + 3, units
+
+    def settle(self, small: np.ndarray) -> None:
+        at, value, span = self.at, self.value, self.span
+        of = at.take(small)
+        more = value.take(small)
+        more <<= 16
+        more |= self.units.take(of, mode="clip")
+        value[small] = more
+        of += 1
+        at[small] = of
+        more = span.take(small)
+        more <<= 16
+        span[small] = more
+
+    def ids(self, lanes: np.ndarray) -> np.ndarray:
+        """The next new id of each lane."""
+        at = self.raw.take(lanes)
+        self.raw[lanes] = at + 1
+        return self.units.take(at, mode="clip")
 
 
 def decode_blocks(blocks: list[bytes], n_ids: int, block: int) -> np.ndarray:
     """The ids of `encode_blocks`."""
-    sizes = _lanes(n_ids, block)
-    n = len(sizes)
-    if not n:
+    lanes = len(blocks)
+    if not lanes:
         return np.empty(0, np.uint16)
-    units = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.uint16)
-    for i, b in enumerate(blocks):
-        units[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    grid = np.zeros((max(sizes), n), np.uint16)
-    model = _Model(n, lookup=True)
-    shares = model.shares.reshape(-1)
-    low, span, used = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.full(n, 4)
-    word = np.zeros(n, np.uint64)
-    for i in range(4):
-        word = word << UNIT | units[:, i]
-
-    def place(at: np.ndarray | slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        r = span[at] >> np.uint64(bits)
-        return r, np.minimum((word[at] - low[at]) // r, np.uint64((1 << bits) - 1)).astype(np.int64)
-
-    def narrow(at: np.ndarray | slice, r: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        low[at] += r * start.astype(np.uint64)
-        span[at] = r * share.astype(np.uint64)
-
-    for t in range(len(grid)):
-        k = n if t < sizes[-1] else n - 1
-        model.step(t)
-        model.predict(k)
-        r, v = place(slice(0, k), FLAG_BITS)
-        choice = (v >= shares.take(model.row + 1)).astype(np.int64) + (v >= shares.take(model.row + 2))
-        at = model.row + choice
-        start = shares.take(at)
-        narrow(slice(0, k), r, start, shares.take(at + 1) - start)
-        now = np.where(choice == 0, model.p2, model.p1)
-        left = np.flatnonzero(choice == 2)
-        if len(left):
-            r, v = place(left, HIGH_BITS)
-            wide = model.high.symbol(left, v)
-            narrow(left, r, *model.high.shares(left, wide))
-            rows = left * CLASSES + np.minimum(wide, CLASSES - 1)
-            r, v = place(left, LOW_BITS)
-            lower = model.low.symbol(rows, v)
-            narrow(left, r, *model.low.shares(rows, lower))
-            model.high.add(left, wide)
-            model.low.add(rows, lower)
-            now[left] = wide << 8 | lower
-        grid[t, :k] = now
-        model.learn(k, now, choice)
-        for live, _ in _settle(low, span, k):
-            to = used[live]
-            word[live] = word[live] << UNIT | units[live, to]
-            used[live] = to + 1
-    return np.ascontiguousarray(grid.T).reshape(-1)[:n_ids]
+    grid = np.zeros((block + 2, lanes), np.uint16)
+    model, reader = _Model(lanes), _Reader(blocks)
+    value, span = reader.value, reader.span
+    long = lambda *shape: np.empty(shape, np.int64)
+    row, r, v, begun, unit, start, share, x1, x2, one = (long(lanes) for _ in range(10))
+    parts = np.empty((SEGMENT, lanes), np.uint8)
+    g1, g2, first, length = (np.empty(lanes, np.uint16) for _ in range(4))
+    flag, none, hit = (np.zeros(lanes, bool) for _ in range(3))
+    byte, was, kind, gone = flag.view(np.uint8), hit.view(np.uint8), np.empty(lanes, np.uint8), none.view(np.uint8)
+    three, six = np.uint8(3), np.uint8(6)
+    for i in range(min(16, block)):
+        grid[i + 2] = reader.ids(np.arange(lanes))
+    for t, end in _segments(block)[1:]:
+        if model.begin(grid[2:], t):
+            places, n = np.arange(len(model.runs)), model.lengths
+            firsts, lengths = np.repeat((model.runs % model.width).astype(np.uint16), n), np.repeat(n.astype(np.uint16), n)
+        two = grid[t].astype(np.int64)
+        one[:] = grid[t + 1]
+        for i in range(end - t):
+            now = grid[t + 2 + i]
+            np.bitwise_and(one, ORDER1 - 1, out=x1)
+            x1 += model.base1
+            np.multiply(two, 0x3D7, out=x2)
+            x2 += one
+            x2 &= ORDER2 - 1
+            x2 += model.base2
+            model.guess1.take(x1, out=g1, mode="clip")
+            model.guess2.take(x2, out=g2, mode="clip")
+            np.equal(g1, g2, out=flag)
+            np.multiply(byte, three, out=kind)
+            np.not_equal(g1, NONE, out=flag)
+            kind += byte
+            np.equal(g2, NONE, out=none)
+            kind -= gone
+            was *= six
+            kind += was
+            kind += 1
+            np.copyto(g2, g1, where=none)
+            np.add(model.base_mix, kind, out=row)
+            kind *= three
+            part = np.add(kind, 2, out=parts[i])
+            model.right.take(row, out=begun, mode="clip")
+            model.unit.take(row, out=unit, mode="clip")
+            np.right_shift(span, SHARE_BITS, out=r)
+            np.floor_divide(value, r, out=v)
+            other = np.flatnonzero(np.less(v, begun, out=flag))
+            low = v.take(other)
+            v -= begun
+            v //= unit
+            v += model.base0
+            model.symbols.take(v, out=now, mode="clip")
+            firsts.take(v, out=first, mode="clip")
+            lengths.take(v, out=length, mode="clip")
+            np.multiply(unit, first, out=start)
+            start += begun
+            np.multiply(unit, length, out=share)
+            x = model.fresh.take(row.take(other))
+            o = low >= x
+            new = other[~o]
+            start[other] = np.where(o, x, 0)
+            share[other] = np.where(o, begun.take(other) - x, x)
+            now[other] = g2.take(other)
+            part[other] = kind.take(other) + o
+            now[new] = reader.ids(new)
+            start *= r
+            value -= start
+            np.multiply(r, share, out=span)
+            reader.settle(np.flatnonzero(np.less(span, LEAST, out=flag)))
+            np.equal(now, g2, out=hit)
+            two, one = one, two
+            one[:] = now
+        n = end - t
+        for a in range(0, lanes, TOGETHER):
+            b = min(lanes, a + TOGETHER)
+            mixed = parts[:n, a:b] + np.arange(b - a) * (ROWS * 3)
+            model.learn(a, b, *model.contexts(grid, t + 2, end + 2, a, b), mixed, grid[t + 2 : end + 2, a:b])
+    return np.ascontiguousarray(grid[2:].T).reshape(-1)[:n_ids]
 
 
 def pack_group(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:

@@ -16,9 +16,9 @@ from starmodel.llm.range_coder import pack_group, unpack_group
 from starmodel.llm.tokens import byte_encoder, default_path
 
 #: Ids after which a group is closed; one document more may be in it.
-GROUP = 6_000_000
+GROUP = 7_500_000
 #: Rows that are encoded, or go back to Spark, at once.
-ROWS = 1024
+ROWS = 4096
 #: The index of groups is broadcast up to this many rows (16 MB), joined beyond.
 SMALL = 500_000
 
@@ -61,7 +61,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
             yield closed()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
+    # the beginning of the text parts rows without an id, or with the same one
+    given.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 #: Stands for a null id in the files.
