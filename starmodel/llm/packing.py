@@ -16,7 +16,7 @@ from starmodel.llm.common import materialize, numbered
 from starmodel.llm.tokens import byte_encoder, default_path
 
 #: Texts that are encoded together.
-ROWS = 1024
+ROWS = 4096
 
 
 def group_lengths(counts: Counter, smallest: int, groups: int) -> list[list[tuple[int, int]]]:
@@ -45,7 +45,7 @@ def _best_fill(sizes: list[int], values: list[float], limits: list[int], capacit
     best = np.zeros(capacity + 1)
     picks = []
     for size, value, limit in zip(sizes, values, limits):
-        pick = np.zeros(capacity + 1, np.int64)
+        pick = np.zeros(capacity + 1, np.int8)
         top = best.copy()
         for k in range(1, min(limit, capacity // size) + 1):
             cand = best[: capacity + 1 - k * size] + k * value
@@ -63,24 +63,50 @@ def _best_fill(sizes: list[int], values: list[float], limits: list[int], capacit
     return float(best[capacity]), out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
     """Configurations of the few rounded sizes and how often each is used, to
-    cover the demand: again and again the fullest configuration of what is left,
-    as often as the demand allows. Filling the room is worth its tokens, large
-    pieces a little more, as they are harder to place later."""
+    cover the demand with few sequences.
+
+    The linear programme over all configurations is solved by generating them:
+    those in use price each size, a knapsack finds the configuration that is
+    worth most at these prices, and it replaces the one it drives to zero, until
+    none is worth more than a sequence. What is used a whole number of times
+    stays; the rest of the demand is covered by the fullest configurations of
+    what is left, again and again."""
+    n, want = len(sizes), np.array(demand, float)
+    limits = [capacity // s for s in sizes]
+    columns = np.diag(np.array(limits, float)) if n else np.zeros((0, 0))
+    for _ in range(rounds if n else 0):
+        prices = np.linalg.solve(columns.T, np.ones(n))
+        worth, pick = _best_fill(sizes, prices.tolist(), limits, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        new = np.array([pick.get(i, 0) for i in range(n)], float)
+        used, change = np.linalg.solve(columns, want), np.linalg.solve(columns, new)
+        ratio = np.where(change > 1e-9, np.maximum(used, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        columns[:, int(ratio.argmin())] = new
     left, out = list(demand), []
+    times = np.floor(np.maximum(np.linalg.solve(columns, want), 0) + 1e-9).astype(int).tolist() if n else []
+    for column, t in sorted(zip(columns.T.astype(int).tolist(), times), reverse=True):
+        pattern = {i: k for i, k in enumerate(column) if k}
+        t = min([t, *(left[i] // k for i, k in pattern.items())])
+        if t:
+            out.append((pattern, t))
+            for i, k in pattern.items():
+                left[i] -= k * t
     while any(left):
-        live = [i for i, n in enumerate(left) if n]
+        live = [i for i, x in enumerate(left) if x]
+        # filling the room is worth its tokens, large pieces a little more, as they are harder to place later
         _, pick = _best_fill([sizes[i] for i in live], [sizes[i] * (1 + 0.02 * sizes[i] / capacity) for i in live], [left[i] for i in live], capacity)
         pattern = {live[i]: k for i, k in pick.items()}
-        times = min(left[i] // k for i, k in pattern.items())
+        t = min(left[i] // k for i, k in pattern.items())
         for i, k in pattern.items():
-            left[i] -= k * times
-        out.append((pattern, times))
+            left[i] -= k * t
+        out.append((pattern, t))
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 48, smallest: float = 1 / 8) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 64, smallest: float = 1 / 3) -> list[tuple[int, int, int, int, int]]:
     """Where pieces go, from the number of pieces of each length alone: runs
     (length, first rank, number, first sequence, offset). The pieces of a length
     with ranks [first rank, + number) are at that offset of as many sequences in
@@ -179,11 +205,12 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str
     return given.mapInPandas(cut, "doc_id long, _row long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, groups: int = 1000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, groups: int = 64) -> DataFrame:
     """Every piece of every row of `docs` with its `sequence_id` and `offset`;
     the pieces of a sequence follow each other without gaps and hold at most
     `capacity` ids. Null texts are empty and give a piece of the end id alone;
     repeated rows are documents of their own; an empty table gives no piece.
+    Other columns of `docs`, whatever their names, have no part in it.
 
     Texts are encoded once, into a slim table of pieces. The plan is made from
     the number of pieces of each length (at most `capacity` numbers, the only
