@@ -163,6 +163,26 @@ def test_ann_recall(spark):
     assert sum(len(got[q] & {i for _, i in v}) for q, v in want.items()) >= 0.9 * 5 * len(want)
 
 
+def test_ann_sparse_probing_of_clusters_with_outliers(spark):
+    """Few of many lists are looked into, and an isolated query still gets its five."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((300, 32))
+    x = np.concatenate([(centres[rng.integers(0, 300, 8000)] + 0.3 * rng.standard_normal((8000, 32))), rng.standard_normal((200, 32))]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    x[50] = 0.01 * rng.standard_normal(32) + np.eye(32)[0] * 9
+    got = {}
+    for r in ann.nearest(_vectors(spark, x), every=50, k=5, list_size=8, most_probes=48, probe_share=0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = _brute(x, range(len(x)), 50, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {i for _, i in v}) for q, v in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_ann_lengths_apart(spark):
+    got = ann.nearest(_vectors(spark, [[1, 0], [1, 1], [1, 0, 0], [1, 1, 0], [0, 1, 1]]), every=1, k=2).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1), (1, 0), (2, 3), (2, 4), (3, 2), (3, 4), (4, 2), (4, 3)]
+
+
 def test_ann_few_and_none(spark):
     x = np.eye(3, dtype=np.float32)
     got = ann.nearest(_vectors(spark, x), every=50, k=5).collect()
