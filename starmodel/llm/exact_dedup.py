@@ -12,6 +12,10 @@ from starmodel.llm.common import WHITE, materialize
 
 SLOTS = 4
 KICKS = 500
+#: Digests that the first merge of a task holds before it passes them on.
+HELD = 200_000
+#: Rows whose groups make one bucket of the second merge, in the mean.
+BUCKET = 250_000
 
 
 class CuckooIndex:
@@ -103,11 +107,12 @@ def normalised(text: Column) -> Column:
 _GROUPS = "_digest binary, _chars long, _best long, _best_row long, _n long"
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merge(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[pd.DataFrame]:
     """One row for each digest of a task: the best row and the number of rows.
     When a better row arrives, the entry of the one that had stayed is deleted
-    and the better one becomes live."""
-    index = CuckooIndex()
+    and the better one becomes live. With `most`, the index is passed on and
+    emptied when it holds that many digests."""
+    index, size = CuckooIndex(), 0
     for pdf in batches:
         for digest, *row, n in zip(*(pdf[c] for c in ("_digest", "_chars", "_best", "_best_row", "_n"))):
             best = pd.isna(row[1])
@@ -115,12 +120,20 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             live = index.find(digest)
             if live is None:
                 index.insert(digest, value)
+                size += 1
+                if size == most:
+                    yield from _entries(index)
+                    index, size = CuckooIndex(), 0
             elif value[0] < live[1][0]:
                 total = live[1][1] + n
                 index.delete(digest)
                 index.insert(digest, (value[0], total))
             else:
                 live[1] = (live[1][0], live[1][1] + n)
+    yield from _entries(index)
+
+
+def _entries(index: CuckooIndex) -> Iterator[pd.DataFrame]:
     found = list(index)
     for i in range(0, len(found), 20_000):
         part = found[i : i + 20_000]
@@ -142,7 +155,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are read once, for their digests. Each task merges its own rows in a
     cuckoo index before anything is shuffled (a group of copies becomes a row a
-    task), then digests are dealt by hash and merged the same way. Digests are
+    task), passing on what it holds from time to time; then digests are dealt by
+    hash into as many buckets as the number of rows asks for, and merged the same
+    way, so that the index of a task does not grow with the input. Digests are
     compared whole (256 bits). The join back is skewed for a large group, which
     adaptive execution splits.
     """
@@ -153,8 +168,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "digests",
     )
-    local = rows.select("_digest", "_chars", "_best", "_best_row", F.lit(1).cast("long").alias("_n")).mapInPandas(_merge, _GROUPS)
-    groups = local.repartition("_digest").mapInPandas(_merge, _GROUPS)
+    local = rows.select("_digest", "_chars", "_best", "_best_row", F.lit(1).cast("long").alias("_n")).mapInPandas(lambda batches: _merge(batches, HELD), _GROUPS)
+    buckets = max(1, -(-rows.count() // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = local.repartition(buckets, "_digest").mapInPandas(_merge, _GROUPS)
     groups = groups.select("_digest", F.col("_best").alias("keep_id"), F.col("_best_row").alias("_keep_row"), F.col("_n").alias("group_size"))
     out = rows.join(groups, "_digest")
     return out.select(F.col("_best").alias("doc_id"), "keep_id", "group_size", (F.col("_best_row") == F.col("_keep_row")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
