@@ -171,12 +171,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whose ids have the smallest hashes. Only these rows' statistics are computed
     here and reach the driver; the sample of labels is what is broadcast. Rows
     without a label or an id are left out; of several labels of an id the
-    largest counts."""
+    largest counts, of several texts the one with the smallest hash."""
     given = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label")).where("_label IS NOT NULL AND _label_id IS NOT NULL")
     given = given.where(~held_out(F.col("_label_id"))).groupBy("_label_id").agg(F.max("_label").alias("_label"))
     given = hash_sample(given, "_label_id", most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(given), F.col("_id") == F.col("_label_id"))
-    seen = with_statistics(rows, "_text").select("_doc._id", "_doc._label", *[f"_{s}" for s in STATISTICS]).dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    seen = with_statistics(rows, "_text").select("_doc._id", "_doc._label", F.xxhash64("_doc._text").alias("_h"), *[f"_{s}" for s in STATISTICS])
+    one = seen.groupBy("_id", "_label").agg(F.min(F.struct("_h", *[f"_{s}" for s in STATISTICS])).alias("x"))
+    seen = one.select("_id", "_label", "x.*").toPandas().sort_values("_id")
     return fit_rules(seen[[f"_{s}" for s in STATISTICS]].to_numpy(float), (seen["_label"].to_numpy() > 0).astype(float))
 
 
