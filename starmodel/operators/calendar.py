@@ -18,6 +18,14 @@ def _nth(names: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), n)
 
 
+def with_unknown_date(days: DataFrame) -> DataFrame:
+    """The calendar with a member of key -1 for facts without a date: -1 for
+    numbers, Unknown for names, nothing for the date and the flags."""
+    value = {"int": F.lit(-1), "bigint": F.lit(-1), "string": F.lit("Unknown")}
+    row = days.sparkSession.range(1).select(*[value.get(kind, F.lit(None)).cast(kind).alias(c) for c, kind in days.dtypes])
+    return days.unionByName(row)
+
+
 def dates(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     """One row for each day from start to end, both included."""
     if end < start:

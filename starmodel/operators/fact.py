@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starmodel.operators.lookup import lookup_key, role_date_key
+from starmodel.operators.quality import failing
 from starmodel.operators.scd import DimensionSpec
 from starmodel.sources.schema import MONEY
 
@@ -22,12 +23,14 @@ def with_measures(lines: DataFrame) -> DataFrame:
     return out.withColumn("GrossProfit", (F.col("NetAmount") - F.col("TotalCost")).cast(MONEY))
 
 
-def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown") -> DataFrame:
+def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown", guard: bool = False) -> DataFrame:
     """Order lines with the keys of the versions that were valid at the order
     date, the keys of the order, due and ship dates, and measures. `dims` names
     further dimensions: column of the key in the fact -> (dimension,
     specification, column of the business key). Order and line ids stay. Lines
-    without a header are left out here; `line_rejects` returns them."""
+    without a header are left out here; `line_rejects` returns them. With `guard`
+    it is an error if a line of the source has become several, which versions
+    that overlap would do; the check is a pass over the keys."""
     lines = detail.join(header, "SalesOrderID")
     lines = lookup_key(lines, product_dim, product, "ProductID", "OrderDate", before_first=before_first, attributes=("StandardCost",))
     keys = [product.surrogate_key]
@@ -39,9 +42,20 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
             lines = lines.withColumn(f"{role}Key", role_date_key(role))
             keys.append(f"{role}Key")
     out = with_measures(lines)
+    if guard:
+        more = grain_breaks(out.select(*GRAIN), detail).count()
+        if more:
+            raise ValueError(f"{more} order lines have become several rows")
     return out.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit")
 
 
+def grain_breaks(fact: DataFrame, detail: DataFrame) -> DataFrame:
+    """Failing rows for the lines of which the fact has more rows than the source."""
+    there = fact.groupBy(*GRAIN).agg(F.count("*").alias("_n"))
+    given = detail.groupBy(*GRAIN).agg(F.count("*").alias("_m"))
+    return failing(there.join(given, list(GRAIN)), "grain", GRAIN, F.col("_n") > F.col("_m"), F.col("_n"))
+
+
 def line_rejects(detail: DataFrame, header: DataFrame) -> DataFrame:
     """The order lines that `load_fact` leaves out: those without a header, with
     `reject_reasons` as in staging."""
@@ -55,5 +69,6 @@ def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "Sales
 
 
 def publish(fact: DataFrame, path: str) -> None:
-    """Writes the fact in folders by order month, for pruned reads."""
-    fact.withColumn("OrderMonth", F.date_format("OrderDate", "yyyy-MM")).repartition("OrderMonth").write.mode("overwrite").partitionBy("OrderMonth").parquet(path)
+    """Writes the fact in folders by order month, for pruned reads. Rows of a
+    month come together where they fit; a large month is split among tasks."""
+    fact.withColumn("OrderMonth", F.date_format("OrderDate", "yyyy-MM")).hint("rebalance", "OrderMonth").write.mode("overwrite").partitionBy("OrderMonth").parquet(path)

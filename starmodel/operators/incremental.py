@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starmodel.functions.clean import any_of, differs
 from starmodel.operators.scd import CURRENT, END, OPEN_END, START, DimensionSpec, apply_scd, stamp
+from starmodel.sources.shared import materialize
 from starmodel.sources.store import SnapshotStore
 
 
@@ -23,7 +24,7 @@ def load_since(store: SnapshotStore, name: str, df: DataFrame, column: str, load
     """Loads what is later than the stored watermark of `name`; the watermark
     moves on after `load` has succeeded. Returns the new one."""
     mark = store.note(f"watermark_{name}") or None
-    rows = extract_since(df, column, mark)
+    rows = materialize(extract_since(df, column, mark), f"since-{name}")  # rows that come later are for the next load
     top = rows.agg(F.max(column).cast("string")).first()[0]
     if top is None:
         return mark

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from starmodel.functions.clean import any_of, differs
 from starmodel.operators import staging
-from starmodel.sources.shared import materialize
+from starmodel.sources.shared import keep, materialize
 
 #: The end of a version that is still current.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -122,13 +122,25 @@ def assign_keys(df: DataFrame, order_by: Sequence[str], column: str, start: int,
 def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """The next snapshot of the dimension, and `action`, `n` for each of ACTIONS.
 
-    Staged keys must be unique. `load_ts` ends the versions that are replaced
-    and begins the new ones; it must be later than every current start. A second
-    run with the same staging changes nothing."""
+    Staged keys must be unique and not null, which is checked. `load_ts` ends the
+    versions that are replaced and begins the new ones; it must be later than
+    every current start. A second run with the same staging changes nothing.
+
+    The comparison is written once; its counts, the latest start and repeated
+    keys come from one sum over it. The snapshot is written once and returned as
+    a table that is read from its files."""
     at = stamp(load_ts)
     seen = materialize(classify(dim, staged, spec), f"scd-{spec.name}")
-    key = F.col(spec.surrogate_key)
-    latest, top = dim.agg(F.max(F.when(F.col(CURRENT) & (key != UNKNOWN_KEY), F.col(START))), F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))).first()
+    key, staged_key = F.col(spec.surrogate_key), F.col(f"s.{spec.business_key}")
+    # a repeated staged key is in several rows: more of them than of different ones
+    by_key = seen.select("action", F.col("s").isNotNull().alias("given"), staged_key.alias("k"), F.col(f"d.{START}").alias("began"))
+    by_key = by_key.groupBy("action", "given", "k").agg(F.count("*").alias("n"), F.max("began").alias("began"))
+    sums = by_key.groupBy("action").agg(F.sum("n").alias("n"), F.max("began").alias("began"), F.sum((F.col("given") & ((F.col("n") > 1) | F.col("k").isNull())).cast("long")).alias("bad")).collect()
+    found = {r["action"]: r["n"] for r in sums}
+    if bad := sum(r["bad"] for r in sums):
+        raise ValueError(f"{bad} staged keys of {spec.name} are null or repeated")
+    latest = max((r["began"] for r in sums if r["began"] is not None), default=None)
+    top = dim.agg(F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))).first()[0]
     if latest is not None and load_ts <= latest:
         raise ValueError(f"the load time {load_ts} is not later than the latest version, {latest}")
     overwrite = list(spec.type1) + [spec.modified] + ([spec.hash] if spec.type1_by == "hash" else [])
@@ -145,11 +157,10 @@ def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: d
 
     members = old.select(*[kept(c).alias(c) for c in spec.columns])
     fresh = seen.where(F.col("action").isin("new", "t2")).select("s.*", at.alias(START), stamp(OPEN_END).alias(END), F.lit(True).alias(CURRENT), at.alias("CreatedAt"))
-    found = {r["action"]: r["n"] for r in seen.groupBy("action").agg(F.count("*").alias("n")).collect()}
     fresh = assign_keys(fresh, [spec.business_key], spec.surrogate_key, top + 1, found.get("new", 0) + found.get("t2", 0)).select(*spec.columns)
     history = dim.where(~F.col(CURRENT) | (F.col(spec.surrogate_key) == UNKNOWN_KEY)).select(*spec.columns)
     counts = dim.sparkSession.createDataFrame([(a, found.get(a, 0)) for a in ACTIONS], "action string, n long")
-    return history.unionByName(members).unionByName(fresh), counts
+    return keep(history.unionByName(members).unionByName(fresh), f"dim-{spec.name}"), counts
 
 
 def totals(counts: DataFrame) -> DataFrame:

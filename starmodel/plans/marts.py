@@ -15,9 +15,11 @@ def _money(c: str):
 
 
 def with_dates(fact: DataFrame, calendar: DataFrame, role: str = "OrderDateKey", columns: Sequence[str] = ("CalendarYear",)) -> DataFrame:
-    """The fact with attributes of one of its dates (a calendar is small: a row a day)."""
+    """The fact with attributes of one of its dates (a calendar is small: a row a
+    day). All rows stay; without a date they get the calendar's unknown member, if
+    it has one."""
     dates = calendar.select(F.col("DateKey").alias(role), *columns)
-    return fact.join(F.broadcast(dates), role)
+    return fact.join(F.broadcast(dates), role, "left")
 
 
 def sales_summary(fact: DataFrame, by: Sequence[str]) -> DataFrame:

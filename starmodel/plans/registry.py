@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starmodel.functions import clean
 from starmodel.functions.rowhash import row_hash
-from starmodel.operators import calendar, fact, incremental, lookup, quality, runlog, scd
+from starmodel.operators import calendar, fact, incremental, load, lookup, quality, runlog, scd
 from starmodel.plans import marts, shapes, warehouse
 from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS
 from starmodel.sources.schema import STAGING, required
@@ -231,14 +231,14 @@ def j10_before_first_version(spark, d):
     return found.groupBy("ProductKey").agg(F.count("*").alias("n"))
 
 
-_FACT_COLUMNS = "SalesOrderID, SalesOrderDetailID, ProductKey, CustomerKey, OrderDateKey, DueDateKey, ShipDateKey, OrderQty, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit"))
+_FACT_COLUMNS = "SalesOrderID, SalesOrderDetailID, ProductKey, CustomerKey, SalesPersonKey, TerritoryKey, OrderDateKey, DueDateKey, ShipDateKey, OrderQty, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit"))
 
 
 @query(f"{FACT} SELECT {_FACT_COLUMNS} FROM fact")
 def c14_fact(spark, d):
     out = warehouse.sales_fact(spark, d)
     money = ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit")
-    return out.select("SalesOrderID", "SalesOrderDetailID", "ProductKey", "CustomerKey", "OrderDateKey", "DueDateKey", "ShipDateKey", "OrderQty", *[F.col(c).cast("double").alias(c) for c in money])
+    return out.select("SalesOrderID", "SalesOrderDetailID", "ProductKey", "CustomerKey", "SalesPersonKey", "TerritoryKey", "OrderDateKey", "DueDateKey", "ShipDateKey", "OrderQty", *[F.col(c).cast("double").alias(c) for c in money])
 
 
 @query("""SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS OrderDateKey, CAST(strftime(o_orderdate + INTERVAL 12 DAY, '%Y%m%d') AS INT) AS DueDateKey,
@@ -302,6 +302,35 @@ def a9_date_hierarchy(spark, d):
     return marts.hierarchy(lines, ["CalendarYear", "QuarterNumber"])
 
 
+@query(f"""{FACT} SELECT coalesce(year(ShipDate), -1) AS CalendarYear, coalesce('Q' || quarter(ShipDate), 'Unknown') AS QuarterName, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact GROUP BY ALL""")
+def c18_sales_by_ship_quarter(spark, d):
+    """By the date of shipping; lines that aren't shipped yet are under the unknown date."""
+    first, last = _span(spark, d)
+    days = calendar.with_unknown_date(calendar.date_dim(spark, first, last + dt.timedelta(days=31)))
+    lines = marts.with_dates(warehouse.sales_fact(spark, d), days, "ShipDateKey", ("CalendarYear", "QuarterName"))
+    return lines.groupBy("CalendarYear", "QuarterName").agg(F.count("*").alias("Lines"), F.sum("NetAmount").cast("double").alias("NetAmount"))
+
+
+def _rollup_sql(levels: list[str], join: str) -> str:
+    names = ", ".join(f"coalesce({c}, 'Unknown') AS {c}" for c in levels)
+    return f"""{FACT}, named AS (SELECT NetAmount, {names} FROM fact {join})
+        SELECT {", ".join(levels)}, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount, {" + ".join(f"grouping({c})" for c in levels)} AS Level FROM named GROUP BY ROLLUP ({", ".join(levels)})"""
+
+
+@query(_rollup_sql(["TerritoryGroup", "CountryRegionName", "TerritoryName"], "LEFT JOIN (SELECT tk, TerritoryGroup, CountryRegionName, TerritoryName FROM tdim) ON tk = TerritoryKey"))
+def a9_territory_hierarchy(spark, d):
+    dim = scd.with_unknown_member(warehouse.territory_dim(spark, d), scd.TERRITORY)
+    levels = ["TerritoryGroup", "CountryRegionName", "TerritoryName"]
+    return marts.hierarchy(lookup.as_was(warehouse.sales_fact(spark, d), dim, scd.TERRITORY, tuple(levels)), levels)
+
+
+@query(_rollup_sql(["CategoryName", "SubcategoryName"], "LEFT JOIN (SELECT k, CategoryName, SubcategoryName FROM dim3) v ON v.k = ProductKey"))
+def a9_product_hierarchy(spark, d):
+    dim = scd.with_unknown_member(warehouse.product_dim(spark, d)[1], scd.PRODUCT)
+    levels = ["CategoryName", "SubcategoryName"]
+    return marts.hierarchy(lookup.as_was(warehouse.sales_fact(spark, d), dim, scd.PRODUCT, tuple(levels)), levels)
+
+
 @query(f"{FACT} SELECT CustomerKey, CAST(net AS DOUBLE) AS NetAmount, rank() OVER (ORDER BY net DESC) AS Rank, dense_rank() OVER (ORDER BY net DESC) AS DenseRank FROM (SELECT CustomerKey, sum(NetAmount) AS net FROM fact WHERE CustomerKey >= 0 GROUP BY 1) QUALIFY Rank <= 100")
 def w5_ranked_customers(spark, d):
     return marts.ranked_customers(warehouse.sales_fact(spark, d), top=100)
@@ -382,10 +411,15 @@ def q4_accepted_values(spark, d):
     return quality.check_accepted(_table(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", ["F", "O"])
 
 
-@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+@query(f"""WITH cal AS ({_CALENDAR}), kept AS (SELECT * FROM cal WHERE DateKey % 50 <> 7) SELECT 'calendar' AS check, CAST(DateKey AS VARCHAR) AS key, 'MonthNumber' AS detail FROM kept WHERE DayNumberOfYear = 60
+    UNION ALL SELECT 'calendar', CAST(DateKey AS VARCHAR), 'IsWeekend' FROM kept WHERE DayNumberOfYear = 61 AND NOT IsWeekend
+    UNION ALL SELECT 'calendar_complete', strftime(FullDate, '%Y%m%d'), CAST(step AS VARCHAR) FROM (SELECT FullDate, lead(FullDate) OVER (ORDER BY FullDate) - FullDate AS step FROM kept) WHERE step <> 1""")
 def q5_calendar(spark, d):
-    whole = calendar.date_dim(spark, *_span(spark, d))
-    return quality.all_of([quality.check_calendar(whole), quality.check_calendar_complete(whole)])
+    """A calendar with days left out, months out of range, and weekdays that are weekends."""
+    whole = calendar.date_dim(spark, *_span(spark, d)).where(F.col("DateKey") % 50 != 7)
+    day = F.col("DayNumberOfYear")
+    broken = whole.withColumns({"MonthNumber": F.when(day == 60, 13).otherwise(F.col("MonthNumber")), "IsWeekend": (day == 61) | F.col("IsWeekend")})
+    return quality.all_of([quality.check_calendar(broken), quality.check_calendar_complete(broken)])
 
 
 @query("SELECT 'calendar_complete' AS check, strftime(d, '%Y%m%d') AS key, CAST(step AS VARCHAR) AS detail FROM (SELECT d, lead(d) OVER (ORDER BY d) - d AS step FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)) WHERE step <> 1")
@@ -400,11 +434,19 @@ def q6_order_of_dates(spark, d):
     return quality.check_order(both, ["o_orderkey"], "o_orderdate", "l_shipdate", strict=False).groupBy("check", "key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+@query(f"""{PRODUCT_DIMS}, broken AS (SELECT k, ProductID, CASE WHEN ProductID % 20 = 4 THEN Finish ELSE Start END AS Start, Finish, Cur AND ProductID % 20 <> 6 OR ProductID % 20 = 8 AS Cur FROM dim3),
+    n AS (SELECT *, lead(Start) OVER (PARTITION BY ProductID ORDER BY Start, k) AS nxt FROM broken)
+    SELECT 'current_open' AS check, CAST(k AS VARCHAR) AS key, strftime(Finish, '%Y-%m-%d %H:%M:%S') || CASE WHEN year(Finish) = 9999 THEN '.999999' ELSE '' END AS detail FROM broken WHERE Cur <> (year(Finish) = 9999)
+    UNION ALL SELECT 'one_current', CAST(ProductID AS VARCHAR), CAST(count(*) FILTER (Cur) AS VARCHAR) FROM broken GROUP BY ProductID HAVING count(*) FILTER (Cur) <> 1
+    UNION ALL SELECT 'intervals', CAST(k AS VARCHAR), CASE WHEN Finish > nxt THEN 'overlap' ELSE 'gap' END FROM n WHERE Finish <> nxt
+    UNION ALL SELECT 'order', CAST(k AS VARCHAR), 'same' FROM broken WHERE Start >= Finish""")
 def q7_q10_dimension(spark, d):
-    """A dimension after three loads: open ends, one current version, no gap or overlap."""
-    dim = warehouse.product_dim(spark, d)[1]
-    return quality.all_of([quality.check_current_open(dim, scd.PRODUCT), quality.check_one_current(dim, scd.PRODUCT), quality.check_intervals(dim, scd.PRODUCT), quality.check_order(dim, ["ProductKey"], scd.START, scd.END)])
+    """A dimension in which some products have no current version, or all are
+    current, or versions begin when they end."""
+    dim, m = warehouse.product_dim(spark, d)[1], F.col("ProductID") % 20
+    dim = dim.withColumns({scd.START: F.when(m == 4, F.col(scd.END)).otherwise(F.col(scd.START)), scd.CURRENT: (F.col(scd.CURRENT) & (m != 6)) | (m == 8)})
+    order = quality.check_order(dim, ["ProductKey"], scd.START, scd.END).withColumn("detail", F.lit("same"))
+    return quality.all_of([quality.check_current_open(dim, scd.PRODUCT), quality.check_one_current(dim, scd.PRODUCT), quality.check_intervals(dim, scd.PRODUCT), order])
 
 
 @query(f"""{PRODUCT_DIMS}, broken AS (SELECT k, ProductID, CASE WHEN ProductID % 20 = 0 THEN Start + INTERVAL 1 DAY WHEN ProductID % 20 = 2 THEN Start - INTERVAL 1 DAY ELSE Start END AS Start, Finish FROM dim3),
@@ -435,17 +477,34 @@ def q13_unknown_rate(spark, d):
     return quality.unknown_rate(warehouse.sales_fact(spark, d), ["ProductKey", "ShipDateKey"])
 
 
-@query("SELECT '' AS c, 0 AS n WHERE false")
+@query(f"""{PRODUCT_DIMS}, t AS (SELECT count(*) FILTER (a IN ('new', 't2')) AS i, count(*) FILTER (a IN ('t1', 't2')) AS u FROM act3) SELECT 'counts_match' AS check, 'inserted' AS key, i || ' / ' || (i + 5) AS detail FROM t
+    UNION ALL SELECT 'counts_match', 'updated', u || ' / ' || (u + 1) FROM t""")
 def q17_counts_match(spark, d):
-    """The counters of the last load against the snapshots before and after it."""
+    """Counters against the snapshots before and after the last load: the right
+    ones, which no row is for, and wrong ones."""
     before, after, counts = warehouse.product_dim(spark, d)
     t = scd.totals(counts).first()
-    return quality.check_counts_match(before, after, scd.PRODUCT, t["rows_inserted"], t["rows_updated"]).select(F.col("key").alias("c"), F.lit(0).alias("n"))
+    right = quality.check_counts_match(before, after, scd.PRODUCT, t["rows_inserted"], t["rows_updated"])
+    return quality.all_of([right, quality.check_counts_match(before, after, scd.PRODUCT, t["rows_inserted"] + 5, t["rows_updated"] + 1)])
 
 
-@query("SELECT '' AS check, '' AS key, '' AS detail WHERE false")
+@query(f"SELECT 'customer_kind' AS check, CAST(CustomerID AS VARCHAR) AS key, 'Store' AS detail FROM ({shapes.CUSTOMER_SQL}) WHERE CustomerID % 25 = 0 AND CustomerType <> 'Store'")
 def q19_customer_kind(spark, d):
-    return quality.check_customer_kind(shapes.staged_customer(spark, d))
+    """Some customers are said to be stores."""
+    staged = shapes.staged_customer(spark, d)
+    return quality.check_customer_kind(staged.withColumn("CustomerType", F.when(F.col("CustomerID") % 25 == 0, "Store").otherwise(F.col("CustomerType"))))
+
+
+@query("""SELECT 'run' AS check, CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_acctbal < 0 AND CAST(s_acctbal AS BIGINT) < 0 THEN 'negative counter' ELSE 'ends before it starts' END AS detail
+    FROM supplier WHERE CAST(s_acctbal AS BIGINT) < 0 OR s_suppkey % 9 = 0""")
+def q16_run_counters(spark, d):
+    """A log in which some counters are negative and some runs end too early."""
+    start = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    end = F.when(F.col("s_suppkey") % 9 == 0, start - F.expr("INTERVAL 1 HOUR")).otherwise(start + F.expr("INTERVAL 1 HOUR"))
+    log = _table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("ExecutionID"), start.alias("StartTime"), end.alias("EndTime"), F.round("s_acctbal").cast("long").alias("RowsRead"), *[F.lit(0).cast("long").alias(c) for c in ("RowsInserted", "RowsUpdated", "RowsRejected")]
+    )
+    return quality.check_counters(log)
 
 
 @query(f"SELECT 'one_group' AS check, CountryRegionCode AS key, CAST(n AS VARCHAR) AS detail FROM (SELECT CASE WHEN TerritoryID % 2 = 0 THEN 'even' ELSE 'odd' END AS CountryRegionCode, count(DISTINCT TerritoryGroup) AS n FROM ({shapes.TERRITORY_SQL}) GROUP BY 1) WHERE n > 1")
@@ -494,6 +553,57 @@ def s9_run_log(spark, d):
     return runlog.run_state(log).where((F.col("ExecutionID") > 1) & F.lit(bad == 0)).select("ExecutionID", "Status", "RowsRead", "RowsInserted", "RowsUpdated")
 
 
+_DOUBLED = "SELECT count(*) AS n FROM dim1 WHERE ProductID % 10 = 5"
+
+
+@query(f"""{PRODUCT_DIMS} SELECT 1 AS ExecutionID, 'Succeeded' AS Status, count(*) AS RowsInserted, CAST(NULL AS VARCHAR) AS ErrorMessage, count(*) AS members FROM dim1
+    UNION ALL SELECT 2, 'Failed', 0, 'ValueError: ' || ({_DOUBLED.replace("count(*) AS n", "count(*)")}) || ' staged keys of product are null or repeated', count(*) FROM dim1""")
+def s9_failed_run(spark, d):
+    """Two loads, the second with repeated keys: it is logged as failed, and the
+    dimension stays as it was."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    load.run_load(store, scd.PRODUCT, 1, "part", lambda: (shapes.staged_product(spark, d, 1), None), shapes.LOADS[0])
+    second = shapes.staged_product(spark, d, 1)
+    try:
+        load.run_load(store, scd.PRODUCT, 2, "part", lambda: (second.union(second.where("ProductID % 10 = 5")), None), shapes.LOADS[1])
+    except ValueError:
+        pass  # it is in the log
+    n = store.read("product").count()
+    return runlog.run_state(load.run_log(store)).select("ExecutionID", "Status", "RowsInserted", "ErrorMessage", F.lit(n).cast("long").alias("members"))
+
+
+@query(f"SELECT 7 AS ExecutionID, 'territory' AS TargetObject, TerritoryID, reasons AS Reasons, (SELECT count(*) FROM ({shapes.TERRITORY_REJECTS_SQL})) AS RowsRejected FROM ({shapes.TERRITORY_REJECTS_SQL})")
+def s10_stored_rejects(spark, d):
+    """Territories that can't be loaded are kept under the run's id and counted in the log."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    load.run_load(store, scd.TERRITORY, 7, "nation", lambda: shapes.staged_territory(spark, d), shapes.LOADS[0])
+    state = runlog.run_state(load.run_log(store)).select("ExecutionID", "RowsRejected")
+    kept = load.stored_rejects(store).withColumn("TerritoryID", F.get_json_object("RejectedRow", "$.TerritoryID").cast("long"))
+    return kept.join(F.broadcast(state), "ExecutionID").select("ExecutionID", "TargetObject", "TerritoryID", "Reasons", "RowsRejected")
+
+
+@query(f"SELECT * FROM ({shapes.product_sql(2)})")
+def s2_staging_scan(spark, d):
+    """Staging is written by each load as a version, and read from there."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    for v in (1, 2):
+        load.run_load(store, scd.PRODUCT, v, "part", lambda v=v: (shapes.staged_product(spark, d, v), None), shapes.LOADS[v - 1])
+    return store.read("staging_product").drop("ExtractedAt")
+
+
+@query(f"""{PRODUCT_DIMS}, moved AS (SELECT k, ProductID, CASE WHEN ProductID % 20 = 2 THEN Start - INTERVAL 30 DAY ELSE Start END AS Start, Finish FROM dim3),
+    l AS ({shapes.LINES_SQL}), f AS (SELECT SalesOrderID, SalesOrderDetailID, count(*) AS n FROM l LEFT JOIN moved d ON d.ProductID = l.ProductID AND OrderDate >= d.Start AND OrderDate < d.Finish GROUP BY ALL),
+    g AS (SELECT l_orderkey AS o, l_linenumber AS i, count(*) AS m FROM lineitem GROUP BY ALL)
+    SELECT 'grain' AS check, SalesOrderID || '|' || SalesOrderDetailID AS key, CAST(n AS VARCHAR) AS detail FROM f JOIN g ON o = SalesOrderID AND i = SalesOrderDetailID WHERE n > m""")
+def j15_grain_guard(spark, d):
+    """Versions that overlap make several rows of a line, which the guard of the fact's load reports."""
+    dim = warehouse.product_dim(spark, d)[1]
+    start = F.when(F.col("ProductID") % 20 == 2, F.col(scd.START) - F.expr("INTERVAL 30 DAYS")).otherwise(F.col(scd.START))
+    detail, header = shapes.order_sources(spark, d)
+    lines = detail.join(header.select("SalesOrderID", "OrderDate"), "SalesOrderID")
+    return fact.grain_breaks(lookup.lookup_key(lines, dim.withColumn(scd.START, start), scd.PRODUCT, "ProductID", "OrderDate"), detail)
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-01'")
 def i1_extract_since(spark, d):
     return incremental.extract_since(_table(spark, d, "orders"), "o_orderdate", dt.datetime(1999, 6, 1)).select("o_orderkey", "o_orderdate")
@@ -558,7 +668,7 @@ def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/[{table[0]}]{table[1:]}.parquet")
 
 
-@query()
+@query("SELECT row_number() OVER (ORDER BY user_id) AS user_key, user_id, arg_max(event_type, (ts, event_id)) AS kind, true AS current FROM events GROUP BY user_id")
 def i5_stream_scd(spark, d):
     """The users' last event types as a dimension, fed by a stream."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -572,6 +682,21 @@ def i5_stream_scd(spark, d):
     return store.read("user").select("user_key", "user_id", "kind", F.col(scd.CURRENT).alias("current"))
 
 
+@query("""SELECT row_number() OVER (ORDER BY user_id) AS user_key, user_id, kind, true AS current FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id) WHERE kind <> 'error'""")
+def i5_stream_changes(spark, d):
+    """The same from changes, of which errors delete."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = SnapshotStore(spark, f"{base}/tables")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        stamped = batch.select("user_id", F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("SourceModifiedDate"), F.sha2("event_type", 256).alias("RowHash"), "event_id")
+        return stamped.withColumn("op", F.when(F.col("kind") == "error", "delete").otherwise("update"))
+
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    scd_stream.stream_scd(_stream(spark, d, "events"), store, _USER, ["SourceModifiedDate", "event_id"], at, f"{base}/checkpoint", prepare, operation="op").awaitTermination()
+    return store.read("user").select("user_key", "user_id", "kind", F.col(scd.CURRENT).alias("current"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def i5_windowed_stream(spark, d):
     """Events by type and hour, counted in a stream that is read to its end."""

@@ -128,7 +128,7 @@ def order_sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     total = F.col("o_totalprice").cast(MONEY)
     header = o.select(
         F.col("o_orderkey").alias("SalesOrderID"), F.col("o_orderdate").alias("OrderDate"), (F.col("o_orderdate") + F.expr("INTERVAL 12 DAYS")).alias("DueDate"),
-        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("ShipDate"), F.col("o_custkey").alias("CustomerID"), F.lit(None).alias("SalesPersonID"), F.lit(None).alias("TerritoryID"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("ShipDate"), F.col("o_custkey").alias("CustomerID"), F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 90 + 1).alias("SalesPersonID"), F.when(F.col("o_custkey") % 6 != 0, F.col("o_custkey") % 30).alias("TerritoryID"),
         total.alias("SubTotal"), (total * F.lit("0.08").cast("decimal(3,2)")).alias("TaxAmt"), (total * F.lit("0.025").cast("decimal(4,3)")).alias("Freight"),
     )
     return source(detail, "sales_order_detail"), source(header, "sales_order_header")
@@ -210,5 +210,6 @@ def salesperson_sql(version: int = 1) -> str:
 
 LINES_SQL = """
     SELECT l_orderkey AS SalesOrderID, CAST(l_linenumber AS BIGINT) AS SalesOrderDetailID, CAST(l_quantity AS INT) AS OrderQty, l_partkey AS ProductID, CAST(l_extendedprice AS DECIMAL(19,4)) AS UnitPrice,
-        CAST(l_discount AS DECIMAL(19,4)) AS UnitPriceDiscount, o_orderdate AS OrderDate, o_orderdate + INTERVAL 12 DAY AS DueDate, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 7 DAY END AS ShipDate, o_custkey AS CustomerID
+        CAST(l_discount AS DECIMAL(19,4)) AS UnitPriceDiscount, o_orderdate AS OrderDate, o_orderdate + INTERVAL 12 DAY AS DueDate, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 7 DAY END AS ShipDate, o_custkey AS CustomerID,
+        CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 90 + 1 END AS SalesPersonID, CASE WHEN o_custkey % 6 <> 0 THEN o_custkey % 30 END AS TerritoryID
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""

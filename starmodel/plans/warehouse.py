@@ -2,44 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from starmodel.operators import fact, scd
 from starmodel.plans import shapes
+from starmodel.sources.shared import scratch
+
+#: What has been loaded in this session: (application, folder, name, loads) -> the
+#: dimension, which is read from its files, and the counts of its last load.
+_loaded: dict[tuple, tuple[DataFrame, DataFrame | None]] = {}
+
+
+def _load(spark: SparkSession, d: str, spec: scd.DimensionSpec, staged: Callable[[int], DataFrame], loads: int) -> tuple[DataFrame, DataFrame | None]:
+    """A dimension after so many loads. Each load of a folder's tables is made
+    once a session and written; all facts and reports then read its files."""
+    key = (spark.sparkContext.applicationId, d, spec.name, loads)
+    if key not in _loaded:
+        if loads:
+            with scratch(spark):
+                _loaded[key] = scd.apply_scd(_load(spark, d, spec, staged, loads - 1)[0], staged(loads), spec, shapes.LOADS[loads - 1])
+        else:
+            _loaded[key] = scd.empty_dimension(staged(1), spec), None
+    return _loaded[key]
 
 
 def product_dim(spark: SparkSession, d: str, versions: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The product dimension before and after its last load, and the counts of that."""
-    before = dim = scd.empty_dimension(shapes.staged_product(spark, d), scd.PRODUCT)
-    counts = None
-    for v in range(1, versions + 1):
-        before = dim
-        dim, counts = scd.apply_scd(dim, shapes.staged_product(spark, d, v), scd.PRODUCT, shapes.LOADS[v - 1])
-    return before, dim, counts
+    staged = lambda v: shapes.staged_product(spark, d, v)
+    return _load(spark, d, scd.PRODUCT, staged, versions - 1)[0], *_load(spark, d, scd.PRODUCT, staged, versions)
 
 
 def customer_dim(spark: SparkSession, d: str) -> DataFrame:
-    staged = shapes.staged_customer(spark, d)
-    return scd.apply_scd(scd.empty_dimension(staged, scd.CUSTOMER), staged, scd.CUSTOMER, shapes.LOADS[0])[0]
+    return _load(spark, d, scd.CUSTOMER, lambda v: shapes.staged_customer(spark, d), 1)[0]
 
 
 def salesperson_dim(spark: SparkSession, d: str, versions: int = 2) -> DataFrame:
-    dim = scd.empty_dimension(shapes.staged_salesperson(spark, d)[0], scd.SALESPERSON)
-    for v in range(1, versions + 1):
-        dim, _ = scd.apply_scd(dim, shapes.staged_salesperson(spark, d, v)[0], scd.SALESPERSON, shapes.LOADS[v - 1])
-    return dim
+    return _load(spark, d, scd.SALESPERSON, lambda v: shapes.staged_salesperson(spark, d, v)[0], versions)[0]
 
 
 def territory_dim(spark: SparkSession, d: str) -> DataFrame:
-    staged, _ = shapes.staged_territory(spark, d)
-    return scd.apply_scd(scd.empty_dimension(staged, scd.TERRITORY), staged, scd.TERRITORY, shapes.LOADS[0])[0]
+    return _load(spark, d, scd.TERRITORY, lambda v: shapes.staged_territory(spark, d)[0], 1)[0]
 
 
 def sales_fact(spark: SparkSession, d: str, dim: DataFrame | None = None, before_first: str = "unknown") -> DataFrame:
     detail, header = shapes.order_sources(spark, d)
     dim = product_dim(spark, d)[1] if dim is None else dim
-    customers = customer_dim(spark, d)
-    return fact.load_fact(detail, header, dim, scd.PRODUCT, {"CustomerKey": (customers, scd.CUSTOMER, "CustomerID")}, before_first)
+    others = {
+        "CustomerKey": (customer_dim(spark, d), scd.CUSTOMER, "CustomerID"), "SalesPersonKey": (salesperson_dim(spark, d), scd.SALESPERSON, "SalesPersonID"),
+        "TerritoryKey": (territory_dim(spark, d), scd.TERRITORY, "TerritoryID"),
+    }
+    return fact.load_fact(detail, header, dim, scd.PRODUCT, others, before_first)
 
 
 # The same in SQL.
@@ -74,9 +88,12 @@ SALESPERSON_DIMS = apply_sql([shapes.salesperson_sql(v) for v in (1, 2)], "Busin
 #: After PRODUCT_DIMS: the fact with its measures.
 FACT = f"""{PRODUCT_DIMS},
     cdim AS (SELECT row_number() OVER (ORDER BY CustomerID) AS ck, CustomerID AS cid FROM ({shapes.CUSTOMER_SQL})),
-    raw AS (SELECT l.*, coalesce(d.k, -1) AS ProductKey, CASE WHEN l.OrderDate >= TIMESTAMP '1995-07-01' THEN coalesce(ck, -1) ELSE -1 END AS CustomerKey, d.StandardCost, CAST(OrderQty * UnitPrice AS DECIMAL(19,4)) AS GrossAmount,
+    tdim AS (SELECT row_number() OVER (ORDER BY TerritoryID) AS tk, * FROM ({shapes.TERRITORY_SQL})),
+    pdim AS ({SALESPERSON_DIMS} SELECT * FROM dim2),
+    raw AS (SELECT l.*, coalesce(d.k, -1) AS ProductKey, CASE WHEN l.OrderDate >= TIMESTAMP '1995-07-01' THEN coalesce(tk, -1) ELSE -1 END AS TerritoryKey, coalesce(p.k, -1) AS SalesPersonKey, CASE WHEN l.OrderDate >= TIMESTAMP '1995-07-01' THEN coalesce(ck, -1) ELSE -1 END AS CustomerKey, d.StandardCost, CAST(OrderQty * UnitPrice AS DECIMAL(19,4)) AS GrossAmount,
             CAST(OrderQty * UnitPrice * UnitPriceDiscount AS DECIMAL(19,4)) AS DiscountAmount
-        FROM ({shapes.LINES_SQL}) l LEFT JOIN dim3 d ON d.ProductID = l.ProductID AND l.OrderDate >= d.Start AND l.OrderDate < d.Finish LEFT JOIN cdim ON cid = l.CustomerID),
+        FROM ({shapes.LINES_SQL}) l LEFT JOIN dim3 d ON d.ProductID = l.ProductID AND l.OrderDate >= d.Start AND l.OrderDate < d.Finish LEFT JOIN cdim ON cid = l.CustomerID
+        LEFT JOIN tdim t ON t.TerritoryID = l.TerritoryID LEFT JOIN pdim p ON p.BusinessEntityID = l.SalesPersonID AND l.OrderDate >= p.Start AND l.OrderDate < p.Finish),
     fact AS (SELECT *, CAST(GrossAmount - DiscountAmount AS DECIMAL(19,4)) AS NetAmount, CAST(OrderQty * StandardCost AS DECIMAL(19,4)) AS TotalCost,
             CAST(GrossAmount - DiscountAmount - OrderQty * StandardCost AS DECIMAL(19,4)) AS GrossProfit,
             CAST(strftime(OrderDate, '%Y%m%d') AS INT) AS OrderDateKey, CAST(strftime(DueDate, '%Y%m%d') AS INT) AS DueDateKey, coalesce(CAST(strftime(ShipDate, '%Y%m%d') AS INT), -1) AS ShipDateKey FROM raw)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,8 @@ RUN_LOG = {
     "RowsRead": (_L, True), "RowsInserted": (_L, True), "RowsUpdated": (_L, True), "RowsRejected": (_L, True), "ErrorMessage": (_S, True), "ExecutedBy": (_S, True),
 }
 
+REJECTS = {"ExecutionID": (_L, False), "TargetObject": (_S, False), "Reasons": (_S, False), "RejectedRow": (_S, False)}
+
 
 def struct(contract: dict) -> T.StructType:
     return T.StructType([T.StructField(name, kind, nullable) for name, (kind, nullable) in contract.items()])
@@ -66,11 +68,19 @@ def struct(contract: dict) -> T.StructType:
 
 def conform(df: DataFrame, contract: dict) -> DataFrame:
     """The contract's columns in order and type; others are dropped, and a
-    column that is missing is an error, as is one that may be null there."""
+    column that is missing is an error. A null where none may be is an error of
+    the task that comes upon it, for columns that the input says may be null."""
     missing = [c for c in contract if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select(*[F.col(c).cast(kind).alias(c) for c, (kind, _) in contract.items()])
+    nullable = {f.name for f in df.schema.fields if f.nullable}
+
+    def column(c: str) -> Column:
+        kind, may_be_null = contract[c]
+        value = F.col(c).cast(kind)
+        return (value if may_be_null or c not in nullable else F.coalesce(value, F.raise_error(F.lit(f"{c} is null")).cast(kind))).alias(c)
+
+    return df.select(*[column(c) for c in contract])
 
 
 def required(contract: dict) -> list[str]:

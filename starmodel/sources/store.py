@@ -31,11 +31,16 @@ class SnapshotStore:
 
     def write(self, table: str, df: DataFrame, partition_by: list[str] | None = None, note: str = "") -> int:
         """Writes the next version and switches to it. `note` is kept in the
-        marker, and so is the schema, as folders alone don't tell a column's type."""
+        marker, and so is the schema, as folders alone don't tell a column's type.
+        A version's number is claimed by a file that only one writer can create, so
+        of two writers each has a version of its own; what a failed write leaves
+        is never read."""
         found = self.versions(table)
         version = (found[-1] if found else 0) + 1
+        while not self._claimed(f"{self.root}/{table}/v{version}.claim"):
+            version += 1
         path = f"{self.root}/{table}/v{version}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite")  # what is there is not complete
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         fs, marker = self._fs(f"{path}.ok")
         out = fs.create(marker, True)
@@ -43,6 +48,16 @@ class SnapshotStore:
         out.close()
         return version
 
+    def _claimed(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        try:
+            fs.create(p, False).close()
+            return True
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+
     def append(self, table: str, df: DataFrame) -> None:
         """Adds rows to a table that is only ever added to."""
         df.write.mode("append").parquet(f"{self.root}/{table}/rows")
@@ -75,6 +90,6 @@ class SnapshotStore:
     def drop_before(self, table: str, keep: int = 2) -> None:
         """Deletes all but the last `keep` versions."""
         for version in self.versions(table)[:-keep]:
-            for path in (f"{self.root}/{table}/v{version}.ok", f"{self.root}/{table}/v{version}"):
+            for path in (f"{self.root}/{table}/v{version}.ok", f"{self.root}/{table}/v{version}", f"{self.root}/{table}/v{version}.claim"):
                 fs, p = self._fs(path)
                 fs.delete(p, True)

@@ -9,28 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starmodel.operators.incremental import latest_change
+from starmodel.operators.incremental import apply_changes, latest_change
 from starmodel.operators.scd import DimensionSpec, apply_scd, empty_dimension
+from starmodel.sources.shared import materialize, scratch
 from starmodel.sources.store import SnapshotStore
 
 
 def stream_scd(
     stream: DataFrame, store: SnapshotStore, spec: DimensionSpec, order: Sequence[str], load_ts: Callable[[int], dt.datetime], checkpoint: str,
-    prepare: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None, operation: str | None = None, keep: int = 3,
 ) -> StreamingQuery:
     """Applies each micro-batch of staged rows to the dimension in `store`. The
     last row of a key in a batch counts. The batch's number is kept with the
-    snapshot, so a batch that is delivered again changes nothing."""
+    snapshot, so a batch that is delivered again changes nothing. With `operation`
+    rows are changes, that column saying which of them delete. Of the snapshots
+    the last `keep` stay."""
 
     def apply(batch: DataFrame, number: int) -> None:
         done = store.note(spec.name)
         if done and int(done) >= number:
             return
         rows = prepare(batch) if prepare else batch
-        staged = latest_change(rows, [spec.business_key], order).select(*spec.attributes)
         dim = store.read(spec.name)
-        nxt, _ = apply_scd(empty_dimension(staged, spec) if dim is None else dim, staged, spec, load_ts(number))
-        store.write(spec.name, nxt, note=str(number))
+        dim = empty_dimension(rows.select(*spec.attributes), spec) if dim is None else dim
+        with scratch(store.spark):
+            if operation:
+                nxt, _ = apply_changes(dim, materialize(rows, "batch"), spec, load_ts(number), order, operation)
+            else:
+                staged = latest_change(rows, [spec.business_key], order).select(*spec.attributes)
+                nxt, _ = apply_scd(dim, staged, spec, load_ts(number))
+            store.write(spec.name, nxt, note=str(number))
+        store.drop_before(spec.name, keep)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
