@@ -148,6 +148,7 @@ def check_hot(spark, texts):
 
 def test_partners_in_other_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SHARD", 40)
+    monkeypatch.setattr(near_dedup, "PART", 40)
     check_hot(spark, hot_texts(100))
 
 
@@ -159,6 +160,7 @@ def test_partners_behind_many_nearer(spark, monkeypatch):
 def test_large_group_of_near_copies(spark, monkeypatch):
     """One text with many copies of a few edits: one group, found by few pairs a copy."""
     monkeypatch.setattr(near_dedup, "SHARD", 150)
+    monkeypatch.setattr(near_dedup, "PART", 150)
     rng = np.random.default_rng(9)
     base, texts = [f"w{x}" for x in rng.integers(0, 90_000, 300)], []
     for i in range(1200):
