@@ -36,7 +36,7 @@ NOISE_CLASSES, NOISE_WORDS = 16, 8
 DICTIONARY = 400_000  # counts that every task holds; those of other words are joined
 WARM = 1_500_000  # tokens, about, that one task trains on first, to give all others their start
 SOME = 6_000_000  # bytes of text that are gone through together
-PARTIAL = 1_500_000  # words of which a task sums up counts before it passes them on
+PARTIAL = 800_000  # words of which a task sums up counts before it passes them on
 RATE, WARM_RATE = 0.1, 0.2
 NEVER = -1e4  # the bias of an outcome that isn't there
 END = b""
