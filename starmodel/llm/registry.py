@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, quality, sharding, simhash, token_file, word_bpe
+from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, prefix_trie, quality, sharding, simhash, token_file, word_bpe
 from starmodel.llm.common import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_token_file": op2_token_file,
@@ -75,10 +79,15 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: The crc32 of a number's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce([CAST(ascii(x) AS UBIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')],
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS UBIGINT)))"""
+
 ORACLE_SQL = {
     "op3_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -93,4 +102,18 @@ ORACLE_SQL = {
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op12_prefix_trie": f"""
+        WITH turns AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, sha256(concat(length(coalesce(role, '')), ':', role, text)) AS k FROM conversations WHERE conv_id IS NOT NULL),
+        t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM turns),
+        ids AS (SELECT c, c - c % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+        u AS (SELECT ids.c, pos, text, k FROM ids JOIN t ON t.c = base AND pos <= h UNION ALL SELECT ids.c, pos, text, k FROM ids JOIN t ON t.c = ids.c AND pos > h),
+        path AS (SELECT c, row_number() OVER w AS d, text, sha256(string_agg(k, '') OVER w) AS node FROM u WINDOW w AS (PARTITION BY c ORDER BY pos)
+            UNION ALL SELECT c, 0, '', 'root' FROM ids),
+        step AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS last FROM path),
+        node AS (SELECT node, min(c) AS conv_id, any_value(d) AS depth, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * any_value(strlen(text)) AS saved,
+            sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM step GROUP BY node),
+        n AS (SELECT *, (SELECT count(*) FROM node m WHERE m.up = node.node) AS n_children FROM node),
+        below AS (SELECT p.node, sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens FROM n JOIN path p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.node)
+        SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN below USING (node) LEFT JOIN n m ON m.node = n.up""",
 }
