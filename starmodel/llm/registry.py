@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, prefix_trie, quality, sharding, simhash, token_file, word_bpe
+from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, periodic_runs, prefix_trie, quality, sharding, simhash, token_file, word_bpe
 from starmodel.llm.common import shared_dir
 
 
@@ -68,6 +68,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", periodic_runs.with_periods(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.collapse_runs(docs, least=6, power=4))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_token_file": op2_token_file,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
