@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmodel.llm import ann, exact_dedup, line_dedup, lm, packing, periodic_runs, prefix_trie, quality, sharding, simhash, token_file, word_bpe
+from starmodel.llm import ann, exact_dedup, jaccard_join, line_dedup, lm, packing, periodic_runs, prefix_trie, quality, sharding, simhash, token_file, word_bpe
 from starmodel.llm.common import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_documents(spark, sf_dir), size=5, percent=80)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -108,6 +113,18 @@ ORACLE_SQL = {
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op11_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [hash(array_to_string(words, ' '))]
+            ELSE list_transform(range(1, len(words) - 3), lambda i: hash(array_to_string(words[i:i + 4], ' '))) END)) AS shingles FROM w),
+        cls AS (SELECT shingles, min(doc_id) AS cid, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+        tok AS (SELECT cid, n, unnest(shingles) AS h FROM cls),
+        pair AS (SELECT a.cid AS x, b.cid AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM tok a JOIN tok b ON a.h = b.h AND a.cid < b.cid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+        link AS (SELECT x, y FROM pair WHERE 100 * common >= 80 * (nx + ny - common)),
+        edge AS (SELECT x AS u, y AS v FROM link UNION SELECT y, x FROM link),
+        reach AS (SELECT cid AS u, cid AS v FROM cls UNION SELECT r.u, e.v FROM reach r JOIN edge e ON e.u = r.v),
+        root AS (SELECT u, min(v) AS component FROM reach GROUP BY u)
+        SELECT s.doc_id, len(s.shingles) AS n_shingles, coalesce(component, s.doc_id) AS component_id FROM s LEFT JOIN cls ON cls.shingles = s.shingles LEFT JOIN root ON u = cid""",
     "op12_prefix_trie": f"""
         WITH turns AS (SELECT conv_id AS c, turn, coalesce(text, '') AS text, sha256(concat(length(coalesce(role, '')), ':', role, text)) AS k FROM conversations WHERE conv_id IS NOT NULL),
         t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM turns),
