@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmodel.functions.clean import any_of, differs
+from starmodel.operators import ordered
 from starmodel.operators.scd import CURRENT, END, OPEN_END, START, DimensionSpec, apply_scd, stamp
 from starmodel.sources.shared import materialize
 from starmodel.sources.store import SnapshotStore
@@ -64,9 +66,26 @@ def apply_changes(dim: DataFrame, changes: DataFrame, spec: DimensionSpec, load_
     return out.select(*spec.columns), counts
 
 
-def history_from_changes(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+#: Changes of one key that one task orders; keys with more are cut by time.
+HOT = 1_000_000
+
+
+def history_from_changes(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str], tie: Sequence[str] = (), hot: int = HOT) -> DataFrame:
     """Versions from ordered change rows: changes that change nothing are left
-    out, each version ends where the next begins. One sort by key and time."""
+    out, each version ends where the next begins. `ts` and `tie` are unique within a
+    key. Keys are sorted by time in one shuffle; those with more than `hot` changes
+    are cut into range parts, between which one row is carried."""
+    often = df.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*[F.col(k).alias(f"_hot_{k}") for k in key])
+    often = materialize(often, "hot-keys")
+    if often.isEmpty():
+        return _history(df, key, ts, columns, tie)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key])
+    parts = ordered.history(df.join(often, same, "left_semi"), key, ts, columns, tie)
+    parts = parts.select(*key, F.col(ts).alias(START), *columns, F.coalesce("_until", stamp(OPEN_END)).alias(END), F.col("_until").isNull().alias(CURRENT))
+    return _history(df.join(often, same, "left_anti"), key, ts, columns, tie).unionByName(parts)
+
+
+def _history(df: DataFrame, key: Sequence[str], ts: str, columns: Sequence[str], tie: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*key).orderBy(ts, *tie)
     before = {c: F.lag(c).over(order) for c in columns}
     first = F.row_number().over(order) == 1

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from starmodel.operators import runlog, scd
 from starmodel.sources.schema import REJECTS, RUN_LOG, struct
+from starmodel.sources.shared import discard, scratch
 from starmodel.sources.store import SnapshotStore
 
 #: Tables of a store that rows are only added to.
@@ -23,31 +26,74 @@ def run_load(
     rows of staging, and rejects with `reject_reasons` or None.
 
     A row is added to the log before anything is read. The good rows are written
-    as a version of the staging table and read from there; rejects are added to
-    the table of rejects under the run's id; staged keys must be unique; the next
-    snapshot is written whole and then switched to; and the log gets a row with
-    the counts. Whatever goes wrong is logged as a failed run with its message
-    and raised again; the dimension is then as it was before."""
-    spark = store.spark
-    started = runlog.run_started(spark, execution_id, f"load {spec.name}", now(), source, spec.name)
-    store.append(LOG, started)
-    try:
+    as a version of the staging table and read from there; rejects are stored under
+    the run's id; staged keys must be unique; the next snapshot is written whole
+    and then switched to, with the run's id in its marker; and the log gets a row
+    with the counts. Whatever goes wrong before the switch is logged as a failed
+    run with its message and raised again; the dimension is then as it was before.
+
+    A run whose id has been switched to is done: run again it does nothing, but
+    for the log's last row if that was lost. A failed run may be run again under its
+    id; its rejects replace those of the failed one."""
+    with logged(store, execution_id, f"load {spec.name}", source, spec.name, now) as run:
+        if run is None:
+            return
         rows, rejects = extract()
         store.write(f"staging_{spec.name}", rows)
         staged = store.read(f"staging_{spec.name}")
-        rejected = 0
-        if rejects is not None:
-            columns = [c for c in rejects.columns if c != "reject_reasons"]
-            store.append(REJECTED, rejects.select(F.lit(execution_id).cast("long").alias("ExecutionID"), F.lit(spec.name).alias("TargetObject"), F.array_join("reject_reasons", "; ").alias("Reasons"), F.to_json(F.struct(*columns)).alias("RejectedRow")))
-            rejected = stored_rejects(store).where(F.col("ExecutionID") == execution_id).count()
+        rejected = store_rejects(store, execution_id, spec.name, rejects)
         dim = store.read(spec.name)
-        nxt, counts = scd.apply_scd(scd.empty_dimension(staged, spec) if dim is None else dim, staged, spec, load_ts)
-        store.write(spec.name, nxt)
-        n = scd.totals(counts).first()
-    except Exception as e:
-        store.append(LOG, runlog.run_finished(started, now(), error=f"{type(e).__name__}: {e}"))
-        raise
-    store.append(LOG, runlog.run_finished(started, now(), n["rows_read"] + rejected, n["rows_inserted"], n["rows_updated"], rejected))
+        with scratch(store.spark):
+            nxt, counts = scd.apply_scd(scd.empty_dimension(staged, spec) if dim is None else dim, staged, spec, load_ts)
+            n = scd.totals(counts).first()
+            run |= {"read": n["rows_read"] + rejected, "inserted": n["rows_inserted"], "updated": n["rows_updated"], "rejected": rejected}
+            store.write(spec.name, nxt, note=json.dumps({"run": execution_id} | run))
+            discard(nxt)
+
+
+@contextmanager
+def logged(store: SnapshotStore, execution_id: int, process: str, source: str, target: str, now: Callable[[], dt.datetime]) -> Iterator[dict | None]:
+    """A run in the log. Gives a dict for its counts, or None if a version of `target`
+    (a table of `store`) says that the run is done."""
+    done = _done(store, target, execution_id)
+    state = {r["Status"] for r in run_log(store).where(F.col("ExecutionID") == execution_id).select("Status").distinct().collect()}
+    if done is not None and "Succeeded" in state:
+        yield None
+        return
+    started = runlog.run_started(store.spark, execution_id, process, now(), source, target)
+    counts: dict = dict(done or {})
+    if done is None:
+        store.append(LOG, started)
+        try:
+            yield counts
+        except Exception as e:
+            if _done(store, target, execution_id) is None:
+                store.append(LOG, runlog.run_finished(started, now(), error=f"{type(e).__name__}: {e}"))
+            raise
+    else:
+        yield None
+    store.append(LOG, runlog.run_finished(started, now(), counts.get("read", 0), counts.get("inserted", 0), counts.get("updated", 0), counts.get("rejected", 0)))
+
+
+def _done(store: SnapshotStore, table: str, execution_id: int) -> dict | None:
+    """The counts of a run that a version of the table is from."""
+    for note in store.notes(table):
+        found = json.loads(note) if note.startswith("{") else {}
+        if found.get("run") == execution_id:
+            return {k: v for k, v in found.items() if k != "run"}
+    return None
+
+
+def store_rejects(store: SnapshotStore, execution_id: int, target: str, rejects: DataFrame | None) -> int:
+    """Stores rejected rows (with `reject_reasons`) under the run's id, in place of
+    those that are there, and returns how many there are, observed while writing."""
+    if rejects is None:
+        return 0
+    columns = [c for c in rejects.columns if c != "reject_reasons"]
+    rows = rejects.select(F.lit(execution_id).cast("long").alias("ExecutionID"), F.lit(target).alias("TargetObject"), F.array_join("reject_reasons", "; ").alias("Reasons"), F.to_json(F.struct(*columns)).alias("RejectedRow"))
+    watch = Observation()
+    store.replace(REJECTED, f"{target}-{execution_id}", rows.observe(watch, F.count("*").alias("n")))
+    return watch.get["n"]
 
 
 def run_log(store: SnapshotStore) -> DataFrame:

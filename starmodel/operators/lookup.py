@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmodel.functions.clean import date_key
+from starmodel.operators import ordered
 from starmodel.operators.scd import CURRENT, END, START, UNKNOWN_KEY, DimensionSpec
 
-#: Members of a dimension that are broadcast at most (their number is counted first).
-SMALL = 500_000
+#: Bytes of a dimension's files that are broadcast at most.
+SMALL = 64 << 20
 
 
-def lookup_key(facts: DataFrame, dim: DataFrame, spec: DimensionSpec, key: str, event_ts: str, column: str | None = None, before_first: str = "unknown", attributes: tuple[str, ...] = ()) -> DataFrame:
+def size_in_bytes(df: DataFrame) -> int:
+    """What Spark knows of a table's size before it is run: for one that is read
+    from its files, their bytes in proportion to the columns that are read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def lookup_key(
+    facts: DataFrame, dim: DataFrame, spec: DimensionSpec, key: str, event_ts: str, column: str | None = None, before_first: str = "unknown", attributes: tuple[str, ...] = (), small: int = SMALL
+) -> DataFrame:
     """`facts` with the surrogate key of the version whose [start, end) holds
     `event_ts`; -1 where the key is null, unknown, or has no version then. With
     `before_first` "first_version" events before the first version take it.
     `attributes` of that version are added too.
 
-    The join is on the business key, the interval is a condition on top, so Spark
-    sorts or hashes by key; a dimension that is counted to be small is broadcast,
-    larger ones are shuffled, with skewed keys split at run time."""
+    A dimension of at most `small` bytes is broadcast: the join is on the business
+    key, the interval is a condition on top. With a larger one facts and versions
+    are put in one order by key and time and the last version is carried forward,
+    so a fact does not meet all versions of its key. Versions of a key must not
+    overlap; then both give the same rows."""
     if before_first not in ("unknown", "first_version"):
         raise ValueError(f"before_first: {before_first}")
     column = column or spec.surrogate_key
@@ -32,10 +43,13 @@ def lookup_key(facts: DataFrame, dim: DataFrame, spec: DimensionSpec, key: str,
         first = F.row_number().over(Window.partitionBy(spec.business_key).orderBy(START)) == 1
         begin = F.when(first, F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.col(START))
     versions = versions.select(F.col(spec.business_key).alias("_bk"), F.col(spec.surrogate_key).alias("_key"), begin.alias("_start"), F.col(END).alias("_end"), *[F.col(a).alias(f"_a_{a}") for a in attributes])
-    small = versions.limit(SMALL + 1).count() <= SMALL
-    versions = F.broadcast(versions) if small else versions
     t = F.col(event_ts).cast("timestamp_ntz")
-    out = facts.join(versions, (F.col(key) == F.col("_bk")) & (t >= F.col("_start")) & (t < F.col("_end")), "left")
+    if size_in_bytes(versions) <= small:
+        out = facts.join(F.broadcast(versions), (F.col(key) == F.col("_bk")) & (t >= F.col("_start")) & (t < F.col("_end")), "left")
+    else:
+        found = ordered.as_of(facts.withColumn("_t", t), key, "_t", versions.select("_bk", "_start", F.struct(*versions.columns).alias("_v")), "_bk", "_start", "_v")
+        valid = F.col("_t") < F.col("_v._end")
+        out = found.select(*facts.columns, *[F.when(valid, F.col("_v").getField(c)).alias(c) for c in versions.columns])
     out = out.withColumn(column, F.coalesce("_key", F.lit(UNKNOWN_KEY)).cast("long"))
     for a in attributes:
         out = out.withColumn(a, F.col(f"_a_{a}"))

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,14 +75,16 @@ def empty_dimension(staged: DataFrame, spec: DimensionSpec) -> DataFrame:
 
 
 def classify(dim: DataFrame, staged: DataFrame, spec: DimensionSpec) -> DataFrame:
-    """One row for each key: `action`, `d` (the current member), `s` (the staged row).
+    """One row for each key: `action`, `d` (the current member), `s` (the staged
+    row, any of them if there are several), `staged` (how many there are).
 
     new - no current member; t2 - the hash differs; t1 - an overwrite; same - as
     it was; keep - not staged. Without type2 a changed hash is an overwrite. The
     unknown member takes no part."""
     key = spec.business_key
     d = dim.where(F.col(CURRENT) & (F.col(spec.surrogate_key) != UNKNOWN_KEY)).select(F.col(key).alias("_dk"), F.struct(*spec.columns).alias("d"))
-    s = staged.select(F.col(key).alias("_sk"), F.struct(*spec.attributes).alias("s"))
+    # staged rows are counted by key, so what a repeated key's rows would do plays no part
+    s = staged.groupBy(F.col(key).alias("_sk")).agg(F.first(F.struct(*spec.attributes)).alias("s"), F.count("*").alias("staged"))
     joined = d.join(s, F.col("_dk") == F.col("_sk"), "full_outer")
     other_hash = differs(F.col(f"d.{spec.hash}"), F.col(f"s.{spec.hash}"))
     if spec.type1_by == "hash":
@@ -93,7 +95,25 @@ def classify(dim: DataFrame, staged: DataFrame, spec: DimensionSpec) -> DataFram
             pairs.append(differs(F.col(f"d.{spec.modified}"), F.col(f"s.{spec.modified}")))
         changed1, changed2 = any_of(pairs), other_hash
     action = F.when(F.col("s").isNull(), "keep").when(F.col("d").isNull(), "new").when(changed2, "t2").when(changed1, "t1").otherwise("same")
-    return joined.select(action.alias("action"), "d", "s")
+    return joined.select(action.alias("action"), "d", "s", F.coalesce("staged", F.lit(0)).alias("staged"))
+
+
+def compared(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: dt.datetime) -> tuple[DataFrame, dict[str, int]]:
+    """`classify`, written, and the number of keys for each action, observed while
+    writing. It is an error if a staged key is null or repeated, whatever its rows
+    would do, or if `load_ts` is not later than every current start."""
+    watch = Observation()
+    given = F.col("staged") > 0
+    bad = given & ((F.col("staged") > 1) | F.col(f"s.{spec.business_key}").isNull())
+    counted = [F.sum((F.col("action") == a).cast("long")).alias(a) for a in ACTIONS]
+    seen = classify(dim, staged, spec).observe(watch, *counted, F.sum(bad.cast("long")).alias("bad"), F.max(f"d.{START}").cast("string").alias("latest"))
+    seen = materialize(seen, f"scd-{spec.name}")
+    sums = watch.get
+    if sums["bad"]:
+        raise ValueError(f"{sums['bad']} staged keys of {spec.name} are null or repeated")
+    if sums["latest"] is not None and load_ts <= dt.datetime.fromisoformat(sums["latest"]):
+        raise ValueError(f"the load time {load_ts} is not later than the latest version, {sums['latest']}")
+    return seen, {a: sums[a] or 0 for a in ACTIONS}
 
 
 #: Rows that are numbered by one sorted task at most, where their number is known.
@@ -127,22 +147,12 @@ def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: d
     every current start. A second run with the same staging changes nothing.
 
     The comparison is written once; its counts, the latest start and repeated
-    keys come from one sum over it. The snapshot is written once and returned as
+    keys are observed while it is. The snapshot is written once and returned as
     a table that is read from its files."""
     at = stamp(load_ts)
-    seen = materialize(classify(dim, staged, spec), f"scd-{spec.name}")
-    key, staged_key = F.col(spec.surrogate_key), F.col(f"s.{spec.business_key}")
-    # a repeated staged key is in several rows: more of them than of different ones
-    by_key = seen.select("action", F.col("s").isNotNull().alias("given"), staged_key.alias("k"), F.col(f"d.{START}").alias("began"))
-    by_key = by_key.groupBy("action", "given", "k").agg(F.count("*").alias("n"), F.max("began").alias("began"))
-    sums = by_key.groupBy("action").agg(F.sum("n").alias("n"), F.max("began").alias("began"), F.sum((F.col("given") & ((F.col("n") > 1) | F.col("k").isNull())).cast("long")).alias("bad")).collect()
-    found = {r["action"]: r["n"] for r in sums}
-    if bad := sum(r["bad"] for r in sums):
-        raise ValueError(f"{bad} staged keys of {spec.name} are null or repeated")
-    latest = max((r["began"] for r in sums if r["began"] is not None), default=None)
+    seen, found = compared(dim, staged, spec, load_ts)
+    key = F.col(spec.surrogate_key)
     top = dim.agg(F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))).first()[0]
-    if latest is not None and load_ts <= latest:
-        raise ValueError(f"the load time {load_ts} is not later than the latest version, {latest}")
     overwrite = list(spec.type1) + [spec.modified] + ([spec.hash] if spec.type1_by == "hash" else [])
     old = seen.where(F.col("action") != "new")
     is_t1, is_t2 = F.col("action") == "t1", F.col("action") == "t2"

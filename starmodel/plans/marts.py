@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmodel.functions.clean import margin_pct
+from starmodel.operators import ordered
+from starmodel.sources.shared import materialize
 
 
 def _money(c: str):
@@ -41,14 +43,18 @@ def sales_by_date_range(fact: DataFrame, first_key: int, end_key: int) -> DataFr
 
 def ranked_customers(fact: DataFrame, key: str = "CustomerKey", top: int | None = None) -> DataFrame:
     """Customers by net sales: `Rank` and `DenseRank`. The ranking is over one
-    row for each customer; with `top` only that many rows are ranked."""
+    row for each customer, in range parts; with `top` only that many rows are
+    ranked, by one task."""
     sums = fact.where(F.col(key) >= 0).groupBy(key).agg(F.sum("NetAmount").alias("_net"))
     if top:
         least = sums.orderBy(F.desc("_net")).limit(top).agg(F.min("_net").alias("_least"))
         sums = sums.join(F.broadcast(least), F.col("_net") >= F.col("_least")).drop("_least")
+    if not top:
+        sums = materialize(sums, "ranked")
+        return ordered.ranked(sums, "_net").select(key, F.col("_net").cast("double").alias("NetAmount"), "Rank", "DenseRank")
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("_net"))
     out = sums.select(key, F.col("_net").cast("double").alias("NetAmount"), F.rank().over(order).alias("Rank"), F.dense_rank().over(order).alias("DenseRank"))
-    return out.where(F.col("Rank") <= top) if top else out
+    return out.where(F.col("Rank") <= top)
 
 
 def hierarchy(fact: DataFrame, levels: Sequence[str]) -> DataFrame:

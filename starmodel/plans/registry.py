@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from starmodel.functions import clean
 from starmodel.functions.rowhash import row_hash
-from starmodel.operators import calendar, fact, incremental, load, lookup, quality, runlog, scd
+from starmodel.operators import calendar, fact, incremental, load, lookup, ordered, quality, runlog, scd
 from starmodel.plans import marts, shapes, warehouse
 from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS
 from starmodel.sources.schema import STAGING, required
@@ -211,6 +211,39 @@ def c22_small_dimension(spark, d):
     return scd.apply_scd(scd.empty_dimension(staged, spec), staged, spec, shapes.LOADS[0])[0].select("name", "key")
 
 
+def _again(df: DataFrame, rest: int, **changed) -> DataFrame:
+    """Some rows once more, with other values."""
+    return df.where(F.col("ProductID") % 10 == rest).withColumns(changed)
+
+
+@query("""WITH n AS (SELECT p_partkey % 10 AS m, count(*) AS n FROM part GROUP BY 1) SELECT m + 1 AS ExecutionID, 'Failed' AS Status, 'ValueError: ' || n || ' staged keys of product are null or repeated' AS ErrorMessage FROM n WHERE m BETWEEN 1 AND 5
+    UNION ALL SELECT 7, 'Failed', 'ValueError: 1 staged keys of product are null or repeated' UNION ALL SELECT 1, 'Succeeded', NULL UNION ALL SELECT 8, 'Succeeded', NULL""")
+def c1_repeated_keys(spark, d):
+    """Staging in which keys are repeated by rows that would do the same, or
+    different things, or are null: each load fails, and is logged; the dimension
+    stays, so a good load after them finds nothing to do."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    good = shapes.staged_product(spark, d, 1)
+    name, hash_ = F.concat("ProductName", F.lit(" x")), F.sha2(F.concat("RowHash", F.lit("x")), 256)
+    three = F.col("ProductID") % 10 == 3
+    loads = [
+        good,
+        good.union(_again(good, 1)),  # same, same
+        good.union(_again(good, 2, RowHash=hash_)),  # same, t2
+        good.where(~three).union(_again(good, 3, ProductName=name)).union(_again(good, 3, RowHash=hash_)),  # t1, t2
+        good.union(_again(good, 4, ProductName=name)),  # same, t1
+        good.union(_again(good, 5, ProductID=F.col("ProductID") + 5_000_000)).union(_again(good, 5, ProductID=F.col("ProductID") + 5_000_000, ProductName=name)),  # new, new
+        good.withColumn("ProductID", F.when(F.col("ProductID") % 10 != 6, F.col("ProductID"))),
+        good,
+    ]
+    for i, rows in enumerate(loads, 1):
+        try:
+            load.run_load(store, scd.PRODUCT, i, "part", lambda rows=rows: (rows, None), shapes.LOADS[0] + dt.timedelta(days=i))
+        except ValueError:
+            pass  # it is in the log
+    return runlog.run_state(load.run_log(store)).select("ExecutionID", "Status", "ErrorMessage")
+
+
 # Lookups and the fact
 
 
@@ -231,6 +264,17 @@ def j10_before_first_version(spark, d):
     return found.groupBy("ProductKey").agg(F.count("*").alias("n"))
 
 
+@query(f"{FACT} SELECT SalesOrderID, SalesOrderDetailID, ProductID, ProductKey, SalesPersonKey, count(*) AS n FROM fact GROUP BY ALL")
+def j10_as_of(spark, d):
+    """The keys of the versions of products and sales persons with no dimension
+    taken as small: lines and versions are put in one order and versions carried forward."""
+    detail, header = shapes.order_sources(spark, d)
+    lines = detail.join(header.select("SalesOrderID", "OrderDate", "SalesPersonID"), "SalesOrderID")
+    found = lookup.lookup_key(lines, warehouse.product_dim(spark, d)[1], scd.PRODUCT, "ProductID", "OrderDate", small=0)
+    found = lookup.lookup_key(found, warehouse.salesperson_dim(spark, d), scd.SALESPERSON, "SalesPersonID", "OrderDate", small=0)
+    return found.groupBy("SalesOrderID", "SalesOrderDetailID", "ProductID", "ProductKey", "SalesPersonKey").agg(F.count("*").alias("n"))
+
+
 _FACT_COLUMNS = "SalesOrderID, SalesOrderDetailID, ProductKey, CustomerKey, SalesPersonKey, TerritoryKey, OrderDateKey, DueDateKey, ShipDateKey, OrderQty, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("UnitPrice", "GrossAmount", "DiscountAmount", "NetAmount", "TotalCost", "GrossProfit"))
 
 
@@ -336,6 +380,17 @@ def w5_ranked_customers(spark, d):
     return marts.ranked_customers(warehouse.sales_fact(spark, d), top=100)
 
 
+@query(f"{FACT} SELECT CustomerKey, CAST(net AS DOUBLE) AS NetAmount, rank() OVER (ORDER BY net DESC) AS Rank, dense_rank() OVER (ORDER BY net DESC) AS DenseRank FROM (SELECT CustomerKey, sum(NetAmount) AS net FROM fact WHERE CustomerKey >= 0 GROUP BY 1)")
+def w5_all_customers(spark, d):
+    return marts.ranked_customers(warehouse.sales_fact(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, rank() OVER (ORDER BY l_quantity DESC) AS Rank, dense_rank() OVER (ORDER BY l_quantity DESC) AS DenseRank FROM lineitem")
+def w5_ranked_lines(spark, d):
+    """All order lines by quantity, of which there are few: each is shared by many lines."""
+    return ordered.ranked(_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity")
+
+
 @query("SELECT l_returnflag, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY l_returnflag HAVING sum(CAST(l_quantity AS BIGINT)) > 10")
 def a4_filtered_sums(spark, d):
     """A filter on bare columns, a grouped sum, and a filter on the sum."""
@@ -654,8 +709,19 @@ def i4_apply_changes(spark, d):
     return dim.select("user_key", "user_id", "kind", F.col(scd.CURRENT).alias("current"))
 
 
-@query("""WITH m AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), k AS (SELECT * FROM m WHERE event_type IS DISTINCT FROM p)
-    SELECT user_id, event_type, ts AS Start, coalesce(lead(ts) OVER w, TIMESTAMP '9999-12-31 23:59:59.999999') AS Finish, lead(ts) OVER w IS NULL AS Cur FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+_HISTORY = """WITH m AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), k AS (SELECT * FROM m WHERE event_type IS DISTINCT FROM p)
+    SELECT user_id, event_type, ts AS Start, coalesce(lead(ts) OVER w, TIMESTAMP '9999-12-31 23:59:59.999999') AS Finish, lead(ts) OVER w IS NULL AS Cur FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+
+
+@query(_HISTORY.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"))
+def w6_hot_key(spark, d):
+    """One user has a third of all events; users with over 500 are cut by time."""
+    e = _table(spark, d, "events").withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "user_id": F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id"))})
+    out = incremental.history_from_changes(e, ["user_id"], "ts", ["event_type"], ["event_id"], hot=500)
+    return out.select("user_id", "event_type", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"))
+
+
+@query(_HISTORY)
 def w6_history_from_changes(spark, d):
     e = _table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = incremental.history_from_changes(e, ["user_id"], "ts", ["event_type"], ["event_id"])

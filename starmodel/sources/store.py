@@ -62,9 +62,13 @@ class SnapshotStore:
         """Adds rows to a table that is only ever added to."""
         df.write.mode("append").parquet(f"{self.root}/{table}/rows")
 
+    def replace(self, table: str, part: str, df: DataFrame) -> None:
+        """Rows of a table that is added to, as a part that a second call replaces."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/rows/part={part}")
+
     def read_rows(self, table: str, schema) -> DataFrame:
         fs, p = self._fs(f"{self.root}/{table}/rows")
-        return self.spark.read.schema(schema).parquet(str(p)) if fs.exists(p) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(str(p)).select(*schema.names) if fs.exists(p) else self.spark.createDataFrame([], schema)
 
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         """The current version, or None before the first."""
@@ -87,6 +91,10 @@ class SnapshotStore:
         found = self.versions(table)
         return self._marker(table, found[-1])["note"] if found else ""
 
+    def notes(self, table: str) -> list[str]:
+        """The notes of all versions that are there, the current one's first."""
+        return [self._marker(table, v)["note"] for v in reversed(self.versions(table))]
+
     def drop_before(self, table: str, keep: int = 2) -> None:
         """Deletes all but the last `keep` versions."""
         for version in self.versions(table)[:-keep]:
