@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from starmodel.operators.lookup import lookup_key, role_date_key
 from starmodel.operators.quality import failing
 from starmodel.operators.scd import DimensionSpec
 from starmodel.sources.schema import MONEY
+from starmodel.sources.store import SnapshotStore
 
 GRAIN = ("SalesOrderID", "SalesOrderDetailID")
 
@@ -68,7 +71,16 @@ def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "Sales
     return lines.groupBy(key).agg(*[F.max(m).alias(m) for m in measures]).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def publish(fact: DataFrame, path: str) -> None:
-    """Writes the fact in folders by order month, for pruned reads. Rows of a
-    month come together where they fit; a large month is split among tasks."""
-    fact.withColumn("OrderMonth", F.date_format("OrderDate", "yyyy-MM")).hint("rebalance", "OrderMonth").write.mode("overwrite").partitionBy("OrderMonth").parquet(path)
+#: The published fact's part for lines without an order date.
+NO_MONTH = "none"
+
+
+def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None) -> int:
+    """Publishes the fact in parts by order month, for pruned reads, and switches
+    readers to it when it is complete: who reads meanwhile sees what was there
+    before. With `months` (yyyy-MM) `fact` has all lines of those months only, as
+    after late changes; the files of all other months stay as they are."""
+    rows = fact.withColumn("OrderMonth", F.coalesce(F.date_format("OrderDate", "yyyy-MM"), F.lit(NO_MONTH)))
+    if months is not None:
+        rows = rows.where(F.col("OrderMonth").isin(*months))
+    return store.write_parts(table, rows, "OrderMonth", months)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starmodel.operators import runlog, scd
 from starmodel.sources.schema import REJECTS, RUN_LOG, struct
-from starmodel.sources.shared import discard, scratch
+from starmodel.sources.shared import scratch
 from starmodel.sources.store import SnapshotStore
 
 #: Tables of a store that rows are only added to.
@@ -27,9 +27,9 @@ def run_load(
 
     A row is added to the log before anything is read. The good rows are written
     as a version of the staging table and read from there; rejects are stored under
-    the run's id; staged keys must be unique; the next snapshot is written whole
-    and then switched to, with the run's id in its marker; and the log gets a row
-    with the counts. Whatever goes wrong before the switch is logged as a failed
+    the run's id; staged keys must be unique; the buckets of the dimension that
+    change are written and then switched to, with the run's id in the marker; and
+    the log gets a row with the counts. Whatever goes wrong before the switch is logged as a failed
     run with its message and raised again; the dimension is then as it was before.
 
     A run whose id has been switched to is done: run again it does nothing, but
@@ -42,13 +42,14 @@ def run_load(
         store.write(f"staging_{spec.name}", rows)
         staged = store.read(f"staging_{spec.name}")
         rejected = store_rejects(store, execution_id, spec.name, rejects)
-        dim = store.read(spec.name)
+
+        def note(found: dict[str, int]) -> str:
+            new, t1, t2 = found["new"], found["t1"], found["t2"]
+            run.update(read=new + t1 + t2 + found["same"] + rejected, inserted=new + t2, updated=t1 + t2, rejected=rejected)
+            return json.dumps({"run": execution_id} | run)
+
         with scratch(store.spark):
-            nxt, counts = scd.apply_scd(scd.empty_dimension(staged, spec) if dim is None else dim, staged, spec, load_ts)
-            n = scd.totals(counts).first()
-            run |= {"read": n["rows_read"] + rejected, "inserted": n["rows_inserted"], "updated": n["rows_updated"], "rejected": rejected}
-            store.write(spec.name, nxt, note=json.dumps({"run": execution_id} | run))
-            discard(nxt)
+            scd.load_parts(store, spec, staged, load_ts, note=note)
 
 
 @contextmanager

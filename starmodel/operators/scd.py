@@ -7,7 +7,7 @@ that. Keys that are absent from staging are kept as they are."""
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from starmodel.functions.clean import any_of, differs
 from starmodel.operators import staging
 from starmodel.sources.shared import keep, materialize
+from starmodel.sources.store import SnapshotStore
 
 #: The end of a version that is still current.
 OPEN_END = "9999-12-31 23:59:59.999999"
@@ -149,13 +150,22 @@ def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: d
     The comparison is written once; its counts, the latest start and repeated
     keys are observed while it is. The snapshot is written once and returned as
     a table that is read from its files."""
-    at = stamp(load_ts)
     seen, found = compared(dim, staged, spec, load_ts)
     key = F.col(spec.surrogate_key)
     top = dim.agg(F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))).first()[0]
+    members, fresh = next_rows(seen, found, spec, load_ts, top)
+    history = dim.where(~F.col(CURRENT) | (F.col(spec.surrogate_key) == UNKNOWN_KEY)).select(*spec.columns)
+    counts = dim.sparkSession.createDataFrame([(a, found.get(a, 0)) for a in ACTIONS], "action string, n long")
+    return keep(history.unionByName(members).unionByName(fresh), f"dim-{spec.name}"), counts
+
+
+def next_rows(seen: DataFrame, found: dict[str, int], spec: DimensionSpec, load_ts: dt.datetime, top: int) -> tuple[DataFrame, DataFrame]:
+    """What becomes of the members in `seen` (as they stay, overwritten, or ended),
+    and the new members and versions, whose keys come after `top`."""
+    at = stamp(load_ts)
     overwrite = list(spec.type1) + [spec.modified] + ([spec.hash] if spec.type1_by == "hash" else [])
     old = seen.where(F.col("action") != "new")
-    is_t1, is_t2 = F.col("action") == "t1", F.col("action") == "t2"
+    is_t1, is_t2 = F.col("action") == "t1", F.col("action").isin("t2", "gone")
 
     def kept(c: str) -> Column:
         value = F.col(f"d.{c}")
@@ -168,9 +178,45 @@ def apply_scd(dim: DataFrame, staged: DataFrame, spec: DimensionSpec, load_ts: d
     members = old.select(*[kept(c).alias(c) for c in spec.columns])
     fresh = seen.where(F.col("action").isin("new", "t2")).select("s.*", at.alias(START), stamp(OPEN_END).alias(END), F.lit(True).alias(CURRENT), at.alias("CreatedAt"))
     fresh = assign_keys(fresh, [spec.business_key], spec.surrogate_key, top + 1, found.get("new", 0) + found.get("t2", 0)).select(*spec.columns)
-    history = dim.where(~F.col(CURRENT) | (F.col(spec.surrogate_key) == UNKNOWN_KEY)).select(*spec.columns)
-    counts = dim.sparkSession.createDataFrame([(a, found.get(a, 0)) for a in ACTIONS], "action string, n long")
-    return keep(history.unionByName(members).unionByName(fresh), f"dim-{spec.name}"), counts
+    return members, fresh
+
+
+def load_parts(store: SnapshotStore, spec: DimensionSpec, staged: DataFrame, load_ts: dt.datetime, gone: DataFrame | None = None, buckets: int | None = None, note: Callable[[dict[str, int]], str] = lambda found: "") -> dict[str, int]:
+    """`apply_scd` on a dimension that `store` has in parts: two for each bucket of
+    keys, one of current members and one of ended versions. Only the buckets that
+    staged keys fall into are read, and of those only the ones in which something
+    changes are written; ended versions are added as files and never written again.
+    `gone` (a column of keys) ends current versions without a new one. Returns the
+    number of keys for each action (and `gone`); `note` makes the marker's note of them.
+
+    The number of `buckets` is set by the first load, by default one for 200,000
+    members. The largest surrogate key is in the marker."""
+    marker = store.marker(spec.name) or {}
+    key = F.col(spec.business_key)
+    n = marker.get("buckets") or buckets or min(20_000, max(16, -(-staged.count() // 200_000)))
+    bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(n)).cast("string")
+    dim = empty_dimension(staged, spec)
+    if marker:
+        keys = staged.select(bucket(key).alias("b")) if gone is None else staged.select(bucket(key).alias("b")).union(gone.select(bucket(F.col(gone.columns[0]).cast(dim.schema[spec.business_key].dataType)).alias("b")))
+        there = [r["b"] for r in keys.distinct().collect()]  # at most one for each bucket
+        dim = store.read(spec.name, parts=[f"c{b}" for b in there]).select(*spec.columns)
+    seen, found = compared(dim, staged, spec, load_ts)
+    if gone is not None:
+        ends = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
+        seen = seen.join(ends, F.coalesce(F.col(f"d.{spec.business_key}"), F.col(f"s.{spec.business_key}")) == F.col("_gone"), "left")
+        seen = materialize(seen.withColumn("action", F.when(F.col("_gone").isNotNull() & (F.col("action") == "keep"), "gone").otherwise(F.col("action"))).drop("_gone"), f"scd-{spec.name}")
+    seen = seen.withColumn("bucket", bucket(F.coalesce(F.col(f"d.{spec.business_key}"), F.col(f"s.{spec.business_key}"))))
+    moved = seen.where(~F.col("action").isin("same", "keep"))
+    sums = moved.groupBy("bucket").agg(F.sum((F.col("action") == "gone").cast("long")).alias("gone")).collect()
+    changed, found["gone"] = [r["bucket"] for r in sums], sum(r["gone"] for r in sums)
+    if changed or not marker:
+        members, fresh = next_rows(seen.where(F.col("bucket").isin(changed)), found, spec, load_ts, marker.get("top", 0))
+        rows = members.unionByName(fresh).withColumn("_part", F.concat(F.when(F.col(CURRENT), "c").otherwise("h"), bucket(key)))
+        more = {"buckets": n, "top": marker.get("top", 0) + found["new"] + found["t2"]}
+        store.write_parts(spec.name, rows, "_part", [f"c{b}" for b in changed] if marker else None, note(found), **more)
+    else:
+        store.write_parts(spec.name, dim.limit(0).withColumn("_part", F.lit("")), "_part", [], note(found), buckets=n, top=marker["top"])
+    return found
 
 
 def totals(counts: DataFrame) -> DataFrame:

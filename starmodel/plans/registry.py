@@ -12,7 +12,7 @@ from starmodel.functions import clean
 from starmodel.functions.rowhash import row_hash
 from starmodel.operators import calendar, fact, incremental, load, lookup, ordered, quality, runlog, scd
 from starmodel.plans import marts, shapes, warehouse
-from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS
+from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS, apply_sql
 from starmodel.sources.schema import STAGING, required
 from starmodel.sources.shared import shared_dir
 from starmodel.sources.store import SnapshotStore
@@ -292,12 +292,26 @@ def j13_role_dates(spark, d):
     return header.select(F.col("SalesOrderID").alias("o_orderkey"), *[lookup.role_date_key(c).alias(f"{c}Key") for c in ("OrderDate", "DueDate", "ShipDate")])
 
 
+@query(f"""{FACT} SELECT strftime(OrderDate, '%Y-%m') AS OrderMonth, count(*) AS Lines, CAST(sum(CASE WHEN OrderDate >= TIMESTAMP '1997-04-01' AND OrderDate < TIMESTAMP '1997-05-01' THEN 2 * NetAmount ELSE NetAmount END) AS DOUBLE) AS NetAmount
+    FROM fact WHERE SalesOrderDetailID <> 1 OR OrderDate < TIMESTAMP '1997-05-01' OR OrderDate >= TIMESTAMP '1997-06-01' GROUP BY 1""")
+def s11_late_months(spark, d):
+    """After the fact is published two months change: the lines of one count
+    double, of the other some are gone. Only these months are published again."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/published-{uuid.uuid4().hex}")
+    lines = warehouse.sales_fact(spark, d)
+    fact.publish(store, "sales", lines)
+    month = F.date_format("OrderDate", "yyyy-MM")
+    late = lines.withColumn("NetAmount", F.when(month == "1997-04", F.col("NetAmount") * 2).otherwise(F.col("NetAmount"))).where((month != "1997-05") | (F.col("SalesOrderDetailID") != 1))
+    fact.publish(store, "sales", late, ["1997-04", "1997-05"])
+    return store.read("sales").groupBy("OrderMonth").agg(F.count("*").alias("Lines"), F.sum("NetAmount").cast("double").alias("NetAmount"))
+
+
 @query(f"{FACT} SELECT strftime(OrderDate, '%Y-%m') AS OrderMonth, count(*) AS Lines, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact WHERE OrderDate >= TIMESTAMP '1997-03-01' AND OrderDate < TIMESTAMP '1997-05-01' GROUP BY 1")
 def s11_publish(spark, d):
     """The fact is published in folders by order month; two of them are read."""
-    path = f"{shared_dir(spark)}/fact-{uuid.uuid4().hex}"
-    fact.publish(warehouse.sales_fact(spark, d), path)
-    part = spark.read.parquet(path).where(F.col("OrderMonth").between("1997-03", "1997-04"))
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/published-{uuid.uuid4().hex}")
+    fact.publish(store, "sales", warehouse.sales_fact(spark, d))
+    part = store.read("sales").where(F.col("OrderMonth").between("1997-03", "1997-04"))
     return part.groupBy("OrderMonth").agg(F.count("*").alias("Lines"), F.sum("NetAmount").cast("double").alias("NetAmount"))
 
 
@@ -312,6 +326,21 @@ def s4_snapshots(spark, d):
     return quality.all_of(both)
 
 
+_FEW = apply_sql([shapes.product_sql(1), f"SELECT * FROM ({shapes.product_sql(2)}) WHERE ProductID % 100 IN (0, 1)", f"SELECT * FROM ({shapes.product_sql(1)}) WHERE ProductID % 100 IN (0, 2)"], "ProductID", ["ProductName", "ProductNumber"], list(scd.PRODUCT.type2), modified_counts=True)
+
+
+@query(f"{_FEW} SELECT 3 AS v, k, ProductID, ProductName, ListPrice::DOUBLE AS ListPrice, Start, Finish, Cur FROM dim3 UNION ALL SELECT 2, k, ProductID, ProductName, ListPrice::DOUBLE, Start, Finish, Cur FROM dim2")
+def s6_touched_buckets(spark, d):
+    """A whole load and two of a few products, which write their buckets only; the
+    last two versions of the dimension are read."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    m = F.col("ProductID") % 100
+    staged = [shapes.staged_product(spark, d, 1), shapes.staged_product(spark, d, 2).where(m.isin(0, 1)), shapes.staged_product(spark, d, 3).where(m.isin(0, 2))]
+    for v, rows in enumerate(staged, 1):
+        load.run_load(store, scd.PRODUCT, v, "part", lambda rows=rows: (rows, None), shapes.LOADS[v - 1])
+    return quality.all_of([_versions(store.read("product", v)).select(F.lit(v).alias("v"), "k", "ProductID", "ProductName", "ListPrice", "Start", "Finish", "Cur") for v in (3, 2)])
+
+
 # Marts
 
 _SUMS = "CAST(sum(GrossAmount) AS DOUBLE) AS GrossAmount, CAST(sum(DiscountAmount) AS DOUBLE) AS DiscountAmount, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount"

@@ -1,12 +1,18 @@
-"""Snapshots in versioned folders: written whole, then switched to.
+"""Snapshots in versions that are switched to when they are complete.
 
 A table is a folder of versions. A version counts once its marker is there, so a
 load that fails leaves the version before it as it was, and a reader never sees
-half of one. Old versions stay until they are dropped."""
+half of one. A version is either a folder of its own, or its marker says which
+files each of its parts has: then only the parts that a load changes are written,
+and all others are those of the version before. Old versions stay until they are
+dropped."""
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -35,18 +41,46 @@ class SnapshotStore:
         A version's number is claimed by a file that only one writer can create, so
         of two writers each has a version of its own; what a failed write leaves
         is never read."""
+        version = self._next(table)
+        path = f"{self.root}/{table}/v{version}"
+        writer = df.write.mode("overwrite")  # what is there is not complete
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        self._mark(table, version, {"note": note, "schema": df.schema.jsonValue()})
+        return version
+
+    def write_parts(self, table: str, df: DataFrame, by: str, replace: Iterable[str] | None = None, note: str = "", **more) -> int:
+        """Writes rows in parts, one for each value of column `by` (a string, not
+        null), and switches to a version in which the parts named in `replace` have
+        these rows only (or none), other parts these beside their own, and all the
+        rest are as before. Without `replace` nothing of the version before stays.
+        `more` is kept in the marker. Rows of a part come together where they fit; a
+        large part is split among tasks."""
+        before = self.marker(table) or {}
+        parts = {} if replace is None else {p: f for p, f in before.get("parts", {}).items() if p not in set(replace)}
+        version = self._next(table)
+        folder = f"{self.root}/{table}/data/w={uuid.uuid4().hex}"
+        df.hint("rebalance", by).write.partitionBy(by).parquet(folder)
+        fs, p = self._fs(folder)
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.startswith(f"{by}="):
+                value = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), name[len(by) + 1 :])
+                parts[value] = [*parts.get(value, []), f"{folder}/{name}"]
+        self._mark(table, version, {"note": note, "schema": df.schema.jsonValue(), "by": by, "parts": parts} | more)
+        return version
+
+    def _next(self, table: str) -> int:
         found = self.versions(table)
         version = (found[-1] if found else 0) + 1
         while not self._claimed(f"{self.root}/{table}/v{version}.claim"):
             version += 1
-        path = f"{self.root}/{table}/v{version}"
-        writer = df.write.mode("overwrite")  # what is there is not complete
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        fs, marker = self._fs(f"{path}.ok")
+        return version
+
+    def _mark(self, table: str, version: int, content: dict) -> None:
+        fs, marker = self._fs(f"{self.root}/{table}/v{version}.ok")
         out = fs.create(marker, True)
-        out.write(bytearray(json.dumps({"note": note, "schema": df.schema.jsonValue()}).encode()))
+        out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        return version
 
     def _claimed(self, path: str) -> bool:
         fs, p = self._fs(path)
@@ -70,14 +104,28 @@ class SnapshotStore:
         fs, p = self._fs(f"{self.root}/{table}/rows")
         return self.spark.read.schema(schema).parquet(str(p)).select(*schema.names) if fs.exists(p) else self.spark.createDataFrame([], schema)
 
-    def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        """The current version, or None before the first."""
+    def read(self, table: str, version: int | None = None, parts: Iterable[str] | None = None) -> DataFrame | None:
+        """A version, by default the current one, or None before the first; of one
+        in parts only `parts`, if given. A filter on the column that makes the parts
+        leaves out their files too."""
         found = self.versions(table)
         if not found:
             return None
         version = version or found[-1]
-        schema = T.StructType.fromJson(self._marker(table, version)["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{version}").select(*schema.names)
+        marker = self._marker(table, version)
+        schema = T.StructType.fromJson(marker["schema"])
+        if "parts" not in marker:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/v{version}").select(*schema.names)
+        chosen = marker["parts"] if parts is None else {p: marker["parts"][p] for p in parts if p in marker["parts"]}
+        files = [f for fs in chosen.values() for f in fs]
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}/data").parquet(*files).select(*schema.names)
+
+    def marker(self, table: str) -> dict | None:
+        """What the current version's marker holds."""
+        found = self.versions(table)
+        return self._marker(table, found[-1]) if found else None
 
     def _marker(self, table: str, version: int) -> dict:
         fs, p = self._fs(f"{self.root}/{table}/v{version}.ok")
@@ -96,8 +144,13 @@ class SnapshotStore:
         return [self._marker(table, v)["note"] for v in reversed(self.versions(table))]
 
     def drop_before(self, table: str, keep: int = 2) -> None:
-        """Deletes all but the last `keep` versions."""
-        for version in self.versions(table)[:-keep]:
-            for path in (f"{self.root}/{table}/v{version}.ok", f"{self.root}/{table}/v{version}", f"{self.root}/{table}/v{version}.claim"):
+        """Deletes all but the last `keep` versions, and the parts that no other
+        version has."""
+        files = lambda v: {f for fs in self._marker(table, v).get("parts", {}).values() for f in fs}
+        found = self.versions(table)
+        used = set().union(*[files(v) for v in found[-keep:]])
+        for version in found[:-keep]:
+            gone = files(version) - used
+            for path in (f"{self.root}/{table}/v{version}.ok", f"{self.root}/{table}/v{version}", f"{self.root}/{table}/v{version}.claim", *gone):
                 fs, p = self._fs(path)
                 fs.delete(p, True)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starmodel.operators.incremental import apply_changes, latest_change
-from starmodel.operators.scd import DimensionSpec, apply_scd, empty_dimension
+from starmodel.operators.incremental import latest_change
+from starmodel.operators.scd import DimensionSpec, load_parts
 from starmodel.sources.shared import materialize, scratch
 from starmodel.sources.store import SnapshotStore
 
@@ -22,23 +22,23 @@ def stream_scd(
     """Applies each micro-batch of staged rows to the dimension in `store`. The
     last row of a key in a batch counts. The batch's number is kept with the
     snapshot, so a batch that is delivered again changes nothing. With `operation`
-    rows are changes, that column saying which of them delete. Of the snapshots
-    the last `keep` stay."""
+    rows are changes, that column saying which of them delete. A batch reads and
+    writes only the buckets of the dimension that its keys fall into. Of the
+    snapshots the last `keep` stay. A row counts as of its batch, whatever its own
+    time is; `late_history` orders rows by that."""
 
     def apply(batch: DataFrame, number: int) -> None:
         done = store.note(spec.name)
         if done and int(done) >= number:
             return
         rows = prepare(batch) if prepare else batch
-        dim = store.read(spec.name)
-        dim = empty_dimension(rows.select(*spec.attributes), spec) if dim is None else dim
         with scratch(store.spark):
+            more = [c for c in (operation, *order) if c and c not in spec.attributes]
+            last = materialize(latest_change(rows.select(*spec.attributes, *more), [spec.business_key], order), "batch")
+            staged, gone = last, None
             if operation:
-                nxt, _ = apply_changes(dim, materialize(rows, "batch"), spec, load_ts(number), order, operation)
-            else:
-                staged = latest_change(rows, [spec.business_key], order).select(*spec.attributes)
-                nxt, _ = apply_scd(dim, staged, spec, load_ts(number))
-            store.write(spec.name, nxt, note=str(number))
+                staged, gone = last.where(F.col(operation) != "delete"), last.where(F.col(operation) == "delete").select(spec.business_key)
+            load_parts(store, spec, staged.select(*spec.attributes), load_ts(number), gone, note=lambda _: str(number))
         store.drop_before(spec.name, keep)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
