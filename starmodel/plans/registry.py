@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from starmodel.functions import clean
 from starmodel.functions.rowhash import row_hash
-from starmodel.operators import calendar, fact, incremental, load, lookup, ordered, quality, runlog, scd
+from starmodel.operators import backdated, calendar, fact, incremental, load, lookup, ordered, quality, runlog, scd
 from starmodel.plans import marts, shapes, warehouse
 from starmodel.plans.warehouse import FACT, PRODUCT_DIMS, SALESPERSON_DIMS, apply_sql
 from starmodel.sources.schema import STAGING, required
 from starmodel.sources.shared import shared_dir
 from starmodel.sources.store import SnapshotStore
 from starmodel.sources.tables import read_parquet
-from starmodel.streaming import scd_stream
+from starmodel.streaming import late_stream, scd_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -757,6 +757,82 @@ def w6_history_from_changes(spark, d):
     return out.select("user_id", "event_type", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"))
 
 
+def _cut(i: int, where: str) -> str:
+    """The points at which something changes after the i-th load: those before it and its changes."""
+    before = f"SELECT user_id, ts, 0 AS new, event_type FROM k{i - 1} UNION ALL" if i > 1 else ""
+    return f"""p{i} AS ({before} SELECT user_id, ts, 1, event_type FROM events WHERE {where}), u{i} AS (SELECT user_id, ts, event_type FROM p{i} AS t(user_id, ts, new, event_type) QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY new DESC) = 1),
+    k{i} AS (SELECT user_id, ts, event_type FROM (SELECT *, lag(event_type, 1, 'error') OVER (PARTITION BY user_id ORDER BY ts) AS p FROM u{i}) WHERE event_type <> p)"""
+
+
+_BACKDATED = f"""WITH {_cut(1, "event_id % 3 = 0")}, {_cut(2, "event_id % 3 = 1")}, {_cut(3, "event_id % 3 = 2 OR event_id % 9 = 0")},
+    v AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM k3)
+    SELECT user_id, event_type AS kind, ts AS Start, coalesce(nxt, TIMESTAMP '9999-12-31 23:59:59.999999') AS Finish, nxt IS NULL AS Cur FROM v WHERE event_type <> 'error'"""
+
+
+def _user_versions(dim: DataFrame) -> DataFrame:
+    return dim.select("user_id", "kind", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"))
+
+
+@query(_BACKDATED)
+def i4_backdated_changes(spark, d):
+    """Changes in three loads, each with times all over the history, the last with
+    some of the first again; an error deletes. Each load cuts what those before it
+    have made."""
+    changes = _changes(spark, d)
+    dim = scd.empty_dimension(changes, _USER)
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 == 1, (F.col("event_id") % 3 == 2) | (F.col("event_id") % 9 == 0)):
+        dim = backdated.apply_backdated(dim, changes.where(part), _USER, "SourceModifiedDate", ["event_id"], "op")
+    return _user_versions(dim)
+
+
+def _scrambled(spark: SparkSession, d: str, days: int, of, files: int = 5) -> str:
+    """Events in files that come one after the other; the events `of` some users may
+    be late by up to `days`, and some come twice."""
+    path = f"{shared_dir(spark)}/scrambled-{uuid.uuid4().hex}"
+    e = _table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    first, last = e.agg(F.unix_seconds(F.min("ts").cast("timestamp")), F.unix_seconds(F.max("ts").cast("timestamp"))).first()
+    at = (F.unix_seconds(F.col("ts").cast("timestamp")) - first + F.when(of, F.pmod(F.xxhash64("event_id"), F.lit(days * 86400))).otherwise(0)) / (last - first + days * 86400 + 1)
+    for i in range(files):
+        number = F.floor(at * files)
+        again = of & (F.col("event_id") % 20 == 3) & (number == i - 1)
+        e.where((number == i) | again).withColumn("file", F.lit(i)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _late_stream(spark: SparkSession, d: str, days: int, late: str, of) -> tuple[DataFrame, DataFrame]:
+    """The history that a stream of scrambled events makes, and all of its events."""
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    source = _scrambled(spark, d, days, of)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    history = late_stream.late_history(stream, "user_id", "ts", "event_id", ["event_type"], late)
+    late_stream.write_late_history(history, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return late_stream.read_late_history(spark, f"{base}/out", "user_id", "event_type string"), spark.read.parquet(source)
+
+
+@query(_HISTORY)
+def i5_late_changes(spark, d):
+    """Events come in five batches, up to three days late and some of them twice;
+    the history is that of all events in order."""
+    versions, _ = _late_stream(spark, d, 3, "4 days", F.lit(True))
+    return _streamed(versions)
+
+
+def _streamed(versions: DataFrame) -> DataFrame:
+    return versions.select("user_id", "event_type", F.col("start").alias("Start"), F.coalesce("until", scd.stamp(scd.OPEN_END)).alias("Finish"), F.col("until").isNull().alias("Cur"))
+
+
+@query(_HISTORY)
+def i5_repaired_history(spark, d):
+    """The stream settles after an hour, and a tenth of the users have events that
+    are up to three days late: too late for it. Their histories are made anew from
+    the log of all events."""
+    versions, log = _late_stream(spark, d, 3, "1 hour", F.col("user_id") % 10 == 0)
+    late = late_stream.late_keys(log, "user_id", "ts", "file", "1 hour")
+    anew = incremental.history_from_changes(log.join(late, "user_id", "left_semi").drop("file").distinct(), ["user_id"], "ts", ["event_type"], ["event_id"])
+    anew = anew.select("user_id", "event_type", F.col(scd.START).alias("Start"), F.col(scd.END).alias("Finish"), F.col(scd.CURRENT).alias("Cur"))
+    return _streamed(versions.join(late, "user_id", "left_anti")).unionByName(anew)
+
+
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
     """A table as a stream of its files."""
     schema = _table(spark, d, table).schema
