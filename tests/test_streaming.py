@@ -2,8 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from starmodel.operators import fact, scd
-from starmodel.plans import warehouse
+from starmodel.operators import scd
 from starmodel.sources.store import SnapshotStore
 from starmodel.streaming import scd_stream
 
@@ -39,12 +38,3 @@ def test_stream_is_the_batches(spark, tmp_path):
     rows = lambda df: sorted((r.user_id, r.kind, r.user_key, r.IsCurrent) for r in df.collect())
     assert rows(store.read("user")) == rows(want)
     assert len(store.versions("user")) == len([1 for _ in days])
-
-
-def test_publish_is_pruned(spark, tmp_path):
-    out = warehouse.sales_fact(spark, SMALL)
-    fact.publish(out, f"file://{tmp_path}/fact")
-    back = spark.read.parquet(f"file://{tmp_path}/fact")
-    assert back.count() == out.count()
-    plan = back.where("OrderMonth = '1997-03'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(OrderMonth" in plan
