@@ -153,6 +153,27 @@ def test_ann_small_is_exact(spark):
     assert {q: [(s, i) for _, s, i in sorted(v)] for q, v in got.items()} == want
 
 
+def test_ann_repeated_rows_and_doubles(spark):
+    """Rows that are there several times, as queries and as candidates, and vectors
+    that differ only beyond a float's precision, or are too large for one."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((200, 8))
+    x[50] = x[7] * 1e300
+    x[51] = x[8] * (1 + 1e-12)
+    again = [(i, x[i].tolist(), 1) for i in [0, 50, 100, 150] * 4 + [7] * 9 + list(range(20, 40)) * 3]
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + again, "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {}
+    for r in ann.nearest(docs, every=50, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in (0, 50, 100, 150):
+        want = sorted((-float(u[q] @ u[j]), j) for j in range(200) if j != q)[:5]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and [j for _, j, _ in found] == [j for _, j in want]
+        assert np.allclose([s for _, _, s in found], [-s for s, _ in want], rtol=0, atol=1e-14)
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 24)).astype(np.float32)
