@@ -63,9 +63,10 @@ def _best_fill(sizes: list[int], values: list[float], limits: list[int], capacit
     return float(best[capacity]), out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400, rest: bool = True) -> list[tuple[dict[int, int], int]]:
     """Configurations of the few rounded sizes and how often each is used, to
-    cover the demand with few sequences.
+    cover the demand with few sequences (without `rest` only what the programme
+    uses a whole number of times).
 
     The linear programme over all configurations is solved by generating them:
     those in use price each size, a knapsack finds the configuration that is
@@ -94,7 +95,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
             out.append((pattern, t))
             for i, k in pattern.items():
                 left[i] -= k * t
-    while any(left):
+    while rest and any(left):
         live = [i for i, x in enumerate(left) if x]
         # filling the room is worth its tokens, large pieces a little more, as they are harder to place later
         _, pick = _best_fill([sizes[i] for i in live], [sizes[i] * (1 + 0.02 * sizes[i] / capacity) for i in live], [left[i] for i in live], capacity)
@@ -106,7 +107,19 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return out
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 64, smallest: float = 1 / 3) -> list[tuple[int, int, int, int, int]]:
+#: Groups of large lengths, and from which share of the capacity on lengths are large.
+GROUPS, LARGE = 256, (1 / 2, 1 / 3)
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences of those in which lengths are `large` from
+    different shares of the capacity on. The more lengths are grouped, the more is
+    lost by rounding, and the more configurations there are to gain by."""
+    plans = [_plan(counts, capacity, max(1, groups // (1 + (share < 1 / 2))), share) for share in large]
+    return min(plans, key=lambda runs: max((first + n for _, _, n, first, _ in runs), default=0))
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, smallest: float) -> list[tuple[int, int, int, int, int]]:
     """Where pieces go, from the number of pieces of each length alone: runs
     (length, first rank, number, first sequence, offset). The pieces of a length
     with ranks [first rank, + number) are at that offset of as many sequences in
@@ -114,8 +127,9 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 64, smallest: floa
 
     Large lengths (from `smallest` of the capacity on) are grouped and rounded
     up, the few sizes are packed by configurations, actual lengths then take the
-    places of the rounded ones, largest first, and the small lengths enter the
-    tightest room, largest first."""
+    places of the rounded ones, largest first. What configurations leave over (at
+    most a sequence for each group) and the small lengths enter the tightest room
+    by their actual lengths, largest first."""
     counts = Counter({k: v for k, v in counts.items() if v})
     least = max(1, int(capacity * smallest))
     runs: list[tuple[int, int, int, int, int]] = []
@@ -127,7 +141,7 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 64, smallest: floa
     grouped = group_lengths(counts, least, groups)
     sizes, demand = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
     stock = [[list(x) for x in g] for g in grouped]  # of each group, what is left: [length, number], largest first
-    for pattern, times in configurations(sizes, demand, capacity):
+    for pattern, times in configurations(sizes, demand, capacity, rest=False):
         slots = [i for i, k in sorted(pattern.items()) for _ in range(k)]
         while times:
             # as many sequences as can have the same lengths in every slot, or one with what is next
@@ -149,8 +163,11 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 64, smallest: floa
             sequence += step
             times -= step
     order = sorted(rooms)
-    for length in sorted((x for x in counts if x < least), reverse=True):
-        n = counts[length]
+    over = Counter({x: n for x, n in counts.items() if x < least})
+    for length, n in (x for group in stock for x in group if x[1]):
+        over[length] += n
+    for length in sorted(over, reverse=True):
+        n = over[length]
         while n:
             at = bisect_left(order, length)
             if at == len(order):
@@ -205,7 +222,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str
     return given.mapInPandas(cut, "doc_id long, _row long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, groups: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, groups: int = GROUPS) -> DataFrame:
     """Every piece of every row of `docs` with its `sequence_id` and `offset`;
     the pieces of a sequence follow each other without gaps and hold at most
     `capacity` ids. Null texts are empty and give a piece of the end id alone;
