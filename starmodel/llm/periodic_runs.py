@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starmodel.llm.common import unpacked, whole_row
 
@@ -246,7 +247,8 @@ def collapse_runs(docs: DataFrame, least: int = 6, power: int = 4, text_col: str
             yield pd.DataFrame({"_doc": pdf["_doc"], "_runs": runs, "_collapsed": collapsed})
 
     given = docs.select(whole_row(docs.drop(text_col)).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = given.mapInPandas(run, f"_doc {given.schema['_doc'].dataType.simpleString()}, _runs array<{RUN}>, _collapsed string")
+    made = T.StructType([given.schema["_doc"], *T.StructType.fromDDL(f"_runs array<{RUN}>, _collapsed string")])
+    out = given.mapInPandas(run, made)
     return out.select(*unpacked(docs.drop(text_col), but=("_runs", "_collapsed")), "_runs", "_collapsed")
 
 
