@@ -7,12 +7,12 @@ what is paired: by shared prefix shingles, sizes, and how much can still follow.
 Pairs of groups are expanded to their members, which are compared in full.
 
 Only components are asked for, so pairs that are joined already need no more
-comparing. First each group is tried with a few likely partners; then all pairs
-whose members are still apart are compared, without exception."""
+comparing. First each group is tried with a few likely partners, in a few rounds;
+then all pairs whose members are still apart are compared, without exception."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,8 @@ SEGMENTS, FOLD = 256, 256
 CHUNK = 1 << 20
 #: Groups with a shingle in common that are put side by side in one task, in the mean.
 LIST = 512
-#: Partners that a group is tried with first.
-LIKELY = 3
+#: With how many likely partners a group is tried, in each round before the rest.
+LIKELY = (2, 1)
 #: Words whose hashes a task keeps.
 KEPT = 1 << 20
 
@@ -118,10 +118,13 @@ def frequencies(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarra
     return out.reshape(-1)
 
 
-def describe(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def describe(
+    docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", more: dict[str, str] | None = None, of: Callable[[np.ndarray], tuple] = lambda hashes: ()
+) -> DataFrame:
     """`id`, `mark` (64 bits of the text), `n` (distinct shingles), `whole` (128 bits
     of the set), `prefix` (the first shingles in the common order: by frequency,
-    then hash), `parts` (in how many parts a shingle's list is cut)."""
+    then hash), `parts` (in how many parts a shingle's list is cut), and columns
+    `more` (name -> type), which `of` makes from a text's shingles."""
     from xxhash import xxh3_128_digest
 
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size, text_col))
@@ -130,7 +133,7 @@ def describe(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", t
         known, levels = _Words(), sent.value
         shift = np.uint64(64 - (len(levels) - 1).bit_length())
         for pdf in batches:
-            wholes, ns, prefixes, parts = [], [], [], []
+            wholes, ns, prefixes, parts, others = [], [], [], [], []
             for text in pdf["text"]:
                 found = shingles(text, size, known)
                 n = len(found)
@@ -140,11 +143,13 @@ def describe(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", t
                 ns.append(n)
                 prefixes.append(found[first].view(np.int64))
                 parts.append(np.maximum(1 << level[first].astype(np.int64), LIST) // LIST)
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "n": np.array(ns, np.int64), "whole": wholes, "prefix": prefixes, "parts": [p.astype(np.int32) for p in parts]})
+                others.append(of(found))
+            made = {"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "n": np.array(ns, np.int64), "whole": wholes, "prefix": prefixes, "parts": [p.astype(np.int32) for p in parts]}
+            yield pd.DataFrame(made | {c: [x[i] for x in others] for i, c in enumerate(more or {})})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return given.mapInPandas(run, "id long, mark long, n long, whole binary, prefix array<long>, parts array<int>")
+    return given.mapInPandas(run, ", ".join(["id long, mark long, n long, whole binary, prefix array<long>, parts array<int>", *[f"{c} {t}" for c, t in (more or {}).items()]]))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -162,13 +167,35 @@ def _postings(groups: DataFrame) -> DataFrame:
     return each.select(F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"), F.struct(F.col("n"), F.col("pos").cast("long").alias("pos"), F.col("gid")).alias("e"))
 
 
-def _likely(lists: DataFrame) -> DataFrame:
-    """Pairs `a`, `b` of groups to try first: in each list the one before, and the
-    first one; of those the partners with which a group shares the most."""
-    pairs = lists.select(F.col("e.gid").alias("b"), F.explode(F.array("before", "first")).alias("a")).where(F.col("a").isNotNull())
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    return n.withColumn("at", F.row_number().over(order)).where(F.col("at") <= LIKELY).select("a", "b")
+def _likely(lists: DataFrame, roots: DataFrame | None, percent: int, most: int) -> DataFrame:
+    """Pairs `a`, `b` of groups to try: in each part of a list the first group (the
+    one that shares shingles with the most others, as an original does with its
+    copies) or, for those that are joined with that, the first that they aren't
+    joined with; for each group the `most` that it shares the most with."""
+    rooted = lists.withColumn("root", F.col("e.gid"))
+    if roots is not None:
+        found = roots.withColumnRenamed("root", "_root")
+        rooted = lists.join(found, F.col("e.gid") == F.col("whole"), "left").withColumn("root", F.coalesce("_root", "e.gid"))
+    side = Window.partitionBy("token", "part")
+    order = side.orderBy(F.desc("degree"), "e").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = rooted.withColumn("top", F.first(F.struct("e", "root")).over(order))
+    each = each.withColumn("other", F.first(F.when(F.col("root") != F.col("top.root"), F.col("e")), ignorenulls=True).over(order))
+    each = each.select("e", F.when(F.col("root") != F.col("top.root"), F.col("top.e")).otherwise(F.col("other")).alias("o")).where("o IS NOT NULL")
+    fits = F.when(F.col("e") <= F.col("o"), _may_link("e", "o", percent)).otherwise(_may_link("o", "e", percent))
+    n = each.where(fits).groupBy(F.col("e.gid").alias("b"), F.col("o.gid").alias("a")).agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    return n.withColumn("at", at).where(F.col("at") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _could_link(pairs: DataFrame, groups: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """Those pairs of groups whose prefixes share enough: what both have behind
+    their prefixes is no more than the longer rest."""
+    of = lambda g: groups.select(F.col("gid").alias(g), F.struct("n", "prefix").alias(f"_{g}"))
+    there = pairs.join(of(a), a).join(of(b), b)
+    x, y = f"_{a}", f"_{b}"
+    rest = F.greatest(*[F.col(f"{z}.n") - F.size(f"{z}.prefix") for z in (x, y)])
+    enough = (F.size(F.array_intersect(f"{x}.prefix", f"{y}.prefix")) + rest) * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+    return there.where(enough).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -190,21 +217,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, described: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`whole`, `text` of the sets in `pairs`: that of the row with the smallest id."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
-    first = described.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("x")).join(used, "whole").select("whole", "x.id", "x.mark")
-    first = materialize(first, "jaccard-used")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("text"))
-    return materialize(rows.join(first, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))).select("whole", "text").dropDuplicates(["whole"]), "jaccard-texts")
+class _Texts:
+    """The texts of sets that are compared, fetched when they are needed first."""
+
+    def __init__(self, docs: DataFrame, described: DataFrame, id_col: str, text_col: str) -> None:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        self.rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("text"))
+        self.described, self.there = described, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """`whole`, `text` (of the row with the smallest id) of the sets in `pairs`, and maybe of others."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+        if self.there is not None:
+            used = used.join(self.there.select("whole"), "whole", "left_anti")
+        first = self.described.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("x")).join(used, "whole").select("whole", "x.id", "x.mark")
+        first = materialize(first, "jaccard-used")
+        same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))
+        more = materialize(self.rows.join(first, same).select("whole", "text").dropDuplicates(["whole"]), "jaccard-texts")
+        self.there = more if self.there is None else self.there.union(more)
+        return self.there
 
 
 def _roots(links: DataFrame) -> DataFrame:
     return materialize(components(links, "a", "b").select(F.col("node").alias("whole"), "root"), "jaccard-roots")
 
 
-def _apart(lists: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _apart(lists: DataFrame, groups: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs `a`, `b` of sets that the filters leave and `roots` has not joined.
 
     Members of a group with the same root stay together: (group, root) is what is
@@ -225,33 +263,41 @@ def _apart(lists: DataFrame, members: DataFrame, roots: DataFrame, percent: int)
     fits = F.when(smaller, _may_link("ex", "ey", percent)).otherwise(_may_link("ey", "ex", percent))
     found = x.join(y, "token").where((F.col("rx") != F.col("ry")) & once & fits).select(F.col("ex.gid").alias("gx"), "rx", F.col("ey.gid").alias("gy"), "ry").distinct()
     of = lambda g, r, w: entries.select(F.col("gid").alias(g), F.col("root").alias(r), F.col("whole").alias(w))
+    found = _could_link(found, groups, "gx", "gy", percent)
     expanded = found.join(of("gx", "rx", "wx"), ["gx", "rx"]).join(of("gy", "ry", "wy"), ["gy", "ry"])
     return expanded.select(F.least("wx", "wy").alias("a"), F.greatest("wx", "wy").alias("b")).distinct()
 
 
-def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", joined: DataFrame | None = None) -> DataFrame:
+def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", proposed: DataFrame | None = None) -> DataFrame:
     """Links `a`, `b` between sets (`whole`) of `described` that are alike: a path of
     links joins any two sets that are, though not every link is returned.
-    `joined` (`a`, `b`) are links that are known before."""
+    `proposed` (`a`, `b`, the smaller first) are pairs to compare before all others."""
     groups = described.where("n > 0").groupBy("n", "prefix").agg(F.min("whole").alias("gid"), (F.min("whole") != F.max("whole")).alias("many"), F.first("parts").alias("parts"))
     groups = materialize(groups, "jaccard-groups")
     members = groups.where("many").select("n", "prefix", "gid").join(described.select("n", "prefix", "whole").distinct(), ["n", "prefix"]).select("gid", "whole")
     members = materialize(members, "jaccard-members")
     part = F.pmod(F.xxhash64("e.gid"), F.col("parts"))
-    side = Window.partitionBy("token", "part")
-    order = side.orderBy("e")
-    lists = _postings(groups).withColumn("part", part).withColumns({"_before": F.lag("e").over(order), "_first": F.first("e").over(order), "_n": F.count("*").over(side)})
-    lists = lists.where("_n > 1 OR parts > 1")
-    near = lambda c: F.when(F.col(c).isNotNull() & (F.col(f"{c}.gid") != F.col("e.gid")) & _may_link(c, "e", percent), F.col(f"{c}.gid"))
-    lists = materialize(lists.select("token", "e", near("_before").alias("before"), near("_first").alias("first")), "jaccard-lists")
-    tried = _likely(lists).union(members.where("gid != whole").select("gid", "whole"))
-    tried = materialize(tried.toDF("a", "b").distinct(), "jaccard-tried")
-    links = materialize(_verified(tried, _texts(docs, tried, described, id_col, text_col), size, percent), "jaccard-links")
-    if joined is not None:
-        links = links.union(joined)
-    rest = materialize(_apart(lists, members, _roots(links), percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-rest")
+    lists = _postings(groups).withColumn("part", part).withColumn("_n", F.count("*").over(Window.partitionBy("token", "part")))
+    lists = materialize(lists.where("_n > 1 OR parts > 1").select("token", "part", "e", "_n"), "jaccard-shared")
+    degree = lists.groupBy(F.col("e.gid").alias("gid")).agg(F.sum("_n").alias("degree"))
+    lists = materialize(lists.join(degree, F.col("e.gid") == F.col("gid")).select("token", "part", "e", "degree"), "jaccard-lists")
+    texts, links, roots, tried = _Texts(docs, described, id_col, text_col), None, None, None
+    for most in (*([0] if proposed is not None else []), *LIKELY):
+        pairs = _could_link(_likely(lists, roots, percent, most), groups, "a", "b", percent) if most else proposed
+        if tried is None:  # members of a group are tried with its first
+            pairs = pairs.union(members.where("gid != whole").select("gid", "whole")).distinct()
+        else:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "jaccard-tried")
+        found = materialize(_verified(pairs, texts.of(pairs), size, percent), "jaccard-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        roots = _roots(links)
+        if most and found.isEmpty():
+            break
+    rest = materialize(_apart(lists, groups, members, roots, percent).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        links = links.union(materialize(_verified(rest, _texts(docs, rest, described, id_col, text_col), size, percent), "jaccard-links"))
+        links = links.union(materialize(_verified(rest, texts.of(rest), size, percent), "jaccard-links"))
     return links
 
 

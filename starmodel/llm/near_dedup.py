@@ -4,8 +4,8 @@ At a similarity of 0.8 of their five-word shingles two fingerprints of 64 bits
 differ in about ten bits, more than parts of a fingerprint that stay alike can
 find. So the shards that hold the BK-trees are keyed by bands of min-hashes, the
 trees are searched within a wide radius, and what they propose is checked
-against the whole sets of shingles. Texts of a shard that this leaves apart are
-then compared in full, so what the trees propose decides how soon a group is
+against the whole sets of shingles. Whatever this leaves apart is decided by a
+prefix join of the sets, so what the trees propose decides how soon a group is
 joined, not whether it is."""
 
 from __future__ import annotations
@@ -17,52 +17,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starmodel.llm.common import materialize, unpacked, whole_row, words
+from starmodel.llm import jaccard_join
+from starmodel.llm.common import materialize, unpacked, whole_row
 from starmodel.llm.components import components
-from starmodel.llm.simhash import BKTree, fingerprint, shingle_hashes
+from starmodel.llm.simhash import BKTree, fingerprint
 
-#: Of a pair at 0.8, one in 5,000 has no band in common.
-BANDS, ROWS = 12, 3
+#: Of a pair at 0.8, one in 400 has no band in common, and is left to the join.
+BANDS, ROWS = 8, 3
 #: Bits: how far the trees are searched, and how far leaders are apart.
 REACH, LEAD = 20, 12
 NEAREST = 3
 #: Texts of a tree at most, in the mean; larger shards are cut.
 PART = 512
-#: Texts, and shingles, in one block of the comparison in full at most, in the mean.
-SHARD, WEIGHT = 2048, 1 << 20
 
 
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """`id`, `mark` (64 bits of the text), `whole` (128 bits of its lower-cased
-    words), `fp`, `n` (distinct shingles), `bands`."""
-    from xxhash import xxh3_128_hexdigest, xxh64_intdigest
+def _bands(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of min-hashes; none without shingles."""
+    from xxhash import xxh64_intdigest
 
-    multipliers = _multipliers()[:, None]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            whole, fps, ns, bands = [], [], [], []
-            for text in pdf["text"]:
-                whole.append(xxh3_128_hexdigest(b" ".join(words(text))))
-                hashes = np.unique(shingle_hashes(text, size))
-                fps.append(fingerprint(hashes))  # of distinct shingles, as links are
-                ns.append(len(hashes))
-                if not len(hashes):
-                    bands.append([])
-                    continue
-                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(hashes), 1 << 14):
-                    np.minimum(least, (multipliers * hashes[None, at : at + (1 << 14)]).min(axis=1), out=least)
-                bands.append(np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "whole": whole, "fp": np.array(fps, np.uint64).view(np.int64), "n": np.array(ns, np.int64), "bands": bands})
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return given.mapInPandas(run, "id long, mark long, whole string, fp long, n long, bands array<long>")
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 14):
+        np.minimum(least, (multipliers * hashes[None, at : at + (1 << 14)]).min(axis=1), out=least)
+    return np.array([xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -88,8 +70,8 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _frames(pairs: Iterator[tuple[str, str]], size: int = 10_000) -> Iterator[pd.DataFrame]:
-    out: list[tuple[str, str]] = []
+def _frames(pairs: Iterator[tuple[bytes, bytes]], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    out: list[tuple[bytes, bytes]] = []
     for pair in pairs:
         out.append(pair)
         if len(out) >= size:
@@ -112,7 +94,7 @@ def _proposed(keyed: DataFrame, similarity: float) -> DataFrame:
     first = shards.where("parts > 1").groupBy("band", "key").agg(F.max("parts").alias("parts"), F.min_by(F.struct("degree", "whole", "fp", "n", "part"), F.struct(-F.col("degree"), "whole")).alias("x"))
     first = first.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "x.degree", "x.whole", "x.fp", "x.n", F.col("x.part").alias("own")).where("part <> own")
 
-    def search(pdf: pd.DataFrame) -> Iterator[tuple[str, str]]:
+    def search(pdf: pd.DataFrame) -> Iterator[tuple[bytes, bytes]]:
         names, ns, leaders = pdf["whole"].tolist(), pdf["n"].tolist(), BKTree()
         for at, fp in enumerate(pdf["fp"].to_numpy().view(np.uint64).tolist()):
             near = sorted(leaders.search(fp, REACH), key=lambda x: (x[0], x[2]))
@@ -126,102 +108,32 @@ def _proposed(keyed: DataFrame, similarity: float) -> DataFrame:
         return _frames(pair for pdf in _groups(batches, ["band", "key", "part"]) if len(pdf) > 1 for pair in search(pdf))
 
     dealt = shards.select(*columns).unionByName(first.select(*columns)).repartition("band", "key", "part")
-    return dealt.sortWithinPartitions("band", "key", "part", F.desc("degree"), "whole").mapInPandas(run, "a string, b string").distinct()
-
-
-def _rest(keyed: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links `a`, `b` between classes of a shard of `keyed` that `roots` has not
-    joined yet, decided on all their shingles, without regard to fingerprints.
-
-    Two texts with the same root need no more links. So those with a shard's
-    most frequent root are compared only with the rest, and the rest also with
-    each other. Both are cut into blocks, and each block of the rest meets every
-    block in a group of its own; a group leaves out what it has already joined."""
-    given = keyed.select("band", "key", "whole", "n").join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    given = materialize(given, "near-rooted")
-    parts = given.groupBy("band", "key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    shards = parts.groupBy("band", "key").agg(F.max(F.struct("c", "s", "root")).alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("roots")).where("roots > 1")
-    blocks = lambda c, s: F.ceil(F.greatest(c / SHARD, s / WEIGHT)).cast("int")
-    shards = shards.select("band", "key", F.col("main.root").alias("main"), blocks(F.col("main.c"), F.col("main.s")).alias("m"), blocks(F.col("c") - F.col("main.c"), F.col("s") - F.col("main.s")).alias("r"))
-    there = given.join(shards, ["band", "key"])
-    main, dealt = F.col("root") == F.col("main"), F.xxhash64("whole", "band")
-    own = F.when(main, F.pmod(dealt, F.col("m"))).otherwise(F.col("m") + F.pmod(dealt, F.col("r"))).cast("int")
-    others = F.sequence(F.when(main, F.col("m")).otherwise(0), F.col("m") + F.col("r") - 1)
-    there = there.withColumn("own", own).select("band", "key", "whole", "root", "own", F.explode(others).alias("other"))
-    there = there.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "whole", "root")
-
-    def compare(pdf: pd.DataFrame) -> Iterator[tuple[str, str]]:
-        own, names = pdf["own"].to_numpy(), pdf["whole"].tolist()
-        same = pdf["lo"].iat[0] == pdf["hi"].iat[0]
-        joined = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-        ns = pdf["set"].map(len).to_numpy()
-        values, codes = np.unique(np.concatenate(pdf["set"].tolist()), return_inverse=True)
-        starts = np.cumsum(ns) - ns
-        marked = np.zeros(len(values), np.int64)
-        before = int((own == pdf["lo"].iat[0]).sum())
-        for x in range(0 if same else before, len(names)):
-            most = x if same else before  # those before it, or all of the other block
-            if not most:
-                continue
-            n, left = ns[x], joined[:most] != joined[x]
-            left &= np.minimum(n, ns[:most]) >= similarity * np.maximum(n, ns[:most])
-            if not left.any():
-                continue
-            mine = codes[starts[x] : starts[x] + n]
-            marked[mine] = 1
-            common = np.add.reduceat(marked[codes[: starts[most - 1] + ns[most - 1]]], starts[:most])
-            marked[mine] = 0
-            for y in np.flatnonzero(left & (common >= similarity * (n + ns[:most] - common))).tolist():
-                if joined[y] != joined[x]:
-                    yield min(names[x], names[y]), max(names[x], names[y])
-                    joined[joined == joined[y]] = joined[x]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _frames(pair for pdf in _groups(batches, ["band", "key", "lo", "hi"]) if len(pdf) > 1 for pair in compare(pdf))
-
-    dealt = there.join(shingles, "whole").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "own", "whole")
-    return dealt.select("band", "key", "lo", "hi", "own", "whole", "root", "set").mapInPandas(run, "a string, b string").distinct()
+    return dealt.sortWithinPartitions("band", "key", "part", F.desc("degree"), "whole").mapInPandas(run, "a binary, b binary").distinct()
 
 
 def near_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """A description of each row of `docs` (`id`, `mark`, `whole`, `root`): rows
     with the same `root` are joined by a path of links, a link being two texts
-    with at least `similarity` of all their distinct shingles in common, or the
-    same words. Also the links between classes of equal words (`a`, `b`).
+    with at least `similarity` (in whole percents) of all their distinct shingles in
+    common. Also the links between different sets of shingles (`a`, `b`).
 
-    Texts with the same lower-cased words become one class before anything is
-    paired, so exact copies are one row. Texts of fewer words than a shingle are
-    linked if their words are equal; null, empty and blank texts are one class.
+    Texts with equal sets become one class before anything is paired, so exact
+    copies are one row. Texts of fewer words than a shingle are one shingle; null,
+    empty and blank texts are one class. Other columns of `docs` take no part,
+    whatever their names; an empty table gives empty ones.
     """
-    described = materialize(_describe(docs, size, id_col, text_col), "near-described")
-    classes = described.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("whole", "first.*", "fp", "n", "bands"), "near-classes")
+    percent, multipliers = round(100 * similarity), _multipliers()[:, None]
+
+    def more(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+        return int(np.array([fingerprint(hashes)], np.uint64).view(np.int64)[0]), _bands(hashes, multipliers)
+
+    described = materialize(jaccard_join.describe(docs, size, percent, id_col, text_col, {"fp": "long", "bands": "array<long>"}, more), "near-described")
+    classes = materialize(described.select("whole", "fp", "n", "bands").dropDuplicates(["whole"]), "near-classes")
     keyed = classes.select("whole", "fp", "n", F.posexplode("bands").alias("band", "key"))
     crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = materialize(keyed.join(crowded, ["band", "key"]), "near-bands")
-    pairs = materialize(_proposed(keyed, similarity), "near-proposed")
-    used = keyed.select("whole").distinct().join(classes.select("whole", "id", "mark"), "whole")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
-                yield pd.DataFrame({"whole": some["whole"], "set": [np.unique(shingle_hashes(t, size)).view(np.int64) for t in some["text"]]})
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("text"))
-    texts = texts.join(used, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))).select("whole", "text")
-    shingles = materialize(texts.mapInPandas(sets, "whole string, set array<long>").dropDuplicates(["whole"]), "near-sets")
-    both = pairs.join(shingles.select(F.col("whole").alias("b"), F.col("set").alias("sb")), "b").join(shingles.select(F.col("whole").alias("a"), F.col("set").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    every = F.size("sa") + F.size("sb") - common
-    links = materialize(both.where(common >= F.lit(similarity) * every).select("a", "b"), "near-links")
-    # written, so that the join has a plain table on this side and splits a class that many rows are in
+    links = jaccard_join.jaccard_links(docs, described, size, percent, id_col, text_col, proposed=_proposed(keyed, similarity))
     roots = materialize(components(links, "a", "b").withColumnRenamed("node", "whole"), "near-roots")
-    more = materialize(_rest(keyed, roots, shingles, similarity), "near-links")
-    if not more.isEmpty():
-        links = links.union(more).distinct()
-        roots = materialize(components(links, "a", "b").withColumnRenamed("node", "whole"), "near-roots")
     out = described.select("id", "mark", "whole").join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     return out, links
 
