@@ -75,7 +75,7 @@ def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "Sales
 NO_MONTH = "none"
 
 
-def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None) -> int:
+def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None, note: str = "") -> int:
     """Publishes the fact in parts by order month, for pruned reads, and switches
     readers to it when it is complete: who reads meanwhile sees what was there
     before. With `months` (yyyy-MM) `fact` has all lines of those months only, as
@@ -83,4 +83,4 @@ def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[
     rows = fact.withColumn("OrderMonth", F.coalesce(F.date_format("OrderDate", "yyyy-MM"), F.lit(NO_MONTH)))
     if months is not None:
         rows = rows.where(F.col("OrderMonth").isin(*months))
-    return store.write_parts(table, rows, "OrderMonth", months)
+    return store.write_parts(table, rows, "OrderMonth", months, note)

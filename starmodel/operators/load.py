@@ -10,9 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from starmodel.operators import runlog, scd
+from starmodel.operators import fact, runlog, scd
 from starmodel.sources.schema import REJECTS, RUN_LOG, struct
-from starmodel.sources.shared import scratch
+from starmodel.sources.shared import materialize, scratch
 from starmodel.sources.store import SnapshotStore
 
 #: Tables of a store that rows are only added to.
@@ -52,6 +52,31 @@ def run_load(
             scd.load_parts(store, spec, staged, load_ts, note=note)
 
 
+def run_fact_load(
+    store: SnapshotStore, execution_id: int, source: str, extract: Callable[[], tuple[DataFrame, DataFrame]], product_dim: DataFrame, product: scd.DimensionSpec, dims: dict | None = None, table: str = "sales",
+    now: Callable[[], dt.datetime] = dt.datetime.now, **options,
+) -> None:
+    """Loads and publishes the sales fact with the lines and headers that `extract`
+    returns, in the steps of `run_load`: lines without a header are stored as
+    rejects, the lines with their keys and measures are written once, it is an
+    error if one has become several, and the months are switched to together, under
+    the run's id. A failed run leaves what was published as it was."""
+    with logged(store, execution_id, f"load {table}", source, table, now) as run:
+        if run is None:
+            return
+        with scratch(store.spark):
+            detail, header = extract()
+            detail = materialize(detail, "lines")
+            rejected = store_rejects(store, execution_id, table, fact.line_rejects(detail, header))
+            watch = Observation()
+            lines = materialize(fact.load_fact(detail, header, product_dim, product, dims, **options).observe(watch, F.count("*").alias("n")), "fact")
+            if more := fact.grain_breaks(lines.select(*fact.GRAIN), detail).count():
+                raise ValueError(f"{more} order lines have become several rows")
+            n = watch.get["n"]
+            run.update(read=n + rejected, inserted=n, updated=0, rejected=rejected)
+            fact.publish(store, table, lines, note=json.dumps({"run": execution_id} | run))
+
+
 @contextmanager
 def logged(store: SnapshotStore, execution_id: int, process: str, source: str, target: str, now: Callable[[], dt.datetime]) -> Iterator[dict | None]:
     """A run in the log. Gives a dict for its counts, or None if a version of `target`

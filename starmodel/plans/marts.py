@@ -68,6 +68,25 @@ def profile(df: DataFrame, config: dict[str, object]) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in config.items()]).groupBy(*config).agg(F.count("*").alias("n"))
 
 
+def column_sketches(df: DataFrame, columns: Sequence[str], load: str = "") -> DataFrame:
+    """What is kept of a load for profiles: `load`, `column`, `rows`, `nulls`, and a
+    mergeable sketch of the distinct values (about 4 KB each); one scan, and a row a
+    column from each task is all that is shuffled."""
+    kind = dict(df.dtypes)
+    value = lambda c: F.col(c) if kind[c] in ("int", "bigint", "string", "binary") else F.col(c).cast("string")
+    aggs = [x for c in columns for x in (F.hll_sketch_agg(value(c)).alias(f"d_{c}"), F.sum(F.col(c).isNull().cast("long")).alias(f"n_{c}"))]
+    one = df.agg(F.count("*").alias("rows"), *aggs)
+    pairs = F.explode(F.array(*[F.struct(F.lit(load).alias("load"), F.lit(c).alias("column"), F.col("rows"), F.coalesce(f"n_{c}", F.lit(0)).alias("nulls"), F.col(f"d_{c}").alias("sketch")) for c in columns])).alias("x")
+    return one.select(pairs).select("x.*")
+
+
+def sketched_profile(sketches: DataFrame) -> DataFrame:
+    """The profile of all loads together from their sketches: `column`, `rows`,
+    `distinct_values` (within about 2 %), `nulls`. No load is read again."""
+    merged = sketches.groupBy("column").agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"), F.sum("nulls").alias("nulls"))
+    return merged
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, distinct values and nulls of each column, from one scan."""
     aggs = [x for c in columns for x in (F.countDistinct(c).alias(f"d_{c}"), F.sum(F.col(c).isNull().cast("long")).alias(f"n_{c}"))]

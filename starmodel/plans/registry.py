@@ -455,6 +455,18 @@ def a10_product_profile(spark, d):
     return marts.profile_columns(shapes.product_source(spark, d), ["ProductID", "Color", "SellEndDate"])
 
 
+@query("""WITH p AS (SELECT unnest([{'c': 'l_orderkey', 'd': count(DISTINCT l_orderkey)}, {'c': 'l_partkey', 'd': count(DISTINCT l_partkey)}, {'c': 'l_extendedprice', 'd': count(DISTINCT l_extendedprice)}, {'c': 'l_shipdate', 'd': count(DISTINCT l_shipdate)}]) AS x FROM lineitem)
+    SELECT x.c AS column, (SELECT count(*) FROM lineitem) AS rows, 0 AS nulls, true AS within FROM p""")
+def a10_sketched_profile(spark, d):
+    """Sketches of three loads of order lines, merged; distinct values are within
+    4 % of the exact numbers."""
+    li, columns = _table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"]
+    loads = [marts.column_sketches(li.where(F.col("l_linenumber") % 3 == n), columns, f"load {n}") for n in range(3)]
+    found = marts.sketched_profile(quality.all_of(loads))
+    exact = marts.profile_columns(li, columns).select("column", F.col("distinct_values").alias("exact"))
+    return found.join(F.broadcast(exact), "column").select("column", "rows", "nulls", (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.04 * F.col("exact")).alias("within"))
+
+
 _AS = "CAST(sum(NetAmount) AS DOUBLE) AS NetAmount FROM fact JOIN dim3 v ON v.k = ProductKey"
 
 
@@ -610,6 +622,14 @@ def u2_reconcile(spark, d):
     return quality.reconcile(o, o.where("o_orderstatus <> 'P'"), ["o_custkey"])
 
 
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS in_source, count(*) * CASE WHEN l_orderkey % 500 = 3 THEN 0 ELSE 2 END AS in_target FROM lineitem WHERE l_orderkey % 500 IN (3, 7) GROUP BY l_orderkey, l_linenumber""")
+def u2_reconcile_by_hash(spark, d):
+    """A target without the lines of some orders and with those of others twice."""
+    li = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    m = F.col("l_orderkey") % 500
+    return quality.reconcile_by_hash(li, li.where(m != 3).union(li.where(m == 7)), ["l_orderkey", "l_linenumber"])
+
+
 @query("SELECT s_suppkey, concat_ws(';', CASE WHEN s_acctbal < 0 THEN 'negative' END, CASE WHEN s_nationkey % 2 = 1 THEN 'odd nation' END) AS reasons FROM supplier WHERE s_acctbal < 0 OR s_nationkey % 2 = 1")
 def s10_rejects(spark, d):
     _, bad = quality.split_rejects(_table(spark, d, "supplier"), {"negative": F.col("s_acctbal") < 0, "odd nation": F.col("s_nationkey") % 2 == 1})
@@ -656,6 +676,68 @@ def s9_failed_run(spark, d):
     return runlog.run_state(load.run_log(store)).select("ExecutionID", "Status", "RowsInserted", "ErrorMessage", F.lit(n).cast("long").alias("members"))
 
 
+_LOST = "l_orderkey % 50 = 7"
+_MOVED = f"""SELECT count(*) FROM (SELECT l.SalesOrderID, l.SalesOrderDetailID, count(*) AS n FROM ({shapes.LINES_SQL}) l LEFT JOIN (SELECT ProductID, CASE WHEN ProductID % 20 = 2 THEN Start - INTERVAL 30 DAY ELSE Start END AS Start, Finish FROM dim3) d
+    ON d.ProductID = l.ProductID AND OrderDate >= d.Start AND OrderDate < d.Finish WHERE l.SalesOrderID % 50 <> 7 GROUP BY ALL)
+    JOIN (SELECT l_orderkey, l_linenumber, count(*) AS m FROM lineitem GROUP BY ALL) ON l_orderkey = SalesOrderID AND l_linenumber = SalesOrderDetailID WHERE n > m"""
+
+
+@query(f"""{PRODUCT_DIMS}, n AS (SELECT count(*) FILTER ({_LOST}) AS lost, count(*) FILTER (NOT ({_LOST})) AS good FROM lineitem)
+    SELECT 1 AS ExecutionID, 'Succeeded' AS Status, lost + good AS RowsRead, good AS RowsInserted, lost AS RowsRejected, NULL AS ErrorMessage, lost AS stored, good AS published FROM n
+    UNION ALL SELECT 2, 'Failed', 0, 0, 0, 'ValueError: ' || ({_MOVED}) || ' order lines have become several rows', lost, good FROM n""")
+def c14_run_fact_load(spark, d):
+    """A load of the fact, the same run again, and a run with versions that overlap:
+    some orders have no header, so their lines are rejects."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/loads-{uuid.uuid4().hex}")
+    detail, header = shapes.order_sources(spark, d)
+    extract = lambda: (detail, header.where("SalesOrderID % 50 <> 7"))
+    dim = warehouse.product_dim(spark, d)[1]
+    for _ in range(2):
+        load.run_fact_load(store, 1, "lineitem", extract, dim, scd.PRODUCT)
+    start = F.when(F.col("ProductID") % 20 == 2, F.col(scd.START) - F.expr("INTERVAL 30 DAYS")).otherwise(F.col(scd.START))
+    try:
+        load.run_fact_load(store, 2, "lineitem", extract, dim.withColumn(scd.START, start), scd.PRODUCT)
+    except ValueError:
+        pass  # it is in the log
+    log = runlog.run_state(load.run_log(store)).select("ExecutionID", "Status", "RowsRead", "RowsInserted", "RowsRejected", "ErrorMessage")
+    rejects = load.stored_rejects(store).groupBy(F.col("ExecutionID").alias("_run")).agg(F.count("*").alias("stored"))
+    return log.join(rejects, F.col("ExecutionID") == F.col("_run"), "left").select(*log.columns, "stored", F.lit(store.read("sales").count()).cast("long").alias("published"))
+
+
+@query(f"SELECT ProductID, TIMESTAMP '{shapes.LOADS[0]}' AS ExtractedAt FROM ({shapes.product_sql(1)})")
+def s7_staging_defaults(spark, d):
+    return shapes.staged_product(spark, d).select("ProductID", "ExtractedAt")
+
+
+@query(f"{PRODUCT_DIMS} SELECT k AS ProductKey, Start AS CreatedAt, CASE WHEN Cur THEN TIMESTAMP '9999-12-31 23:59:59.999999' ELSE Finish END AS EffectiveEndDateTime, year(Finish) = 9999 AS IsCurrent FROM dim3")
+def s7_dimension_defaults(spark, d):
+    """When each version was made, and the end and the flag that it begins with."""
+    return warehouse.product_dim(spark, d)[1].select("ProductKey", "CreatedAt", scd.END, scd.CURRENT)
+
+
+@query("SELECT 1 AS ExecutionID, true AS by_me, count(*) AS RowsRead FROM supplier UNION ALL SELECT 2, true, 0")
+def f18_executed_by(spark, d):
+    """Who is logged to have run a load that succeeds, and one that fails."""
+    started = [runlog.run_started(spark, i, "supplier", shapes.LOADS[0]) for i in (1, 2)]
+    rows = _table(spark, d, "supplier").count()
+    log = quality.all_of([*started, runlog.run_finished(started[0], shapes.LOADS[1], rows), runlog.run_finished(started[1], shapes.LOADS[1], error="lost")])
+    return runlog.run_state(log).select("ExecutionID", (F.col("ExecutedBy") == F.current_user()).alias("by_me"), "RowsRead")
+
+
+@query("""WITH s AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders) SELECT 'days' AS range, CAST(date_diff('day', a, b) + 1 AS VARCHAR) AS result FROM s
+    UNION ALL SELECT 'backwards', 'the end date is before the start date' UNION ALL SELECT 'over 100 years', 'the range is over 100 years' UNION ALL SELECT '100 years', CAST(date_diff('day', a, a + INTERVAL 100 YEAR) + 1 AS VARCHAR) FROM s""")
+def p10_calendar_ranges(spark, d):
+    """Ranges of days from the orders' dates on that a calendar is or isn't made for."""
+    first, last = _span(spark, d)
+    out = []
+    for name, start, end in (("days", first, last), ("backwards", last, first), ("over 100 years", first, first.replace(year=first.year + 101)), ("100 years", first, first.replace(year=first.year + 100))):
+        try:
+            out.append((name, str(calendar.dates(spark, start, end).count())))
+        except ValueError as e:
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "range string, result string")
+
+
 @query(f"SELECT 7 AS ExecutionID, 'territory' AS TargetObject, TerritoryID, reasons AS Reasons, (SELECT count(*) FROM ({shapes.TERRITORY_REJECTS_SQL})) AS RowsRejected FROM ({shapes.TERRITORY_REJECTS_SQL})")
 def s10_stored_rejects(spark, d):
     """Territories that can't be loaded are kept under the run's id and counted in the log."""
