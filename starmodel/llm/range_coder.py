@@ -6,7 +6,8 @@ them. An id is guessed to be the one that last followed the two ids before it
 (order 2), or else the one before it (order 1), and has a share by how often it
 came of late (order 0). What guesses of that kind have been worth in the block so
 far mixes them into one division of the coder's range: the id is new, the guess
-is right, and, over the rest, the order-0 shares. New ids follow as they are.
+is right, and, over the rest, the order-0 shares. New ids follow in a prefix code,
+which a group makes from how often each of its ids is new in a block.
 
 The model learns segment by segment. So all that the encoder needs of it is
 worked out for a segment at once, and a decoder's step only looks up.
@@ -14,20 +15,21 @@ worked out for a segment at once, and a decoder's step only looks up.
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 
 import numpy as np
 
 MAGIC = b"IDRC"
-VERSION = 2
+VERSION = 3
 HEAD = struct.Struct("<4sHIQII")  # magic, version, documents, ids, ids a block, bytes of the document table
 SHARE_BITS = 16
 SHARES = 1 << SHARE_BITS  # into which a range is divided
 STATE, LEAST = (1 << 48) - 1, 1 << 32  # 48 bits; a range below LEAST takes in one unit of 16 bits
-SEGMENT = 256  # steps between which the model learns
+SEGMENT = 64  # steps between which the model learns, at most
 WINDOW = 1024  # the latest ids whose frequencies are the order-0 shares
-ORDER1, ORDER2 = 512, 1024  # contexts of a block
+ORDER1, ORDER2 = 1024, 2048  # contexts of a block
 NONE = 0xFFFF  # no guess yet, which is a guess at that id
 ROWS = 12  # mixing contexts of a block: which guesses there are, whether they are alike, whether the last one was right
 TOGETHER = 64  # blocks whose segments are prepared at once, so that they stay in the cache
@@ -36,8 +38,8 @@ _PRIOR = np.array([2, 2, 12], np.int64)
 
 
 def block_size(n: int) -> int:
-    """Ids a block: a group has about four thousand blocks, of 1024 to 4096 ids."""
-    return max(1, n) if n < 1024 else min(4096, max(1024, n >> 12))
+    """Ids a block: a group has about four thousand blocks, of 1024 to 8192 ids."""
+    return max(1, n) if n < 1024 else min(8192, max(1024, n >> 12))
 
 
 def _segments(block: int) -> list[tuple[int, int]]:
@@ -48,6 +50,47 @@ def _segments(block: int) -> list[tuple[int, int]]:
     return list(zip(ends[:-1], ends[1:]))
 
 
+FLAT = np.full(1 << 16, 16, np.uint8)  # code lengths where nothing is known of the ids
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """How many bits (16 at most, 0 for none) each id has in the prefix code with the
+    fewest bits for these counts; where a code would be longer it is cut, and others
+    get longer in turn, rare ones first."""
+    there = np.flatnonzero(counts)
+    out = np.zeros(1 << 16, np.uint8)
+    if len(there) < 2:
+        out[there] = 1
+        return out
+    n = len(there)
+    heap = list(zip(counts[there].tolist(), range(n)))
+    heapq.heapify(heap)
+    up = [0] * (2 * n - 1)
+    for node in range(n, 2 * n - 1):
+        a, b = heapq.heappop(heap), heap[0]
+        up[a[1]] = up[b[1]] = node
+        heapq.heapreplace(heap, (a[0] + b[0], node))
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[up[node]] + 1
+    bits = np.minimum(depth[:n], 16)
+    over = int((1 << 16 - bits).sum()) - (1 << 16)
+    for i in np.argsort(counts[there], kind="stable").tolist():
+        while over > 0 and bits[i] < 16:
+            bits[i] += 1
+            over -= 1 << (16 - int(bits[i]))
+    out[there] = bits
+    return out
+
+
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in the order of their codes (by length, then id), and each one's code
+    at the upper end of 16 bits."""
+    order = np.argsort(lengths, kind="stable")[int((lengths == 0).sum()) :]
+    steps = 1 << 16 - lengths[order].astype(np.int64)
+    return order, np.cumsum(steps) - steps
+
+
 class _Model:
     """The state of all blocks of a group; steps are rows, blocks are columns."""
 
@@ -202,11 +245,17 @@ class _Writer:
         return [units[a:b].tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist())]
 
 
-def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, block: int, lengths: np.ndarray | None = FLAT) -> list[bytes]:
+    """The blocks of `encode_group`, with the code of these lengths."""
+    return encode_group(ids, block, lengths)[0]
+
+
+def encode_group(ids: np.ndarray, block: int, lengths: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
     """Each block of `ids` (below 65,536), the last filled up with zeros: the
-    number of coded units (16 bits), these units, and the new ids."""
+    number of coded units (16 bits), these units, and the new ids in a prefix code,
+    whose lengths are returned too; by default it is made for them."""
     if not len(ids):
-        return []
+        return [], FLAT
     if ids.max() > 0xFFFF or block > 16384:
         raise ValueError("ids must be below 65,536 and blocks of at most 16,384")
     lanes = -(-len(ids) // block)
@@ -226,19 +275,43 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[bytes]:
         for i in range(end - t):
             writer.code(start[i], share[i])
     fresh = np.ascontiguousarray(fresh[2:].T)
-    raw, ends = whole[fresh.reshape(-1)].astype("<u2"), np.cumsum(fresh.sum(axis=1))
+    raw, n = whole[fresh.reshape(-1)], fresh.sum(axis=1)
+    if lengths is None:
+        lengths = code_lengths(np.bincount(raw, minlength=1 << 16))
     coded = writer.blocks()
-    return [struct.pack("<H", len(c) // 2) + c + raw[e - n : e].tobytes() for c, e, n in zip(coded, ends.tolist(), fresh.sum(axis=1).tolist())]
+    return [struct.pack("<H", len(c) // 2) + c + r for c, r in zip(coded, _packed(raw, n, lengths))], lengths
+
+
+def _packed(raw: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The codes of new ids, `n` of them for each block, in whole units of 16 bits."""
+    order, codes = _codes(lengths)
+    code = np.zeros(1 << 16, np.int64)
+    code[order] = codes
+    bits = lengths[raw].astype(np.int64)
+    ends, last = np.cumsum(bits), np.cumsum(n)
+    total = np.where(last > 0, ends[np.maximum(last - 1, 0)], 0)
+    total = np.diff(total, prepend=0)
+    units = -(-total // 16)
+    begin = np.cumsum(units) - units
+    place = ends - bits + np.repeat(16 * begin - (np.cumsum(total) - total), n)
+    at, spread = place >> 4, code[raw] << (16 - (place & 15))
+    size = int(units.sum()) + 1  # bits of different codes do not meet, so their sums are exact
+    out = np.bincount(at, spread >> 16, size) + np.bincount(at + 1, spread & 0xFFFF, size + 1)[:size]
+    out = out.astype("<u2")
+    return [out[a : a + k].tobytes() for a, k in zip(begin.tolist(), units.tolist())]
 
 
 class _Reader:
     """The ranges of all blocks, and where in them the coded value is."""
 
-    def __init__(self, blocks: list[bytes]) -> None:
+    def __init__(self, blocks: list[bytes], lengths: np.ndarray) -> None:
         units = np.frombuffer(b"".join(blocks) + b"\0" * 8, "<u2")
         sizes = np.array([len(b) // 2 for b in blocks])
         begin = np.cumsum(sizes) - sizes + 1
-        self.raw = begin + units[begin - 1]  # where the next new id is
+        self.raw = (begin + units[begin - 1]) * 16  # the bit at which the next new id is
+        order, _ = _codes(lengths)
+        times = 1 << 16 - lengths[order].astype(np.int64)
+        self.symbol, self.length = (np.append(np.repeat(x, times), np.zeros((1 << 16) - times.sum(), np.int64)) for x in (order, lengths[order].astype(np.int64)))
         self.value = units[begin].astype(np.int64) << 32 | units[begin + 1].astype(np.int64) << 16 | units[begin + 2]
         self.span, self.at, self.units = np.full(len(blocks), STATE), begin + 3, units
 
@@ -257,18 +330,23 @@ class _Reader:
 
     def ids(self, lanes: np.ndarray) -> np.ndarray:
         """The next new id of each lane."""
-        at = self.raw.take(lanes)
-        self.raw[lanes] = at + 1
-        return self.units.take(at, mode="clip")
-
-
-def decode_blocks(blocks: list[bytes], n_ids: int, block: int) -> np.ndarray:
-    """The ids of `encode_blocks`."""
+        bit = self.raw.take(lanes)
+        at = bit >> 4
+        two = self.units.take(at, mode="clip").astype(np.int64) << 16
+        two |= self.units.take(at + 1, mode="clip")
+        two >>= 16 - (bit & 15)
+        two &= 0xFFFF
+        self.raw[lanes] = bit + self.length.take(two)
+        return self.symbol.take(two)
+
+
+def decode_blocks(blocks: list[bytes], n_ids: int, block: int, code: np.ndarray = FLAT) -> np.ndarray:
+    """The ids of `encode_group`, with the lengths of its code."""
     lanes = len(blocks)
     if not lanes:
         return np.empty(0, np.uint16)
     grid = np.zeros((block + 2, lanes), np.uint16)
-    model, reader = _Model(lanes), _Reader(blocks)
+    model, reader = _Model(lanes), _Reader(blocks, code)
     value, span = reader.value, reader.span
     long = lambda *shape: np.empty(shape, np.int64)
     row, r, v, begun, unit, start, share, x1, x2, one = (long(lanes) for _ in range(10))
@@ -347,11 +425,11 @@ def decode_blocks(blocks: list[bytes], n_ids: int, block: int) -> np.ndarray:
 
 
 def pack_group(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A self-contained group: header, table of documents, table of blocks
+    """A self-contained group: header, table of documents and of code lengths, table of blocks
     (coded bytes, CRC32 of the ids as little-endian 32 bits), coded blocks."""
     block = block_size(len(ids))
-    coded = encode_blocks(ids, block)
-    table = zlib.compress(np.diff(doc_ids.astype("<i8"), prepend=0).astype("<i8").tobytes() + lengths.astype("<u4").tobytes(), 1)
+    coded, code = encode_group(ids, block)
+    table = zlib.compress(np.diff(doc_ids.astype("<i8"), prepend=0).astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + code.tobytes(), 1)
     sums = [zlib.crc32(ids[at : at + block].astype("<u4").tobytes()) for at in range(0, len(ids), block)]
     blocks = b"".join(struct.pack("<II", len(c), s) for c, s in zip(coded, sums))
     head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(table))
@@ -374,10 +452,10 @@ def unpack_group(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("damaged group: header or tables")
     table = zlib.decompress(tables[:table_size])
     doc_ids = np.cumsum(np.frombuffer(table, "<i8", n_docs))
-    lengths = np.frombuffer(table, "<u4", n_docs, 8 * n_docs)
+    lengths, code = np.frombuffer(table, "<u4", n_docs, 8 * n_docs), np.frombuffer(table, np.uint8, 1 << 16, 12 * n_docs)
     sizes = np.frombuffer(tables, "<u4", 2 * n_blocks, table_size).reshape(-1, 2)
     ends = at + len(tables) + np.cumsum(sizes[:, 0], dtype=np.int64)
-    ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), sizes[:, 0].tolist())], n_ids, block)
+    ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), sizes[:, 0].tolist())], n_ids, block, code)
     for i in range(n_blocks):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != sizes[i, 1]:
             raise ValueError(f"damaged group: block {i}")

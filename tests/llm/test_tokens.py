@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from starmodel.llm import token_file
-from starmodel.llm.range_coder import decode_blocks, encode_blocks, pack_group, unpack_group
-from starmodel.llm.tokens import default_path
+from starmodel.llm.range_coder import code_lengths, decode_blocks, encode_blocks, pack_group, unpack_group
+from starmodel.llm.tokens import byte_encoder, default_path
 from starmodel.llm.word_bpe import WordBPE, encode_decode
 
 from .helpers import TEXTS, rows, table
@@ -34,6 +34,29 @@ def test_repeats_are_cheap():
     assert len(pack_group(np.array([1]), np.array([len(ids)]), ids)) < len(ids) / 2
 
 
+def test_smaller_than_zlib_and_than_order_0():
+    """The ids of real documents: fewer bits than static order-0 entropy, with all tables, and than deflate."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:3000]
+    encoder = byte_encoder(default_path("byte_bpe_50k.json"))
+    ids = np.frombuffer(b"".join(x + b"\2\0\0\0" for x in encoder.encode_all([t or "" for t in texts])), "<u4")
+    data = pack_group(np.array([0]), np.array([len(ids)]), ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(ids) > 2_000_000
+    assert 8 * len(data) < -(share * np.log2(share)).sum() * len(ids)
+    assert len(data) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+    assert (unpack_group(data)[2] == ids).all()
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(0)
+    for counts in (np.zeros(1 << 16, int), np.ones(1 << 16, int), np.eye(1, 1 << 16, 7, dtype=int)[0], np.bincount([1, 2, 2], minlength=1 << 16), 2 ** np.minimum(np.arange(1 << 16), 40), np.bincount(rng.zipf(1.2, 100_000) % (1 << 16), minlength=1 << 16)):
+        lengths = code_lengths(counts)
+        assert ((lengths > 0) == (counts > 0)).all() and lengths.max(initial=0) <= 16
+        assert sum(2.0 ** -lengths[lengths > 0].astype(float)) <= 1
+
+
 def test_damage_is_found():
     data = bytearray(pack_group(np.array([5, 9]), np.array([700, 300]), np.arange(1000, dtype=np.uint32)))
     docs, lengths, ids = unpack_group(bytes(data))
