@@ -10,15 +10,25 @@ from starmodel.operators import fact, scd
 from starmodel.plans import shapes
 from starmodel.sources.shared import scratch
 
-#: What has been loaded in this session: (application, folder, name, loads) -> the
-#: dimension, which is read from its files, and the counts of its last load.
+#: What has been loaded in this session: (application, folder, its files, name, loads)
+#: -> the dimension, which is read from its files, and the counts of its last load.
 _loaded: dict[tuple, tuple[DataFrame, DataFrame | None]] = {}
 
 
+def _files(spark: SparkSession, d: str) -> tuple:
+    """What tells whether a folder's tables have changed: names, sizes, times."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(d)
+    there = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(p)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in there))
+
+
 def _load(spark: SparkSession, d: str, spec: scd.DimensionSpec, staged: Callable[[int], DataFrame], loads: int) -> tuple[DataFrame, DataFrame | None]:
     """A dimension after so many loads. Each load of a folder's tables is made
-    once a session and written; all facts and reports then read its files."""
-    key = (spark.sparkContext.applicationId, d, spec.name, loads)
+    once a session and written; all facts and reports then read its files. When a
+    file of the folder changes, what was made of the folder before is forgotten."""
+    key = (spark.sparkContext.applicationId, d, _files(spark, d), spec.name, loads)
+    for old in [k for k in _loaded if k[:2] == key[:2] and k[2] != key[2]]:
+        del _loaded[old]
     if key not in _loaded:
         if loads:
             with scratch(spark):
