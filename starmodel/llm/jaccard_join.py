@@ -30,7 +30,7 @@ CHUNK = 1 << 20
 #: Groups with a shingle in common that are put side by side in one task, in the mean.
 LIST = 512
 #: With how many likely partners a group is tried, in each round before the rest.
-LIKELY = (2, 1)
+LIKELY = (2,)
 #: Words whose hashes a task keeps.
 KEPT = 1 << 20
 
@@ -190,7 +190,11 @@ def _likely(lists: DataFrame, roots: DataFrame | None, percent: int, most: int)
 def _could_link(pairs: DataFrame, groups: DataFrame, a: str, b: str, percent: int) -> DataFrame:
     """Those pairs of groups whose prefixes share enough: what both have behind
     their prefixes is no more than the longer rest."""
-    of = lambda g: groups.select(F.col("gid").alias(g), F.struct("n", "prefix").alias(f"_{g}"))
+    # written, so that Spark knows where they are few, and doesn't shuffle all prefixes
+    pairs = materialize(pairs, "jaccard-pairs")
+    used = materialize(pairs.select(F.explode(F.array(a, b)).alias("gid")).distinct(), "jaccard-pairs")
+    few = materialize(groups.select("gid", "n", "prefix").join(used, "gid", "left_semi"), "jaccard-pairs")
+    of = lambda g: few.select(F.col("gid").alias(g), F.struct("n", "prefix").alias(f"_{g}"))
     there = pairs.join(of(a), a).join(of(b), b)
     x, y = f"_{a}", f"_{b}"
     rest = F.greatest(*[F.col(f"{z}.n") - F.size(f"{z}.prefix") for z in (x, y)])
@@ -255,6 +259,7 @@ def _apart(lists: DataFrame, groups: DataFrame, members: DataFrame, roots: DataF
     rooted = lists.select("token", "e", F.col("e.gid").alias("gid")).join(entries.select("gid", "root").distinct(), "gid").select("token", "e", "root")
     n = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     main = n.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
+    main = materialize(main, "jaccard-main")  # few tokens
     there = materialize(rooted.join(main, "token").select("token", "e", "root", (F.col("root") == F.col("main")).alias("is_main")), "jaccard-apart")
     x = there.where(~F.col("is_main")).select("token", F.col("e").alias("ex"), F.col("root").alias("rx"))
     y = there.select("token", F.col("e").alias("ey"), F.col("root").alias("ry"), "is_main")
@@ -280,6 +285,7 @@ def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int
     lists = _postings(groups).withColumn("part", part).withColumn("_n", F.count("*").over(Window.partitionBy("token", "part")))
     lists = materialize(lists.where("_n > 1 OR parts > 1").select("token", "part", "e", "_n"), "jaccard-shared")
     degree = lists.groupBy(F.col("e.gid").alias("gid")).agg(F.sum("_n").alias("degree"))
+    degree = materialize(degree, "jaccard-degree")
     lists = materialize(lists.join(degree, F.col("e.gid") == F.col("gid")).select("token", "part", "e", "degree"), "jaccard-lists")
     texts, links, roots, tried = _Texts(docs, described, id_col, text_col), None, None, None
     for most in (*([0] if proposed is not None else []), *LIKELY):
