@@ -30,7 +30,7 @@ CHUNK = 1 << 20
 #: Groups with a shingle in common that are put side by side in one task, in the mean.
 LIST = 512
 #: With how many likely partners a group is tried, in each round before the rest.
-LIKELY = (2,)
+LIKELY = (2, 1)
 #: Words whose hashes a task keeps.
 KEPT = 1 << 20
 
