@@ -180,7 +180,15 @@ def live_after(changes: DataFrame, order_col: str = "seq", delete_col: str = "is
     """Replays insertions and deletions of documents in the order of `order_col`
     (unique): a deletion takes the text's digest out of the index, an insertion
     of a text that isn't live makes its document live. Returns the live
-    `doc_id`, `text_sha256`. Changes of one text go to one task in order."""
+    `doc_id`, `text_sha256`. Changes of one text go to one task in order, and
+    digests are dealt by hash into as many buckets as the number of changes asks
+    for, so that the index of a task does not grow with the input.
+
+    A null text is the empty one, a null flag an insertion, a null order comes
+    first, and a document with a null id is live as such. A repeated change does
+    nothing. Other columns take no part, whatever their names; an empty table
+    gives none."""
+    buckets = max(1, -(-changes.count() // BUCKET), int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     given = changes.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("d"), F.col(order_col).alias("s"), F.coalesce(F.col(delete_col), F.lit(False)).alias("x"), F.col(id_col).cast("long").alias("i"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,5 +202,5 @@ def live_after(changes: DataFrame, order_col: str = "seq", delete_col: str = "is
         found = list(index)
         yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(v) else v for _, v in found], dtype="Int64"), "d": [d for d, _ in found]})
 
-    live = given.repartition("d").sortWithinPartitions("s").mapInPandas(replay, "doc_id long, d binary")
+    live = given.repartition(buckets, "d").sortWithinPartitions("s").mapInPandas(replay, "doc_id long, d binary")
     return live.select("doc_id", F.lower(F.hex("d")).alias("text_sha256"))

@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from starmodel.llm import ann, lm, quality
 from starmodel.llm.common import words
 
@@ -112,6 +114,18 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(len(texts)) if i % 3}
 
 
+def test_quality_of_held_out_labels(spark):
+    """On the given labels that learning doesn't see: bad texts rank below good ones."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    scored = quality.scored(docs, quality.learn(docs, labels)).where(quality.held_out(F.col("doc_id")))
+    got = scored.join(labels.select("doc_id", "quality"), "doc_id").select("_score", "quality").toPandas()
+    good, bad = (got.loc[got["quality"] == q, "_score"].to_numpy() for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 20
+    above = (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2
+    assert above > 0.99
+
+
 def test_quality_compiled_rules_are_the_model(spark):
     texts, labels = _labelled(spark)
     model = quality.learn(table(spark, texts), labels)
