@@ -26,7 +26,8 @@ def _days(base: str, n):
 def product_source(spark: SparkSession, d: str, version: int = 1) -> DataFrame:
     """Parts as products. In snapshot 2 a tenth of the keys each has another
     price, another name, both, is absent, or has another modified date only, and
-    a tenth comes again under new keys; snapshot 3 is as 1."""
+    a tenth comes again under keys that no part has (`new_key_step` higher);
+    snapshot 3 is as 1."""
     p = read_parquet(spark, d, "part")
     k = F.col("p_partkey")
     out = p.select(
@@ -37,7 +38,7 @@ def product_source(spark: SparkSession, d: str, version: int = 1) -> DataFrame:
     )
     if version == 2:
         m = F.col("ProductID") % 10
-        more = out.where(m == 9).withColumn("ProductID", F.col("ProductID") + 1_000_000)
+        more = out.where(m == 9).withColumn("ProductID", F.col("ProductID") + new_key_step(p))
         out = out.where(m != 3).withColumns({
             "ListPrice": F.when(m.isin(0, 2), (F.col("ListPrice") * F.lit("1.1").cast("decimal(2,1)")).cast(MONEY)).otherwise(F.col("ListPrice")),
             "Name": F.when(m.isin(1, 2), F.concat("Name", F.lit(" v2"))).otherwise(F.col("Name")),
@@ -46,6 +47,18 @@ def product_source(spark: SparkSession, d: str, version: int = 1) -> DataFrame:
     return source(out, "product")
 
 
+def new_key_step(part: DataFrame) -> int:
+    """What is added to a part's key to make a new one: a million, or, where that
+    gives keys that are there (in tables of over a million parts), as many millions
+    as lead past all of them."""
+    keys = part.select("p_partkey")
+    made = keys.where(F.col("p_partkey") % 10 == 9).select(F.col("p_partkey") + 1_000_000)
+    if keys.intersect(made).isEmpty():
+        return 1_000_000
+    low, high = keys.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    return ((high - low) // 1_000_000 + 1) * 1_000_000
+
+
 def subcategories(spark: SparkSession, d: str) -> DataFrame:
     t = read_parquet(spark, d, "part").select("p_type").distinct()
     return source(t.select((F.ascii("p_type") * 100 + F.length("p_type")).alias("ProductSubcategoryID"), (F.length("p_type") % 3 + 1).alias("ProductCategoryID"), F.col("p_type").alias("Name")), "product_subcategory")
