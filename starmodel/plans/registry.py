@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -867,27 +868,28 @@ def i4_backdated_changes(spark, d):
     return _user_versions(dim)
 
 
-def _scrambled(spark: SparkSession, d: str, days: int, of, files: int = 5) -> str:
-    """Events in files that come one after the other; the events `of` some users may
-    be late by up to `days`, and some come twice."""
-    path = f"{shared_dir(spark)}/scrambled-{uuid.uuid4().hex}"
+def _scrambled(spark: SparkSession, d: str, days: int, of, batches: int = 5) -> Iterator[DataFrame]:
+    """Events in batches that come one after the other, with their number as `file`;
+    the events `of` some users may be late by up to `days`, and some come twice."""
     e = _table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     first, last = e.agg(F.unix_seconds(F.min("ts").cast("timestamp")), F.unix_seconds(F.max("ts").cast("timestamp"))).first()
     at = (F.unix_seconds(F.col("ts").cast("timestamp")) - first + F.when(of, F.pmod(F.xxhash64("event_id"), F.lit(days * 86400))).otherwise(0)) / (last - first + days * 86400 + 1)
-    for i in range(files):
-        number = F.floor(at * files)
+    for i in range(batches):
+        number = F.floor(at * batches)
         again = of & (F.col("event_id") % 20 == 3) & (number == i - 1)
-        e.where((number == i) | again).withColumn("file", F.lit(i)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        yield e.where((number == i) | again).withColumn("file", F.lit(i))
 
 
 def _late_stream(spark: SparkSession, d: str, days: int, late: str, of) -> tuple[DataFrame, DataFrame]:
-    """The history that a stream of scrambled events makes, and all of its events."""
+    """The history that a stream of scrambled events makes, and all of its events.
+    All tasks write a batch's files, which the stream takes before the next batch comes."""
     base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
-    source = _scrambled(spark, d, days, of)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    history = late_stream.late_history(stream, "user_id", "ts", "event_id", ["event_type"], late)
-    late_stream.write_late_history(history, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    source = f"{base}/in"
+    for rows in _scrambled(spark, d, days, of):
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        history = late_stream.late_history(stream, "user_id", "ts", "event_id", ["event_type"], late)
+        late_stream.write_late_history(history, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return late_stream.read_late_history(spark, f"{base}/out", "user_id", "event_type string"), spark.read.parquet(source)
 
 

@@ -107,3 +107,24 @@ def test_late_history(spark, tmp_path):
     assert kinds == {late_stream.SETTLED, late_stream.OPEN}
     log = spark.createDataFrame([(*r, n) for n, rows in enumerate(batches) for r in rows], SCHEMA + ", batch int")
     assert [r.k for r in late_stream.late_keys(log, "k", "ts", "batch", "10 hours").collect()] == [2]
+
+
+def test_groups_of_keys(spark, tmp_path):
+    """Keys that share a group keep to themselves: one settles when another gets changes."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    r = random.Random(5)
+    batches = [[(k, at(20 * n + r.randrange(25)), 1000 * n + 10 * k + j, r.choice("abc")) for k in range(n % 2, 40, 1 + n % 2) for j in range(3)] for n in range(4)]
+    source, out, base = f"{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint"
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        history = late_stream.late_history(spark.readStream.schema(SCHEMA).parquet(source), "k", "ts", "i", ["v"], "30 hours", groups=3)
+        late_stream.write_late_history(history, out, base).awaitTermination()
+    got = sorted((x.k, x.start, x.until or END, x.v) for x in late_stream.read_late_history(spark, out, "k", "v string").collect())
+    want = []
+    for k in range(40):
+        moved = []
+        for _, t, _, v in sorted(x for rows in batches for x in rows if x[0] == k):
+            if not moved or moved[-1][1] != v:
+                moved.append((t, v))
+        want += [(k, t, u, v) for (t, v), (u, _) in zip(moved, [*moved[1:], (END, None)])]
+    assert got == want
