@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starmodel.operators import fact, load, runlog, scd
-from starmodel.plans import shapes
+from starmodel.plans import registry, shapes
 from starmodel.sources import shared
 from starmodel.sources.schema import conform
 from starmodel.sources.store import SnapshotStore
@@ -71,3 +71,15 @@ def test_two_writers_have_versions_of_their_own(spark, tmp_path):
     one, two = (SnapshotStore(spark, f"file://{tmp_path}") for _ in range(2))
     assert one._claimed(f"file://{tmp_path}/t/v1.claim") and not two._claimed(f"file://{tmp_path}/t/v1.claim")
     assert two.write("t", spark.range(2)) == 2 and one.read("t").count() == 2
+
+
+def test_repeated_keys_stage_parts_once(spark, monkeypatch):
+    seen, run_load = [], load.run_load
+
+    def watched(store, spec, execution_id, source, extract, load_ts):
+        seen.append({f.rpartition("/")[2] for f in extract()[0].inputFiles()})
+        run_load(store, spec, execution_id, source, extract, load_ts)
+
+    monkeypatch.setattr(load, "run_load", watched)
+    assert registry.QUERIES["c1_repeated_keys"](spark, SMALL).count() == 8
+    assert len(seen) == 8 and not any("part.parquet" in files for files in seen)
