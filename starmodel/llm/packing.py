@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from starmodel.llm.common import materialize, numbered
 from starmodel.llm.tokens import byte_encoder, default_path
 
-#: Texts that are encoded together.
-ROWS = 4096
+#: Characters of texts that are encoded together, if these are several texts.
+CHARS = 2_000_000
 
 
 def group_lengths(counts: Counter, smallest: int, groups: int) -> list[list[tuple[int, int]]]:
@@ -194,6 +194,18 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, smallest: float) -
     return runs
 
 
+def _some(texts: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in order, as lists of at most so many characters or of one text."""
+    first = size = 0
+    for at, text in enumerate(texts):
+        if at > first and size + len(text) > most:
+            yield texts[first:at]
+            first, size = at, 0
+        size += len(text)
+    if texts:
+        yield texts[first:]
+
+
 def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
     """The pieces of each document's ids (with the end id): `doc_id`, `_row`,
     `piece`, `start`, `length`, `ids_crc32`. Documents longer than the capacity
@@ -204,9 +216,8 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str
         encoder = byte_encoder(path or default_path("byte_bpe_50k.json"))
         for pdf in batches:
             out: list[tuple] = []
-            texts = pdf["text"].tolist()
-            # some texts at a time, so that few ids are held at once
-            coded = (ids for at in range(0, len(texts), ROWS) for ids in encoder.encode_all(texts[at : at + ROWS]))
+            # some texts at a time, so that few ids are held at once, however long texts are
+            coded = (ids for texts in _some(pdf["text"].tolist(), CHARS) for ids in encoder.encode_all(texts))
             for doc, row, ids in zip(pdf["doc_id"], pdf["_row"], coded):
                 ids += end
                 n = len(ids) // 4

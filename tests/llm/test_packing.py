@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from starmodel.llm import packing
 from starmodel.llm.packing import configurations, pack, plan
 from starmodel.llm.tokens import ByteEncoder, default_path
 
@@ -133,3 +134,9 @@ def test_configurations_are_the_fewest():
     assert sum(t for _, t in got) == 175
     for i, want in enumerate([100, 200, 100]):
         assert sum(p.get(i, 0) * t for p, t in got) == want
+
+
+def test_few_characters_are_encoded_at_once():
+    texts = ["a" * 1_500_000, "", "b" * 400_000, "c" * 200_000, "d" * 5_000_000, "e"]
+    assert list(packing._some(texts, packing.CHARS)) == [texts[:3], texts[3:4], texts[4:5], texts[5:]]
+    assert list(packing._some([], packing.CHARS)) == []
