@@ -83,3 +83,17 @@ def test_repeated_keys_stage_parts_once(spark, monkeypatch):
     monkeypatch.setattr(load, "run_load", watched)
     assert registry.QUERIES["c1_repeated_keys"](spark, SMALL).count() == 8
     assert len(seen) == 8 and not any("part.parquet" in files for files in seen)
+
+
+def test_whole_fact_is_not_counted_by_grain(spark, tmp_path, monkeypatch):
+    store, detail_header, counted = SnapshotStore(spark, f"file://{tmp_path}"), shapes.order_sources(spark, SMALL), []
+    staged = shapes.staged_product(spark, SMALL, 1)
+    dim, _ = scd.apply_scd(scd.empty_dimension(staged, scd.PRODUCT), staged, scd.PRODUCT, dt.datetime(1990, 1, 1))
+    breaks = fact.grain_breaks
+    monkeypatch.setattr(fact, "grain_breaks", lambda *given: counted.append(1) or breaks(*given))
+    load.run_fact_load(store, 1, "lineitem", lambda: detail_header, dim, scd.PRODUCT)
+    assert not counted and store.read("sales").count() == detail_header[0].count()
+    twice = dim.union(dim.limit(3))
+    with pytest.raises(ValueError, match="several rows"):
+        load.run_fact_load(store, 2, "lineitem", lambda: detail_header, twice, scd.PRODUCT)
+    assert counted
