@@ -22,17 +22,21 @@ from pyspark.sql import functions as F
 from starmodel.llm.common import materialize, words
 from starmodel.llm.components import components
 
-#: Shingles are counted by the first 32 bits of their hash, in 256 segments; what is
-#: sent to all tasks is a byte for each 256 counters: 16 MB whatever the input.
-SEGMENTS, FOLD = 256, 256
+#: Shingles are counted by the first 32 bits of their hash, in 1024 segments of
+#: 16 MB; what is sent to all tasks is a byte for each 256 counters: 16 MB whatever the input.
+SEGMENTS, FOLD = 1024, 256
+#: Counters of a segment, and tasks that count.
+COUNTERS, COUNTING = (1 << 32) // SEGMENTS, 256
 #: Shingles that a task counts before it passes them on.
 CHUNK = 1 << 20
 #: Groups with a shingle in common that are put side by side in one task, in the mean.
 LIST = 512
 #: With how many likely partners a group is tried, in each round before the rest.
 LIKELY = (2, 1)
+#: While more pairs than so many for each set are left, each set is tried with a FEW first.
+MANY, FEW = 8, 3
 #: Words whose hashes a task keeps.
-KEPT = 1 << 20
+KEPT = 1 << 17
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -68,10 +72,10 @@ def shingles(text: str | None, size: int, known: _Words) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
-    """For each of SEGMENTS * 2^24 / FOLD ranges of hashes the binary logarithm of
+    """For each of 2^32 / FOLD ranges of hashes the binary logarithm of
     how many documents have the most frequent shingle in it, as bytes. Tasks pass
     sorted hashes on as differences, byte by byte, which takes two to three bytes
-    each; a segment is counted in 64 MB however many there are."""
+    each; a segment is counted in 16 MB however many there are."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, n = _Words(), [], 0
@@ -87,19 +91,20 @@ def frequencies(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarra
 
     def packed(held: list[np.ndarray]) -> pd.DataFrame:
         values = np.sort(np.concatenate(held))
-        cuts = np.searchsorted(values, np.arange(1, SEGMENTS, dtype=np.uint32) << np.uint32(24))
+        cuts = np.searchsorted(values, np.arange(1, SEGMENTS, dtype=np.uint32) * np.uint32(COUNTERS))
         parts = [(i, x) for i, x in enumerate(np.split(values, cuts)) if len(x)]
-        steps = [np.diff(x & np.uint32(0xFFFFFF), prepend=np.uint32(0)) for _, x in parts]
+        steps = [np.diff(x & np.uint32(COUNTERS - 1), prepend=np.uint32(0)) for _, x in parts]
         return pd.DataFrame({"segment": [i for i, _ in parts], "steps": [x.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() for x in steps]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment, counts = None, None
+        segment, counts = None, np.zeros(COUNTERS, np.uint32)
         for pdf in batches:
             for i, steps in zip(pdf["segment"].tolist(), pdf["steps"]):
                 if i != segment:
                     if segment is not None:
                         yield folded(segment, counts)
-                    segment, counts = i, np.zeros(1 << 24, np.uint32)
+                    segment = i
+                    counts[:] = 0
                 planes = np.frombuffer(steps, np.uint8).reshape(3, -1).astype(np.uint32)
                 values = np.cumsum(planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16), dtype=np.uint32)
                 where, n = np.unique(values, return_counts=True)
@@ -112,8 +117,8 @@ def frequencies(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarra
         return pd.DataFrame({"segment": [segment], "levels": [np.frexp(most.astype(float))[1].clip(1).astype(np.uint8).tobytes()]})
 
     given = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(pack, "segment int, steps binary")
-    out = np.ones((SEGMENTS, (1 << 24) // FOLD), np.uint8)
-    for r in given.repartition(SEGMENTS, "segment").sortWithinPartitions("segment").mapInPandas(count, "segment int, levels binary").collect():
+    out = np.ones((SEGMENTS, COUNTERS // FOLD), np.uint8)
+    for r in given.repartition(COUNTING, "segment").sortWithinPartitions("segment").mapInPandas(count, "segment int, levels binary").collect():
         out[r["segment"]] = np.frombuffer(r["levels"], np.uint8)
     return out.reshape(-1)
 
@@ -122,7 +127,7 @@ def describe(
     docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", more: dict[str, str] | None = None, of: Callable[[np.ndarray], tuple] = lambda hashes: ()
 ) -> DataFrame:
     """`id`, `mark` (64 bits of the text), `n` (distinct shingles), `whole` (128 bits
-    of the set), `prefix` (the first shingles in the common order: by frequency,
+    of the set), `key` (128 bits of `n` and `prefix`), `prefix` (the first shingles in the common order: by frequency,
     then hash), `parts` (in how many parts a shingle's list is cut), and columns
     `more` (name -> type), which `of` makes from a text's shingles."""
     from xxhash import xxh3_128_digest
@@ -133,7 +138,7 @@ def describe(
         known, levels = _Words(), sent.value
         shift = np.uint64(64 - (len(levels) - 1).bit_length())
         for pdf in batches:
-            wholes, ns, prefixes, parts, others = [], [], [], [], []
+            wholes, ns, keys, prefixes, parts, others = [], [], [], [], [], []
             for text in pdf["text"]:
                 found = shingles(text, size, known)
                 n = len(found)
@@ -141,15 +146,16 @@ def describe(
                 first = np.argsort(level, kind="stable")[: n - -(-percent * n // 100) + 1]
                 wholes.append(xxh3_128_digest(found.tobytes()))
                 ns.append(n)
+                keys.append(xxh3_128_digest(n.to_bytes(8) + found[first].tobytes()))
                 prefixes.append(found[first].view(np.int64))
                 parts.append(np.maximum(1 << level[first].astype(np.int64), LIST) // LIST)
                 others.append(of(found))
-            made = {"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "n": np.array(ns, np.int64), "whole": wholes, "prefix": prefixes, "parts": [p.astype(np.int32) for p in parts]}
+            made = {"id": pdf["id"].astype("Int64"), "mark": pdf["mark"], "n": np.array(ns, np.int64), "whole": wholes, "key": keys, "prefix": prefixes, "parts": [p.astype(np.int32) for p in parts]}
             yield pd.DataFrame(made | {c: [x[i] for x in others] for i, c in enumerate(more or {})})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    return given.mapInPandas(run, ", ".join(["id long, mark long, n long, whole binary, prefix array<long>, parts array<int>", *[f"{c} {t}" for c, t in (more or {}).items()]]))
+    return given.mapInPandas(run, ", ".join(["id long, mark long, n long, whole binary, key binary, prefix array<long>, parts array<int>", *[f"{c} {t}" for c, t in (more or {}).items()]]))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -162,9 +168,10 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _postings(groups: DataFrame) -> DataFrame:
-    """One row for each shingle of a group's prefix: `token`, `parts`, `e` (n, pos, gid)."""
-    each = groups.select("gid", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
-    return each.select(F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"), F.struct(F.col("n"), F.col("pos").cast("long").alias("pos"), F.col("gid")).alias("e"))
+    """One row for each shingle of a group's prefix: `token`, `parts`, `n`, `pos`, `no`
+    (numbers take far less than `gid`, as most of these rows are shuffled and left out)."""
+    each = groups.select("no", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
+    return each.select(F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"), "n", "pos", "no")
 
 
 def _likely(lists: DataFrame, roots: DataFrame | None, percent: int, most: int) -> DataFrame:
@@ -192,7 +199,7 @@ def _could_link(pairs: DataFrame, groups: DataFrame, a: str, b: str, percent: in
     their prefixes is no more than the longer rest."""
     # written, so that Spark knows where they are few, and doesn't shuffle all prefixes
     pairs = materialize(pairs, "jaccard-pairs")
-    used = materialize(pairs.select(F.explode(F.array(a, b)).alias("gid")).distinct(), "jaccard-pairs")
+    used = materialize(_sets(pairs, a, b).withColumnRenamed(a, "gid"), "jaccard-pairs")
     few = materialize(groups.select("gid", "n", "prefix").join(used, "gid", "left_semi"), "jaccard-pairs")
     of = lambda g: few.select(F.col("gid").alias(g), F.struct("n", "prefix").alias(f"_{g}"))
     there = pairs.join(of(a), a).join(of(b), b)
@@ -231,7 +238,7 @@ class _Texts:
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """`whole`, `text` (of the row with the smallest id) of the sets in `pairs`, and maybe of others."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+        used = _sets(pairs).withColumnRenamed("a", "whole")
         if self.there is not None:
             used = used.join(self.there.select("whole"), "whole", "left_anti")
         first = self.described.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("x")).join(used, "whole").select("whole", "x.id", "x.mark")
@@ -273,20 +280,39 @@ def _apart(lists: DataFrame, groups: DataFrame, members: DataFrame, roots: DataF
     return expanded.select(F.least("wx", "wy").alias("a"), F.greatest("wx", "wy").alias("b")).distinct()
 
 
+def _sets(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    return pairs.select(a).distinct().union(pairs.select(b).distinct()).distinct()
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """For each set that is first or second in `pairs` a FEW of them, by a hash."""
+    at = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.xxhash64("a", "b"), "a", "b"))
+    return pairs.withColumn("_a", at("a")).withColumn("_b", at("b")).where((F.col("_a") <= FEW) | (F.col("_b") <= FEW)).select("a", "b")
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs that `roots` has not joined."""
+    of = lambda c: roots.select(F.col("whole").alias(c), F.col("root").alias(f"_{c}"))
+    there = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return there.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text", proposed: DataFrame | None = None) -> DataFrame:
     """Links `a`, `b` between sets (`whole`) of `described` that are alike: a path of
     links joins any two sets that are, though not every link is returned.
     `proposed` (`a`, `b`, the smaller first) are pairs to compare before all others."""
-    groups = described.where("n > 0").groupBy("n", "prefix").agg(F.min("whole").alias("gid"), (F.min("whole") != F.max("whole")).alias("many"), F.first("parts").alias("parts"))
-    groups = materialize(groups, "jaccard-groups")
-    members = groups.where("many").select("n", "prefix", "gid").join(described.select("n", "prefix", "whole").distinct(), ["n", "prefix"]).select("gid", "whole")
+    groups = described.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.min("whole").alias("gid"), (F.min("whole") != F.max("whole")).alias("many"))
+    groups = materialize(groups.withColumn("no", F.monotonically_increasing_id()), "jaccard-groups")
+    members = groups.where("many").select("key", "gid").join(described.where("n > 0").select("key", "whole").distinct(), "key").select("gid", "whole")
     members = materialize(members, "jaccard-members")
-    part = F.pmod(F.xxhash64("e.gid"), F.col("parts"))
+    part = F.pmod(F.xxhash64("no"), F.col("parts"))
     lists = _postings(groups).withColumn("part", part).withColumn("_n", F.count("*").over(Window.partitionBy("token", "part")))
-    lists = materialize(lists.where("_n > 1 OR parts > 1").select("token", "part", "e", "_n"), "jaccard-shared")
-    degree = lists.groupBy(F.col("e.gid").alias("gid")).agg(F.sum("_n").alias("degree"))
-    degree = materialize(degree, "jaccard-degree")
-    lists = materialize(lists.join(degree, F.col("e.gid") == F.col("gid")).select("token", "part", "e", "degree"), "jaccard-lists")
+    lists = materialize(lists.where("_n > 1 OR parts > 1").select("token", "part", "n", "pos", "no", "_n"), "jaccard-shared")
+    degree = materialize(lists.groupBy("no").agg(F.sum("_n").alias("degree")), "jaccard-degree")
+    # few groups have a shingle in common with others; from here on only they are read
+    groups = materialize(groups.join(degree, "no").select("no", "gid", "n", "prefix", "degree"), "jaccard-sharing")
+    e = F.struct("n", F.col("pos").cast("long").alias("pos"), "gid").alias("e")
+    lists = materialize(lists.join(groups.select("no", "gid", "degree"), "no").select("token", "part", e, "degree"), "jaccard-lists")
     texts, links, roots, tried = _Texts(docs, described, id_col, text_col), None, None, None
     for most in (*([0] if proposed is not None else []), *LIKELY):
         pairs = _could_link(_likely(lists, roots, percent, most), groups, "a", "b", percent) if most else proposed
@@ -302,7 +328,15 @@ def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int
         if most and found.isEmpty():
             break
     rest = materialize(_apart(lists, groups, members, roots, percent).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
+    while (n := rest.count()) > MANY * _sets(rest).count():
+        few = materialize(_few(rest), "jaccard-tried")
+        found = materialize(_verified(few, texts.of(few), size, percent), "jaccard-links")
+        links = links.union(found)
+        roots = _roots(links)
+        rest = materialize(_still_apart(rest.join(few, ["a", "b"], "left_anti"), roots), "jaccard-rest")
+        if found.isEmpty():
+            break
+    if n:
         links = links.union(materialize(_verified(rest, texts.of(rest), size, percent), "jaccard-links"))
     return links
 

@@ -17,6 +17,8 @@ from starmodel.llm.tokens import byte_encoder, default_path
 
 #: Characters of texts that are encoded together, if these are several texts.
 CHARS = 2_000_000
+#: Chunks whose ids a task remembers.
+CHUNKS = 250_000
 
 
 def group_lengths(counts: Counter, smallest: int, groups: int) -> list[list[tuple[int, int]]]:
@@ -213,7 +215,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_encoder(path or default_path("byte_bpe_50k.json"))
+        encoder = byte_encoder(path or default_path("byte_bpe_50k.json"), CHUNKS)
         for pdf in batches:
             out: list[tuple] = []
             # some texts at a time, so that few ids are held at once, however long texts are

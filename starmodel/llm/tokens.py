@@ -194,9 +194,9 @@ class ByteEncoder:
 
 
 @lru_cache(maxsize=2)
-def byte_encoder(path: str) -> ByteEncoder:
+def byte_encoder(path: str, most: int = 600_000) -> ByteEncoder:
     """One encoder a Python worker, kept between its tasks."""
-    return ByteEncoder(path)
+    return ByteEncoder(path, most)
 
 
 def default_path(name: str) -> str:
