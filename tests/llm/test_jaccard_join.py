@@ -101,3 +101,31 @@ def test_templates_are_no_candidates(spark):
     finally:
         jaccard_join._verified = plain
     assert sum(tried) == 0
+
+
+def test_few_of_many_pairs(spark):
+    """Of all pairs of 60 sets a few for each; pairs that are joined are left out."""
+    given = [(bytes([i]), bytes([j])) for i in range(60) for j in range(i + 1, 60)]
+    pairs = spark.createDataFrame(given, "a binary, b binary")
+    few = [(bytes(r.a), bytes(r.b)) for r in jaccard_join._few(pairs).collect()]
+    assert set(few) <= set(given) and len(few) == len(set(few)) <= 2 * jaccard_join.FEW * 60
+    assert {x for p in few for x in p} == {bytes([i]) for i in range(60)}
+    roots = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(58)], "whole binary, root binary")
+    left = {(bytes(r.a), bytes(r.b)) for r in jaccard_join._still_apart(pairs, roots).collect()}
+    assert left == {p for p in given if p[1] >= bytes([58])}
+
+
+def test_shingles_are_counted_in_small_tables(spark):
+    """Counts of all documents, whatever segment a shingle's hash is in."""
+    assert jaccard_join.COUNTERS * 4 <= 16 << 20
+    texts = [" ".join(f"w{(i * 7 + k) % 90}" for k in range(12)) for i in range(200)]
+    levels = jaccard_join.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 5)
+    counts = {}
+    for t in texts:
+        for h in jaccard_join.shingles(t, 5, jaccard_join._Words()).tolist():
+            counts[h >> 32] = counts.get(h >> 32, 0) + 1
+    most = {}
+    for h, n in counts.items():
+        most[h // jaccard_join.FOLD] = max(n, most.get(h // jaccard_join.FOLD, 1))
+    assert len(levels) == (1 << 32) // jaccard_join.FOLD
+    assert all(levels[at] == n.bit_length() for at, n in most.items()) and int((levels != 1).sum()) == sum(n > 1 for n in most.values())
