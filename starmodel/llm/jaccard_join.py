@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starmodel.llm.common import materialize, words
+from starmodel.llm.common import materialize, sift, small, words
 from starmodel.llm.components import components
 
 #: Shingles are counted by the first 32 bits of their hash, in 1024 segments of
@@ -181,7 +181,7 @@ def _likely(lists: DataFrame, roots: DataFrame | None, percent: int, most: int)
     joined with; for each group the `most` that it shares the most with."""
     rooted = lists.withColumn("root", F.col("e.gid"))
     if roots is not None:
-        found = roots.withColumnRenamed("root", "_root")
+        found = small(roots.withColumnRenamed("root", "_root"))
         rooted = lists.join(found, F.col("e.gid") == F.col("whole"), "left").withColumn("root", F.coalesce("_root", "e.gid"))
     side = Window.partitionBy("token", "part")
     order = side.orderBy(F.desc("degree"), "e").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -199,8 +199,7 @@ def _could_link(pairs: DataFrame, groups: DataFrame, a: str, b: str, percent: in
     their prefixes is no more than the longer rest."""
     # written, so that Spark knows where they are few, and doesn't shuffle all prefixes
     pairs = materialize(pairs, "jaccard-pairs")
-    used = materialize(_sets(pairs, a, b).withColumnRenamed(a, "gid"), "jaccard-pairs")
-    few = materialize(groups.select("gid", "n", "prefix").join(used, "gid", "left_semi"), "jaccard-pairs")
+    few = materialize(sift(groups.select("gid", "n", "prefix"), "gid", _sets(pairs, a, b).withColumnRenamed(a, "gid")), "jaccard-pairs")
     of = lambda g: few.select(F.col("gid").alias(g), F.struct("n", "prefix").alias(f"_{g}"))
     there = pairs.join(of(a), a).join(of(b), b)
     x, y = f"_{a}", f"_{b}"
@@ -232,21 +231,23 @@ class _Texts:
     """The texts of sets that are compared, fetched when they are needed first."""
 
     def __init__(self, docs: DataFrame, described: DataFrame, id_col: str, text_col: str) -> None:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        self.rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("text"))
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         self.described, self.there = described, None
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """`whole`, `text` (of the row with the smallest id) of the sets in `pairs`, and maybe of others."""
-        used = _sets(pairs).withColumnRenamed("a", "whole")
-        if self.there is not None:
-            used = used.join(self.there.select("whole"), "whole", "left_anti")
-        first = self.described.groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("x")).join(used, "whole").select("whole", "x.id", "x.mark")
+        used = materialize(_sets(pairs).withColumnRenamed("a", "whole"), "jaccard-used")
+        new = used if self.there is None else materialize(used.join(self.there.select("whole"), "whole", "left_anti"), "jaccard-used")
+        first = sift(self.described, "whole", new).groupBy("whole").agg(F.min(F.struct("id", "mark")).alias("x")).join(new, "whole").select("whole", F.col("x.id").alias("id"), F.col("x.mark").alias("_mark"))
         first = materialize(first, "jaccard-used")
-        same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))
-        more = materialize(self.rows.join(first, same).select("whole", "text").dropDuplicates(["whole"]), "jaccard-texts")
-        self.there = more if self.there is None else self.there.union(more)
-        return self.there
+        rows = sift(self.rows, "id", first).withColumn("mark", F.xxhash64("text")).withColumnRenamed("id", "_id")  # not all texts are shuffled
+        same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("_mark"))
+        more = materialize(rows.join(small(first), same).select("whole", "text").dropDuplicates(["whole"]), "jaccard-texts")
+        if self.there is None:
+            self.there = more
+            return more
+        self.there = self.there.union(more)
+        return sift(self.there, "whole", used)
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -258,12 +259,16 @@ def _apart(lists: DataFrame, groups: DataFrame, members: DataFrame, roots: DataF
 
     Members of a group with the same root stay together: (group, root) is what is
     paired. In each shingle's list those with its most frequent root are paired
-    only with the others, never with each other."""
+    only with the others, never with each other. Members of one group that are
+    apart are paired whether or not another group shares a shingle with them."""
     entries = members.join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     alone = lists.select(F.col("e.gid").alias("gid")).distinct().join(members.select("gid").distinct(), "gid", "left_anti")
     alone = alone.join(roots, F.col("gid") == F.col("whole"), "left").select("gid", F.coalesce("root", "gid").alias("root"), F.col("gid").alias("whole"))
     entries = materialize(entries.select("gid", "root", "whole").unionByName(alone), "jaccard-entries")
-    rooted = lists.select("token", "e", F.col("e.gid").alias("gid")).join(entries.select("gid", "root").distinct(), "gid").select("token", "e", "root")
+    rooted = lists.select("token", "e", F.col("e.gid").alias("gid")).join(small(materialize(entries.select("gid", "root").distinct(), "jaccard-of")), "gid").select("token", "e", "root")
+    rooted = materialize(rooted, "jaccard-rooted")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    rooted = sift(rooted, "token", materialize(mixed, "jaccard-mixed"))  # few rows have such a token
     n = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
     main = n.groupBy("token").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
     main = materialize(main, "jaccard-main")  # few tokens
@@ -273,13 +278,22 @@ def _apart(lists: DataFrame, groups: DataFrame, members: DataFrame, roots: DataF
     once = F.col("is_main") | (F.struct("ex", "rx") < F.struct("ey", "ry"))
     smaller = F.col("ex") <= F.col("ey")
     fits = F.when(smaller, _may_link("ex", "ey", percent)).otherwise(_may_link("ey", "ex", percent))
-    found = x.join(y, "token").where((F.col("rx") != F.col("ry")) & once & fits).select(F.col("ex.gid").alias("gx"), "rx", F.col("ey.gid").alias("gy"), "ry").distinct()
+    found = x.join(y, "token").where((F.col("rx") != F.col("ry")) & (F.col("ex.gid") != F.col("ey.gid")) & once & fits).select(F.col("ex.gid").alias("gx"), "rx", F.col("ey.gid").alias("gy"), "ry").distinct()
     of = lambda g, r, w: entries.select(F.col("gid").alias(g), F.col("root").alias(r), F.col("whole").alias(w))
-    found = _could_link(found, groups, "gx", "gy", percent)
+    found = _could_link(found, groups, "gx", "gy", percent).unionByName(_within(members, entries))
     expanded = found.join(of("gx", "rx", "wx"), ["gx", "rx"]).join(of("gy", "ry", "wy"), ["gy", "ry"])
     return expanded.select(F.least("wx", "wy").alias("a"), F.greatest("wx", "wy").alias("b")).distinct()
 
 
+def _within(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs `gx`, `rx`, `gy`, `ry` of parts with different roots of the same group."""
+    inner = sift(entries.select("gid", "root"), "gid", members).distinct()
+    apart = inner.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gid")
+    inner = inner.join(apart, "gid")
+    x, y = (inner.select("gid", F.col("root").alias(r)) for r in ("rx", "ry"))
+    return x.join(y, "gid").where("rx < ry").select(F.col("gid").alias("gx"), "rx", F.col("gid").alias("gy"), "ry")
+
+
 def _sets(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(a).distinct().union(pairs.select(b).distinct()).distinct()
 
@@ -303,7 +317,8 @@ def jaccard_links(docs: DataFrame, described: DataFrame, size: int, percent: int
     `proposed` (`a`, `b`, the smaller first) are pairs to compare before all others."""
     groups = described.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"), F.min("whole").alias("gid"), (F.min("whole") != F.max("whole")).alias("many"))
     groups = materialize(groups.withColumn("no", F.monotonically_increasing_id()), "jaccard-groups")
-    members = groups.where("many").select("key", "gid").join(described.where("n > 0").select("key", "whole").distinct(), "key").select("gid", "whole")
+    many = groups.where("many").select("key", "gid")
+    members = many.join(sift(described.where("n > 0").select("key", "whole"), "key", many).distinct(), "key").select("gid", "whole")
     members = materialize(members, "jaccard-members")
     part = F.pmod(F.xxhash64("no"), F.col("parts"))
     lists = _postings(groups).withColumn("part", part).withColumn("_n", F.count("*").over(Window.partitionBy("token", "part")))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from starmodel.llm import jaccard_join
+from starmodel.llm import common, jaccard_join
 from starmodel.llm.common import words
 from starmodel.llm.jaccard_join import jaccard_groups
 
@@ -103,6 +103,37 @@ def test_templates_are_no_candidates(spark):
     assert sum(tried) == 0
 
 
+def test_members_of_a_group_without_its_first(spark):
+    """Three texts with the same prefix, which no other text shares; two are alike,
+    and the third may be the first of the group."""
+    given = []
+    for k in range(8):
+        own, at = [f"p{k}x{i}" for i in range(80)], [f"s{k}w{i}" for i in range(4)]
+        tails = [at + [f"q{k}b{b}w{i}" for i in range(20)] for b in range(2)]
+        tails.append(tails[1][:-4] + [f"q{k}b2w{i}" for i in range(4)])
+        given += [" ".join(own + tail) for tail in tails]
+        # more frequent than the rest, so that no tail is in a prefix
+        given += [" ".join([f"o{k}c{c}t{t}y{i}" for i in range(60)] + tail) for t, tail in enumerate(tails) for c in range(8)]
+    given = list(enumerate(given))
+    assert run(spark, given) == brute(given)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_few_texts_are_sifted_out(spark, monkeypatch, most):
+    """Rows that are used come through, with null keys among them, and hardly any
+    others; the rest is exactly what is left. Joins are the same by shuffles."""
+    ids = [*range(5000), None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string")
+    used = spark.createDataFrame([(i,) for i in (7, 11, 4999, None, 90_000)], "id long")
+    got = {r.id for r in common.sift(docs, "id", used).collect()}
+    assert got >= {7, 11, 4999, None} and len(got) < 20
+    assert {r.id for r in common.sift(docs, "id", used, "left_anti").collect()} == set(ids) - got
+    assert common.sift(docs, "id", used).columns == ["id", "text"]
+    monkeypatch.setattr(common, "SMALL", most)
+    given = corpus(5, 120)
+    assert run(spark, given) == brute(given)
+
+
 def test_few_of_many_pairs(spark):
     """Of all pairs of 60 sets a few for each; pairs that are joined are left out."""
     given = [(bytes([i]), bytes([j])) for i in range(60) for j in range(i + 1, 60)]
