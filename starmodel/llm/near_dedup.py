@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmodel.llm import jaccard_join
-from starmodel.llm.common import materialize, unpacked, whole_row
+from starmodel.llm.common import materialize, sift, unpacked, whole_row
 from starmodel.llm.components import components
 from starmodel.llm.simhash import BKTree, fingerprint
 
@@ -145,8 +145,13 @@ def first_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_co
     grouped, _ = near_classes(docs, size, similarity, id_col, text_col)
     grouped = materialize(grouped, "near-grouped")
     order = F.struct(F.col("id").isNull(), "id", "mark")
-    stay = grouped.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.id").alias("_keep_id"), F.col("s.mark").alias("_keep_mark"))
+    stay = materialize(grouped.groupBy("root").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1").select("root", "s"), "near-stay")
+    stays = F.col("id").eqNullSafe(F.col("s.id")) & (F.col("mark") == F.col("s.mark"))
+    gone = materialize(sift(grouped, "root", stay).join(stay, "root").where(~stays).select(F.col("id").alias("_id"), F.col("mark").alias("_gone")), "near-gone")
     marked = docs.select(whole_row(docs).alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark"))
-    out = marked.join(stay, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_mark") == F.col("_keep_mark")), "left_semi")
+    # few rows go, and only those that may be among them are shuffled
+    there = gone.withColumnRenamed("_id", "_gone_id")
+    unsure = sift(marked, "_id", gone).join(there, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone")), "left_anti")
+    out = sift(marked, "_id", gone, "left_anti").unionByName(unsure)
     repeated = grouped.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return (out.dropDuplicates(["_id", "_mark"]) if repeated else out).select(*unpacked(docs))
