@@ -72,3 +72,19 @@ def test_as_of_is_the_join(spark):
         assert small.columns == large.columns
         assert rows(large, "i", "key", "v") == rows(small, "i", "key", "v") and large.count() == 303
     assert ordered.as_of(facts, "id", "at", dim, "id", scd.START, "v", parts=6).where("v = 'b'").count() > 0
+
+
+@pytest.mark.parametrize("many", [64, 1])
+def test_lookup_gives_the_same_rows_whatever_the_size(spark, monkeypatch, many):
+    monkeypatch.setattr(lookup, "MANY", many)
+    spec = scd.DimensionSpec("d", "id", "key", type2=("v",))
+    day = lambda n: T0 + dt.timedelta(days=n)
+    end = dt.datetime.fromisoformat(scd.OPEN_END)
+    versions = [(1, "a", day(0), day(7)), (1, "b", day(5), day(9)), (1, "c", day(6), end), (2, "x", day(3), day(6)), (2, "y", day(6), end), (3, "z", day(2), end), (3, "e", day(4), day(4))]  # 1 overlaps, 3 has an empty one
+    dim = spark.createDataFrame([(n, i, v, s, e, e == end) for n, (i, v, s, e) in enumerate(versions, 1)], "key long, id long, v string, EffectiveStartDateTime timestamp_ntz, EffectiveEndDateTime timestamp_ntz, IsCurrent boolean")
+    r = random.Random(4)
+    facts = [(i, r.choice([1, 1, 2, 3, 4, None]), r.choice([None, *[day(n) for n in range(-1, 12)]])) for i in range(200)]
+    facts = spark.createDataFrame(facts, "i long, id long, at timestamp_ntz")
+    small, large = (lookup.lookup_key(facts, dim, spec, "id", "at", attributes=("v",), small=n) for n in (1 << 30, 0))
+    assert small.columns == large.columns and small.count() > 200
+    assert rows(large, "i", "id", "at", "key", "v") == rows(small, "i", "id", "at", "key", "v")
