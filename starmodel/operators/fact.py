@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +26,26 @@ def with_measures(lines: DataFrame) -> DataFrame:
     return out.withColumn("GrossProfit", (F.col("NetAmount") - F.col("TotalCost")).cast(MONEY))
 
 
-def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown", guard: bool = False) -> DataFrame:
+def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown", guard: bool = False, attributes: Sequence[str] = ()) -> DataFrame:
     """Order lines with the keys of the versions that were valid at the order
     date, the keys of the order, due and ship dates, and measures. `dims` names
     further dimensions: column of the key in the fact -> (dimension,
-    specification, column of the business key). Order and line ids stay. Lines
+    specification, column of the business key); where the header has that column,
+    keys are looked up for it, before its lines are joined. `attributes` of the
+    product's version come along at the end. Order and line ids stay. Lines
     without a header are left out here; `line_rejects` returns them. With `guard`
     it is an error if a line of the source has become several, which versions
     that overlap would do; the check is a pass over the keys."""
-    lines = detail.join(header, "SalesOrderID")
-    lines = lookup_key(lines, product_dim, product, "ProductID", "OrderDate", before_first=before_first, attributes=("StandardCost",))
-    keys = [product.surrogate_key]
+    keys, late = [product.surrogate_key, *(dims or {})], {}
     for column, (dim, spec, key) in (dims or {}).items():
+        if key in header.columns and "OrderDate" in header.columns:
+            header = lookup_key(header, dim, spec, key, "OrderDate", column, before_first)
+        else:
+            late[column] = dim, spec, key
+    lines = detail.join(header, "SalesOrderID")
+    for column, (dim, spec, key) in late.items():
         lines = lookup_key(lines, dim, spec, key, "OrderDate", column, before_first)
-        keys.append(column)
+    lines = lookup_key(lines, product_dim, product, "ProductID", "OrderDate", before_first=before_first, attributes=("StandardCost", *attributes))
     for role in ("OrderDate", "DueDate", "ShipDate"):
         if role in lines.columns:
             lines = lines.withColumn(f"{role}Key", role_date_key(role))
@@ -49,7 +55,7 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
         more = grain_breaks(out.select(*GRAIN), detail).count()
         if more:
             raise ValueError(f"{more} order lines have become several rows")
-    return out.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit")
+    return out.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit", *attributes)
 
 
 def grain_breaks(fact: DataFrame, detail: DataFrame) -> DataFrame:
@@ -75,11 +81,13 @@ def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "Sales
 NO_MONTH = "none"
 
 
-def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None, note: str = "") -> int:
+def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None, note: str | Callable[[DataFrame], str] = "") -> int:
     """Publishes the fact in parts by order month, for pruned reads, and switches
     readers to it when it is complete: who reads meanwhile sees what was there
     before. With `months` (yyyy-MM) `fact` has all lines of those months only, as
-    after late changes; the files of all other months stay as they are."""
+    after late changes; the files of all other months stay as they are. A
+    `note` that is a function sees the rows when they are written; where it raises an
+    error, readers are not switched."""
     rows = fact.withColumn("OrderMonth", F.coalesce(F.date_format("OrderDate", "yyyy-MM"), F.lit(NO_MONTH)))
     if months is not None:
         rows = rows.where(F.col("OrderMonth").isin(*months))

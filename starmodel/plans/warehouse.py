@@ -56,14 +56,14 @@ def territory_dim(spark: SparkSession, d: str) -> DataFrame:
     return _load(spark, d, scd.TERRITORY, lambda v: shapes.staged_territory(spark, d)[0], 1)[0]
 
 
-def sales_fact(spark: SparkSession, d: str, dim: DataFrame | None = None, before_first: str = "unknown") -> DataFrame:
+def sales_fact(spark: SparkSession, d: str, dim: DataFrame | None = None, before_first: str = "unknown", attributes: tuple[str, ...] = ()) -> DataFrame:
     detail, header = shapes.order_sources(spark, d)
     dim = product_dim(spark, d)[1] if dim is None else dim
     others = {
         "CustomerKey": (customer_dim(spark, d), scd.CUSTOMER, "CustomerID"), "SalesPersonKey": (salesperson_dim(spark, d), scd.SALESPERSON, "SalesPersonID"),
         "TerritoryKey": (territory_dim(spark, d), scd.TERRITORY, "TerritoryID"),
     }
-    return fact.load_fact(detail, header, dim, scd.PRODUCT, others, before_first)
+    return fact.load_fact(detail, header, dim, scd.PRODUCT, others, before_first, attributes=attributes)
 
 
 # The same in SQL.
