@@ -26,7 +26,7 @@ def with_measures(lines: DataFrame) -> DataFrame:
     return out.withColumn("GrossProfit", (F.col("NetAmount") - F.col("TotalCost")).cast(MONEY))
 
 
-def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown", guard: bool = False, attributes: Sequence[str] = ()) -> DataFrame:
+def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, product: DimensionSpec, dims: dict[str, tuple[DataFrame, DimensionSpec, str]] | None = None, before_first: str = "unknown", guard: bool = False, attributes: Sequence[str] = (), measures: bool = True) -> DataFrame:
     """Order lines with the keys of the versions that were valid at the order
     date, the keys of the order, due and ship dates, and measures. `dims` names
     further dimensions: column of the key in the fact -> (dimension,
@@ -35,7 +35,8 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
     product's version come along at the end. Order and line ids stay. Lines
     without a header are left out here; `line_rejects` returns them. With `guard`
     it is an error if a line of the source has become several, which versions
-    that overlap would do; the check is a pass over the keys."""
+    that overlap would do; the check is a pass over the keys. Without `measures`
+    `finished` has to add them yet."""
     keys, late = [product.surrogate_key, *(dims or {})], {}
     for column, (dim, spec, key) in (dims or {}).items():
         if key in header.columns and "OrderDate" in header.columns:
@@ -50,12 +51,19 @@ def load_fact(detail: DataFrame, header: DataFrame, product_dim: DataFrame, prod
         if role in lines.columns:
             lines = lines.withColumn(f"{role}Key", role_date_key(role))
             keys.append(f"{role}Key")
-    out = with_measures(lines)
     if guard:
-        more = grain_breaks(out.select(*GRAIN), detail).count()
+        more = grain_breaks(lines.select(*GRAIN), detail).count()
         if more:
             raise ValueError(f"{more} order lines have become several rows")
-    return out.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit", *attributes)
+    out = lines.select(*GRAIN, *keys, "OrderDate", "OrderQty", "UnitPrice", "UnitPriceDiscount", "StandardCost", *attributes)
+    return finished(out) if measures else out
+
+
+def finished(lines: DataFrame) -> DataFrame:
+    """What `load_fact` returns without measures, with them."""
+    at = lines.columns.index("UnitPriceDiscount") + 1
+    rest = [c for c in lines.columns[at:] if c != "StandardCost"]
+    return with_measures(lines).select(*lines.columns[:at], "GrossAmount", "DiscountAmount", "NetAmount", "StandardCost", "TotalCost", "GrossProfit", *rest)
 
 
 def grain_breaks(fact: DataFrame, detail: DataFrame) -> DataFrame:
@@ -81,14 +89,15 @@ def header_totals(lines: DataFrame, measures: tuple[str, ...], key: str = "Sales
 NO_MONTH = "none"
 
 
-def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None, note: str | Callable[[DataFrame], str] = "") -> int:
+def publish(store: SnapshotStore, table: str, fact: DataFrame, months: Sequence[str] | None = None, note: str | Callable[[DataFrame], str] = "", finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
     """Publishes the fact in parts by order month, for pruned reads, and switches
     readers to it when it is complete: who reads meanwhile sees what was there
     before. With `months` (yyyy-MM) `fact` has all lines of those months only, as
     after late changes; the files of all other months stay as they are. A
     `note` that is a function sees the rows when they are written; where it raises an
-    error, readers are not switched."""
+    error, readers are not switched. `finish` adds what is made of a row alone when
+    rows have been brought together by month."""
     rows = fact.withColumn("OrderMonth", F.coalesce(F.date_format("OrderDate", "yyyy-MM"), F.lit(NO_MONTH)))
     if months is not None:
         rows = rows.where(F.col("OrderMonth").isin(*months))
-    return store.write_parts(table, rows, "OrderMonth", months, note)
+    return store.write_parts(table, rows, "OrderMonth", months, note, finish)

@@ -58,9 +58,9 @@ def run_fact_load(
 ) -> None:
     """Loads and publishes the sales fact with the lines and headers that `extract`
     returns, in the steps of `run_load`: lines without a header are stored as
-    rejects, the lines with their keys and measures are written once, it is an
+    rejects, the lines with their keys and measures are written once, by month; it is an
     error if one has become several (lines are counted one by one only where there
-    are more rows than lines with a header), and the months are switched to together, under
+    are more rows than lines with a header), else the months are switched to together, under
     the run's id. A failed run leaves what was published as it was."""
     with logged(store, execution_id, f"load {table}", source, table, now) as run:
         if run is None:
@@ -70,13 +70,17 @@ def run_fact_load(
             given, watch = Observation(), Observation()
             detail = materialize(detail.observe(given, F.count("*").alias("n")), "lines")
             rejected = store_rejects(store, execution_id, table, fact.line_rejects(detail, header))
-            lines = materialize(fact.load_fact(detail, header, product_dim, product, dims, **options).observe(watch, F.count("*").alias("n")), "fact")
-            n = watch.get["n"]
-            # each line with a header is at least one row, so equal counts leave none that is several
-            if n != given.get["n"] - rejected and (more := fact.grain_breaks(lines.select(*fact.GRAIN), detail).count()):
-                raise ValueError(f"{more} order lines have become several rows")
-            run.update(read=n + rejected, inserted=n, updated=0, rejected=rejected)
-            fact.publish(store, table, lines, note=json.dumps({"run": execution_id} | run))
+            lines = fact.load_fact(detail, header, product_dim, product, dims, measures=False, **options)
+
+            def note(written: DataFrame) -> str:
+                n = watch.get["n"]
+                # each line with a header is at least one row, so equal counts leave none that is several
+                if n != given.get["n"] - rejected and (more := fact.grain_breaks(written.select(*fact.GRAIN), detail).count()):
+                    raise ValueError(f"{more} order lines have become several rows")
+                run.update(read=n + rejected, inserted=n, updated=0, rejected=rejected)
+                return json.dumps({"run": execution_id} | run)
+
+            fact.publish(store, table, lines, note=note, finish=lambda rows: fact.finished(rows).observe(watch, F.count("*").alias("n")))
 
 
 @contextmanager

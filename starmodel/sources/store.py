@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -48,19 +48,29 @@ class SnapshotStore:
         self._mark(table, version, {"note": note, "schema": df.schema.jsonValue()})
         return version
 
-    def write_parts(self, table: str, df: DataFrame, by: str, replace: Iterable[str] | None = None, note: str = "", **more) -> int:
+    def write_parts(self, table: str, df: DataFrame, by: str, replace: Iterable[str] | None = None, note: str | Callable[[DataFrame], str] = "", finish: Callable[[DataFrame], DataFrame] = lambda rows: rows, **more) -> int:
         """Writes rows in parts, one for each value of column `by` (a string, not
         null), and switches to a version in which the parts named in `replace` have
         these rows only (or none), other parts these beside their own, and all the
         rest are as before. Without `replace` nothing of the version before stays.
         `more` is kept in the marker. Rows of a part come together where they fit; a
-        large part is split among tasks."""
+        large part is split among tasks. `note` may be a function of the rows as they
+        are written; if it raises an error, they are deleted and nothing is switched to.
+        `finish` is applied after parts have come together, so columns that it makes are
+        not shuffled."""
         before = self.marker(table) or {}
         parts = {} if replace is None else {p: f for p, f in before.get("parts", {}).items() if p not in set(replace)}
         version = self._next(table)
         folder = f"{self.root}/{table}/data/w={uuid.uuid4().hex}"
-        df.hint("rebalance", by).write.partitionBy(by).parquet(folder)
+        df = finish(df.hint("rebalance", by))
+        df.write.partitionBy(by).parquet(folder)
         fs, p = self._fs(folder)
+        if callable(note):
+            try:
+                note = note(self.spark.read.schema(df.schema).parquet(folder).select(*df.columns))
+            except Exception:
+                fs.delete(p, True)
+                raise
         for s in fs.listStatus(p):
             name = s.getPath().getName()
             if name.startswith(f"{by}="):

@@ -97,3 +97,17 @@ def test_whole_fact_is_not_counted_by_grain(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="several rows"):
         load.run_fact_load(store, 2, "lineitem", lambda: detail_header, twice, scd.PRODUCT)
     assert counted
+
+
+def test_lines_are_written_once(spark, tmp_path, monkeypatch):
+    store, written = SnapshotStore(spark, f"file://{tmp_path}"), []
+    staged = shapes.staged_product(spark, SMALL, 1)
+    dim, _ = scd.apply_scd(scd.empty_dimension(staged, scd.PRODUCT), staged, scd.PRODUCT, dt.datetime(1990, 1, 1))
+    monkeypatch.setattr(load, "materialize", lambda df, name: written.append(name) or shared.materialize(df, name))
+    load.run_fact_load(store, 1, "lineitem", lambda: shapes.order_sources(spark, SMALL), dim, scd.PRODUCT)
+    assert written == ["lines"]
+    want = fact.load_fact(*shapes.order_sources(spark, SMALL), dim, scd.PRODUCT)
+    assert store.read("sales").drop("OrderMonth").columns == want.columns and store.read("sales").select(*want.columns).exceptAll(want).count() == 0
+    with pytest.raises(ValueError, match="several rows"):
+        load.run_fact_load(store, 2, "lineitem", lambda: shapes.order_sources(spark, SMALL), dim.union(dim.limit(3)), scd.PRODUCT)
+    assert store.versions("sales") == [1] and len(list((tmp_path / "sales" / "data").glob("w=*"))) == 1
