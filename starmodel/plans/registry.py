@@ -356,9 +356,8 @@ _SUMS = "CAST(sum(GrossAmount) AS DOUBLE) AS GrossAmount, CAST(sum(DiscountAmoun
     FROM fact LEFT JOIN dim3 v ON v.k = ProductKey GROUP BY ALL""")
 def c18_sales_summary(spark, d):
     """Net sales by year and category; lines of the unknown product as Unknown."""
-    dim = scd.with_unknown_member(warehouse.product_dim(spark, d)[1], scd.PRODUCT)
-    lines = marts.with_dates(warehouse.sales_fact(spark, d, dim), calendar.date_dim(spark, *_span(spark, d)))
-    return marts.sales_summary(lookup.as_was(lines, dim, scd.PRODUCT, ("CategoryName",)), ["CalendarYear", "CategoryName"])
+    lines = marts.with_dates(warehouse.sales_fact(spark, d, attributes=("CategoryName",)), calendar.date_dim(spark, *_span(spark, d)))
+    return marts.sales_summary(lines.withColumn("CategoryName", F.coalesce("CategoryName", F.lit("Unknown"))), ["CalendarYear", "CategoryName"])
 
 
 @query(f"""{FACT} SELECT *, CASE WHEN NetAmount <> 0 THEN (NetAmount - TotalCost) / NetAmount * 100 END AS MarginPct FROM (SELECT ProductID, sum(OrderQty) AS Quantity, CAST(sum(NetAmount) AS DOUBLE) AS NetAmount, CAST(sum(TotalCost) AS DOUBLE) AS TotalCost,
