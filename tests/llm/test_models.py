@@ -227,3 +227,29 @@ def test_ann_few_and_none(spark):
 
 def test_base_text_is_used():
     assert len(words(BASE)) > 20
+
+
+def test_ann_deals_each_block_of_a_list_once(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 10)
+    deal = ann.Deal(np.array([5, 35, 0, 12, 9]), 30)
+    assert deal.blocks.tolist() == [1, 4, 1, 2, 1] and (np.diff(deal.group) >= 0).all() and deal.group[-1] > 0
+    row, group, units = deal.rows([[1, 0], [4], [3, 1]])
+    assert len(set(zip(row.tolist(), group.tolist()))) == len(row)
+    assert [sorted(u for r, us in zip(row, units) if r == n for u in us) for n in range(3)] == [[0, 1, 2, 3, 4], [8], [1, 2, 3, 4, 6, 7]]
+    row, _, units = deal.rows([[1, 0], [3]], [6, 7])  # a vector is in one block of each list
+    assert [sorted(u for r, us in zip(row, units) if r == n for u in us) for n in range(2)] == [[0, 3], [7]]
+
+
+def test_ann_queries_are_dealt_to_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    found = ann.nearest(_vectors(spark, x), every=3, k=4, list_size=40, most_probes=900, probe_ratio=9.0)
+    assert "RoundRobinPartitioning(4)" in found._jdf.queryExecution().toString()  # the search by queries was one task
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -9)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    want = {q: dict(enumerate(np.argsort(-sim[q])[:4].tolist(), 1)) for q in range(0, 900, 3)}
+    assert got == want
