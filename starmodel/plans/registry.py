@@ -273,7 +273,8 @@ def j10_before_first_version(spark, d):
 @query(f"{FACT} SELECT SalesOrderID, SalesOrderDetailID, ProductID, ProductKey, SalesPersonKey, count(*) AS n FROM fact GROUP BY ALL")
 def j10_as_of(spark, d):
     """The keys of the versions of products and sales persons with no dimension
-    taken as small: lines and versions are put in one order and versions carried forward."""
+    taken as small: lines and versions are joined by a shuffle, and versions of keys that
+    have many would be carried forward."""
     detail, header = shapes.order_sources(spark, d)
     lines = detail.join(header.select("SalesOrderID", "OrderDate", "SalesPersonID"), "SalesOrderID")
     found = lookup.lookup_key(lines, warehouse.product_dim(spark, d)[1], scd.PRODUCT, "ProductID", "OrderDate", small=0)
